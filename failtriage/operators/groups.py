@@ -132,7 +132,7 @@ def normalize_pattern(pattern: Column) -> Column:
     dates and times are masked.
     """
     text = F.regexp_replace(pattern, r":[0-9]+", "")
-    text = F.regexp_replace(text, r"/[^ /]+(?:/[^ /]+)*/", "/.../")
+    text = F.regexp_replace(text, r"/[^ ]+/", "/.../")
     text = F.regexp_replace(text, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "<date>")
     return F.regexp_replace(text, r"[0-9]{2}:[0-9]{2}:[0-9]{2}", "<time>")
 
