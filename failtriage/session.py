@@ -25,6 +25,7 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
         .appName("failtriage")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in {**SETTINGS, **extra}.items():

@@ -115,3 +115,58 @@ def doc_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         "repo", "number", "title", "body", "risk_level",
         "array(lang, source) AS labels", "array(failure_type) AS failure_types",
     )
+
+# Answers of an analyst per failure group: some without an object, with broken
+# JSON or with a missing key.
+RESPONSES_SQL = """
+SELECT repo, group_key,
+       CASE first_job_id % 7
+       WHEN 0 THEN 'I could not tell what went wrong.'
+       WHEN 1 THEN concat('Result: {"title": "', failure_type, ' broken')
+       WHEN 2 THEN concat('{"title": "Look at ', failure_type, '", "risk_level": "safe", "priority": 10}')
+       WHEN 3 THEN 'Unsure.'
+       ELSE concat('Here is my view:', chr(10), '{"title": "', replace(group_key, '|', ' in '),
+            '", "risk_level": "',
+            CASE first_job_id % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'tactical' ELSE 'strategic' END,
+            '", "priority": ', CAST(first_job_id % 100 + 1 AS STRING),
+            ', "estimated_effort": "', CAST(first_job_id % 8 + 1 AS STRING), ' hours"',
+            ', "required_expertise": "',
+            CASE first_job_id % 2 WHEN 0 THEN 'junior' ELSE 'senior' END,
+            '", "root_cause": "Cause of ', failure_type,
+            '", "suggested_fix": "Check the last change"}', chr(10), 'Hope this helps.')
+       END AS response
+FROM {groups}
+"""
+
+# Repository addresses in all accepted forms and one that is not.
+ADDRESSES_SQL = """
+SELECT o_orderkey AS run_id,
+       CASE o_orderkey % 6
+       WHEN 0 THEN concat('https://git.example/team-', CAST(o_custkey % 30 AS STRING), '/svc-', CAST(o_orderkey % 50 AS STRING))
+       WHEN 1 THEN concat('https://git.example/team-', CAST(o_custkey % 30 AS STRING), '/svc-', CAST(o_orderkey % 50 AS STRING), '.git')
+       WHEN 2 THEN concat('git@git.example:team-', CAST(o_custkey % 30 AS STRING), '/svc-', CAST(o_orderkey % 50 AS STRING), '.git')
+       WHEN 3 THEN concat('http://git.example/team-', CAST(o_custkey % 30 AS STRING), '/my.github.io/')
+       WHEN 4 THEN concat('git@git.example:team-', CAST(o_custkey % 30 AS STRING), '/svc/')
+       ELSE concat('team-', CAST(o_custkey % 30 AS STRING))
+       END AS url
+FROM {orders}
+"""
+
+
+def responses(groups: DataFrame) -> DataFrame:
+    sql = RESPONSES_SQL.replace("{", "{{").replace("}", "}}").replace("{{groups}}", "{groups}")
+    return groups.sparkSession.sql(sql, groups=groups)
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ADDRESSES_SQL, orders=table(spark, sf_dir, "orders"))
+
+
+def on_file(issues: DataFrame) -> DataFrame:
+    """Issues as they look on file: some have no body, some are closed."""
+    return issues.selectExpr(
+        "repo", "number", "title",
+        "CASE WHEN number % 7 = 0 THEN NULL ELSE body END AS body",
+        "CASE WHEN number % 5 = 0 THEN 'closed' ELSE 'open' END AS state",
+        "labels",
+    )
