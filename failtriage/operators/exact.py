@@ -9,6 +9,7 @@ from failtriage.functions.signatures import (
     EMPTY, PART_CHARS, combined_hash, hash_of_sorted, list_hash, normalized,
 )
 from failtriage.operators.groups import KEY
+from failtriage.session import materialize
 
 LIST_HASH_LIMIT = 4096
 
@@ -69,13 +70,17 @@ def exact_duplicates(new: DataFrame, prior: DataFrame) -> DataFrame:
     """New issues whose signature occurs in ``prior`` or earlier in the same batch.
 
     Both inputs hold ``repo, number, signature``. Each signature is first reduced
-    to its lowest number, so copies never form pairs.
+    to its lowest number, so copies never form pairs. That small table is written,
+    so the join is between two plain shuffles and a hot signature can be split.
     """
     both = prior.select("repo", "signature", F.col("number").alias("prior"), F.lit(None).cast("bigint").alias("batch")).unionByName(
         new.select("repo", "signature", F.lit(None).cast("bigint").alias("prior"), F.col("number").alias("batch"))
     )
-    first = both.groupBy("repo", "signature").agg(
-        F.min("prior").alias("first_prior"), F.min("batch").alias("first_batch")
+    first = materialize(
+        both.groupBy("repo", "signature").agg(
+            F.min("prior").alias("first_prior"), F.min("batch").alias("first_batch")
+        ),
+        "signatures",
     )
     joined = new.select("repo", "number", "signature").join(first, ["repo", "signature"])
     in_batch = F.when(F.col("first_batch") < F.col("number"), F.col("first_batch"))
