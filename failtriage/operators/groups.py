@@ -25,21 +25,13 @@ def type_counts(failures: DataFrame) -> DataFrame:
     )
 
 
-def group_failures(failures: DataFrame) -> DataFrame:
-    """One row per group with counts, extremes and the merged log masks."""
-    return failures.groupBy(*KEY).agg(
-        F.count("*").alias("failure_count"),
-        F.min("failure_type").alias("failure_type"),
-        F.min("created_at").alias("first_seen"),
-        F.max("created_at").alias("last_seen"),
-        F.min("job_id").alias("first_job_id"),
-        F.bit_or("safe_mask").alias("safe_mask"),
-        F.bit_or("strategic_mask").alias("strategic_mask"),
-    )
-
-
 def group_values(failures: DataFrame) -> DataFrame:
-    """Distinct types, patterns and files of each group, one row per value."""
+    """Distinct types, patterns and files of each group, one row per value.
+
+    A failure has one type, so the type row of a group also holds the facts of
+    the group as a whole: see ``group_failures``. One pass over the failures
+    serves counts, extremes, masks and values.
+    """
 
     def tagged(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
@@ -50,9 +42,29 @@ def group_values(failures: DataFrame) -> DataFrame:
         tagged("file", F.col("affected_files")),
     )
     return (
-        failures.select(*KEY, F.inline(values))
+        failures.select(*KEY, "created_at", "job_id", "safe_mask", "strategic_mask", F.inline(values))
         .groupBy(*KEY, "kind", "value")
-        .agg(F.count("*").alias("occurrences"))
+        .agg(
+            F.count("*").alias("occurrences"),
+            F.min("created_at").alias("first_seen"),
+            F.max("created_at").alias("last_seen"),
+            F.min("job_id").alias("first_job_id"),
+            F.bit_or("safe_mask").alias("safe_mask"),
+            F.bit_or("strategic_mask").alias("strategic_mask"),
+        )
+    )
+
+
+def group_failures(values: DataFrame) -> DataFrame:
+    """One row per group with counts, extremes and the merged log masks."""
+    return values.where(F.col("kind") == "type").groupBy(*KEY).agg(
+        F.sum("occurrences").alias("failure_count"),
+        F.min("value").alias("failure_type"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.min("first_job_id").alias("first_job_id"),
+        F.bit_or("safe_mask").alias("safe_mask"),
+        F.bit_or("strategic_mask").alias("strategic_mask"),
     )
 
 

@@ -23,7 +23,7 @@ SHOWN_FAMILIES = 2
 
 
 def value_hits(values: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Per group, how many distinct patterns and files match each rule family."""
+    """Per group, how many distinct patterns and files match each rule family, and its log masks."""
     value = F.col("value")
     is_pattern, is_file = F.col("kind") == "pattern", F.col("kind") == "file"
 
@@ -48,6 +48,8 @@ def value_hits(values: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
         F.coalesce(F.bool_or(is_pattern & contains_any(F.lower(value), rules.autofix)), F.lit(False)).alias("autofix"),
         F.count_if(is_file & rlike_any(value, rules.strategic.file_patterns, any_case=False)).alias("critical_files"),
         F.bit_or(blast_mask.cast("bigint")).alias("blast_mask"),
+        F.bit_or("safe_mask").alias("safe_mask"),
+        F.bit_or("strategic_mask").alias("strategic_mask"),
         F.min(override).alias("override_pos"),
     )
 
@@ -67,10 +69,8 @@ def strategic_score() -> Column:
     return points / most
 
 
-def risk_scores(groups: DataFrame, values: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    hits = value_hits(values, rules)
-    base = groups.select(*KEY, "failure_type", "safe_mask", "strategic_mask").join(hits, KEY, "left")
-    return base.withColumns({"safe_score": safe_score(), "strategic_score": strategic_score()})
+def risk_scores(values: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    return value_hits(values, rules).withColumns({"safe_score": safe_score(), "strategic_score": strategic_score()})
 
 
 def _blast_radius(rules: RuleSet) -> Column:

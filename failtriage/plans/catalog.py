@@ -48,7 +48,8 @@ def _cutoff() -> Column:
 
 
 def _issues(failed: DataFrame) -> DataFrame:
-    return build_issues(failed, derived.responses(groups.group_failures(failed)))
+    distinct = groups.group_values(failed)
+    return build_issues(failed, distinct, derived.responses(groups.group_failures(distinct)))
 
 
 def new_and_filed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +137,7 @@ def failure_type_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def failure_groups(spark: SparkSession, d: str) -> DataFrame:
-    found = groups.group_failures(failures(spark, d))
+    found = groups.group_failures(values(spark, d))
     return found.select(
         *KEY, "failure_count", "failure_type", stamp("first_seen").alias("first_seen"),
         stamp("last_seen").alias("last_seen"), "first_job_id", "safe_mask", "strategic_mask",
@@ -145,7 +146,7 @@ def failure_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def group_values(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, d)
+    return values(spark, d).select(*KEY, "kind", "value", "occurrences")
 
 
 @query
@@ -170,8 +171,9 @@ def group_recent_links(spark: SparkSession, d: str) -> DataFrame:
 @query
 def analysis_context(spark: SparkSession, d: str) -> DataFrame:
     failed = failures(spark, d)
+    distinct = groups.group_values(failed)
     return groups.analysis_context(
-        groups.group_failures(failed), groups.shown_values(groups.group_values(failed)), groups.sample_logs(failed)
+        groups.group_failures(distinct), groups.shown_values(distinct), groups.sample_logs(failed)
     )
 
 
@@ -245,8 +247,9 @@ def exact_signature_dups(spark: SparkSession, d: str) -> DataFrame:
     failed = materialize(failures(spark, d), "failures")
 
     def signed(part: DataFrame) -> DataFrame:
-        numbers = groups.group_failures(part).select(*KEY, F.col("first_job_id").alias("number"))
-        return exact.group_signatures(groups.group_values(part)).join(numbers, KEY)
+        distinct = groups.group_values(part)
+        numbers = groups.group_failures(distinct).select(*KEY, F.col("first_job_id").alias("number"))
+        return exact.group_signatures(distinct).join(numbers, KEY)
 
     later = signed(failed.where(F.col("created_at") >= _cutoff()))
     earlier = signed(failed.where(F.col("created_at") < _cutoff()))
@@ -257,8 +260,7 @@ def exact_signature_dups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    failed = failures(spark, d)
-    return risk.risk_scores(groups.group_failures(failed), groups.group_values(failed))
+    return risk.risk_scores(values(spark, d))
 
 
 @query
@@ -312,7 +314,7 @@ def team_routing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fallback_issues(spark: SparkSession, d: str) -> DataFrame:
-    rows = issues.fallback_fields(groups.group_failures(failures(spark, d)))
+    rows = issues.fallback_fields(groups.group_failures(values(spark, d)))
     return rows.select(
         *KEY, "title", "risk_level", F.col("priority").cast("bigint").alias("priority"),
         "estimated_effort", "required_expertise", joined("labels").alias("labels"),
@@ -321,13 +323,13 @@ def fallback_issues(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parsed_responses(spark: SparkSession, d: str) -> DataFrame:
-    answers = issues.accepted_responses(derived.responses(groups.group_failures(failures(spark, d))))
+    answers = issues.accepted_responses(derived.responses(groups.group_failures(values(spark, d))))
     return answers.withColumn("priority", F.col("priority").cast("bigint"))
 
 
 @query
 def rejected_responses(spark: SparkSession, d: str) -> DataFrame:
-    return issues.rejected_responses(derived.responses(groups.group_failures(failures(spark, d))))
+    return issues.rejected_responses(derived.responses(groups.group_failures(values(spark, d))))
 
 
 @query

@@ -23,18 +23,17 @@ def parsed_failures(runs: DataFrame, jobs: DataFrame, logs: DataFrame, rules: Ru
 
 
 def build_issues(
-    failures: DataFrame, responses: DataFrame | None = None, rules: RuleSet = DEFAULT_RULES
+    failures: DataFrame, values: DataFrame, responses: DataFrame | None = None, rules: RuleSet = DEFAULT_RULES
 ) -> DataFrame:
-    """One issue per failure group."""
-    values = groups.group_values(failures)
-    fields = issues.fallback_fields(groups.group_failures(failures), rules)
+    """One issue per failure group; ``values`` are the group values of ``failures``."""
+    fields = issues.fallback_fields(groups.group_failures(values), rules)
     fields = issues.without_answers(fields) if responses is None else issues.response_issues(fields, responses)
     return issues.assemble_issues(fields, groups.shown_values(values), groups.recent_links(failures))
 
 
 @dataclass
 class Triage:
-    """Results of one analysis; all are lazy but the two written tables they read."""
+    """Results of one analysis; all are lazy but the written tables they read."""
 
     failures: DataFrame
     risks: DataFrame
@@ -75,14 +74,14 @@ def triage(
 ) -> Triage:
     """Analyse all repositories at once. Nothing is written but intermediate tables.
 
-    Failures and issues have several consumers each, so both are written once
-    in the shared folder and read back.
+    Failures, group values and issues have several consumers each, so they are
+    written once in the shared folder and read back.
     """
     recent = ingest.recent_failed_runs(runs, n_runs)
     failures = materialize(parsed_failures(recent, jobs, logs, rules), "failures")
-    values = groups.group_values(failures)
-    risks = risk.assess_risk(risk.risk_scores(groups.group_failures(failures), values, rules), rules)
-    all_issues = materialize(build_issues(failures, responses, rules), "issues")
+    values = materialize(groups.group_values(failures), "values")
+    risks = risk.assess_risk(risk.risk_scores(values, rules), rules)
+    all_issues = materialize(build_issues(failures, values, responses, rules), "issues")
     wanted = issues.at_least(issues.focus(all_issues, level), min_priority)
     on_file = ingest.open_issues(existing)
     scored = dedup.score_pairs(dedup.candidates(wanted, on_file), wanted, on_file)

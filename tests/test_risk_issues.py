@@ -6,19 +6,16 @@ from failtriage.operators import groups, issues, risk
 from failtriage.rules import Override, RiskRules, RuleSet
 from failtriage.sources import sinks
 
-VALUES = "repo string, group_key string, kind string, value string, occurrences long"
-GROUPS = (
-    "repo string, group_key string, failure_type string, safe_mask long, strategic_mask long"
+VALUES = (
+    "repo string, group_key string, kind string, value string, occurrences long, safe_mask long, strategic_mask long"
 )
 
 
 def assess(spark, patterns=(), files=(), safe_mask=0, strategic_mask=0, rules=None):
     rules = rules or RuleSet(overrides=())
-    rows = [("r", "g", "type", "linting", 1)]
-    rows += [("r", "g", "pattern", p, 1) for p in patterns] + [("r", "g", "file", f, 1) for f in files]
-    values = spark.createDataFrame(rows, VALUES)
-    found = spark.createDataFrame([("r", "g", "linting", safe_mask, strategic_mask)], GROUPS)
-    return risk.assess_risk(risk.risk_scores(found, values, rules), rules).first()
+    rows = [("r", "g", "type", "linting", 1, safe_mask, strategic_mask)]
+    rows += [("r", "g", "pattern", p, 1, 0, 0) for p in patterns] + [("r", "g", "file", f, 1, 0, 0) for f in files]
+    return risk.assess_risk(risk.risk_scores(spark.createDataFrame(rows, VALUES), rules), rules).first()
 
 
 @pytest.mark.parametrize(
@@ -93,7 +90,7 @@ def test_filters_and_summary(spark):
 
 
 def test_shown_values_and_links_are_bounded(spark):
-    values = [("r", "g", "pattern", f"p{i:02d}", 1 + i % 3) for i in range(30)] + [("r", "g", "file", f"f{i:02d}", 1) for i in range(30)]
+    values = [("r", "g", "pattern", f"p{i:02d}", 1 + i % 3, 0, 0) for i in range(30)] + [("r", "g", "file", f"f{i:02d}", 1, 0, 0) for i in range(30)]
     row = groups.shown_values(spark.createDataFrame(values, VALUES)).first()
     assert row.top_patterns == ["p02", "p05", "p08", "p11", "p14"] and row.top_files == [f"f{i:02d}" for i in range(10)]
     rows = [("r", "g", i, i, f"2024-01-{i:02d} 00:00:00", f"u{i}") for i in range(1, 9)]
