@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from failtriage.functions.signatures import (
@@ -11,7 +11,7 @@ from failtriage.functions.signatures import (
 from failtriage.operators.groups import KEY
 from failtriage.session import materialize
 
-LIST_HASH_LIMIT = 4096
+LIST_HASH_LIMIT = 256
 
 
 def with_signature(
@@ -35,9 +35,10 @@ def _digest(value: Column) -> Column:
 def group_signatures(values: DataFrame, limit: int = LIST_HASH_LIMIT) -> DataFrame:
     """Signature of each failure group, from its distinct values as rows.
 
-    Lists of up to ``limit`` values are sorted and hashed as one text. Longer
-    lists are never gathered: they hash their length and an order-free digest.
-    Equal lists have equal length, so both kinds never need to be compared.
+    Lists of up to ``limit`` values are sorted and hashed as one text. Of longer
+    lists only ``limit + 1`` values per task are ever moved, enough to see that
+    they are longer; they hash their length and an order-free digest. Equal
+    lists have equal length, so the two kinds never need to be compared.
     """
     kinds = ("pattern", "file", "type")
     value = F.col("value")
@@ -48,21 +49,26 @@ def group_signatures(values: DataFrame, limit: int = LIST_HASH_LIMIT) -> DataFra
     sizes = distinct.groupBy(*KEY, "kind").agg(
         F.count("*").alias("n"), F.bit_xor(_digest(value)).alias("digest")
     )
-    short = (
-        distinct.join(sizes.where(F.col("n") <= limit).select(*KEY, "kind"), [*KEY, "kind"])
+    in_order = Window.partitionBy(*KEY, "kind").orderBy("value")
+    lists = (
+        distinct.withColumn("_place", F.row_number().over(in_order))
+        .where(F.col("_place") <= limit + 1)
         .groupBy(*KEY, "kind")
-        .agg(hash_of_sorted(F.sort_array(F.collect_list("value"))).alias("hash"))
+        .agg(F.sort_array(F.collect_list("value")).alias("list"))
     )
     long_text = F.concat_ws(":", F.col("n").cast("string"), F.col("digest").cast("string"))
-    long = sizes.where(F.col("n") > limit).select(
-        *KEY, "kind", F.substring(F.md5(long_text), 1, PART_CHARS).alias("hash")
+    hashed = lists.join(sizes, [*KEY, "kind"]).select(
+        *KEY, "kind",
+        F.when(F.col("n") <= limit, hash_of_sorted(F.col("list")))
+        .otherwise(F.substring(F.md5(long_text), 1, PART_CHARS))
+        .alias("hash"),
     )
 
     def part(kind: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("hash"))), F.lit(EMPTY))
 
     names = {"pattern": "error_hash", "file": "file_hash", "type": "type_hash"}
-    parts = short.unionByName(long).groupBy(*KEY).agg(*[part(k).alias(names[k]) for k in kinds])
+    parts = hashed.groupBy(*KEY).agg(*[part(k).alias(names[k]) for k in kinds])
     return parts.withColumn("signature", combined_hash(F.col("error_hash"), F.col("file_hash"), F.col("type_hash")))
 
 

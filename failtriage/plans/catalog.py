@@ -43,6 +43,15 @@ def values(spark: SparkSession, d: str) -> DataFrame:
     return groups.group_values(failures(spark, d))
 
 
+def written_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failures for queries that read them more than once: logs are parsed one time."""
+    return materialize(failures(spark, d), "failures")
+
+
+def written_values(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(values(spark, d), "values")
+
+
 def _cutoff() -> Column:
     return F.lit(derived.CUTOFF).cast("timestamp_ntz")
 
@@ -54,7 +63,7 @@ def _issues(failed: DataFrame) -> DataFrame:
 
 def new_and_filed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Issues of the later half of the jobs, and those of the earlier half as found on file."""
-    failed = materialize(failures(spark, d), "failures")
+    failed = written_failures(spark, d)
     new = _issues(failed.where(F.col("created_at") >= _cutoff()))
     filed = derived.on_file(_issues(failed.where(F.col("created_at") < _cutoff())))
     return materialize(new, "new"), materialize(filed, "filed")
@@ -80,8 +89,10 @@ def failed_jobs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def jobs_with_logs(spark: SparkSession, d: str) -> DataFrame:
     jobs = ingest.failed_jobs(derived.jobs(spark, d))
-    kept = ingest.attach_logs(jobs, derived.logs(spark, d))
-    return kept.select("repo", "job_id", F.length("logs").cast("bigint").alias("log_chars"), F.md5("logs").alias("log_md5"))
+    measured = derived.logs(spark, d).select(
+        "repo", "job_id", F.length("logs").cast("bigint").alias("log_chars"), F.md5("logs").alias("log_md5")
+    )
+    return ingest.attach_logs(jobs, measured).select("repo", "job_id", "log_chars", "log_md5")
 
 
 @query
@@ -151,7 +162,7 @@ def group_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def group_context(spark: SparkSession, d: str) -> DataFrame:
-    distinct = values(spark, d)
+    distinct = written_values(spark, d)
     shown = groups.shown_values(distinct)
     return groups.value_counts(distinct).join(shown, KEY, "left").select(
         *KEY, "type_count", "pattern_count", "file_count",
@@ -161,7 +172,7 @@ def group_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def group_recent_links(spark: SparkSession, d: str) -> DataFrame:
-    summary = groups.occurrence_summary(failures(spark, d))
+    summary = groups.occurrence_summary(written_failures(spark, d))
     return summary.select(
         *KEY, "failure_count", stamp("first_seen").alias("first_seen"), stamp("last_seen").alias("last_seen"),
         joined("links").alias("links"), "more_links",
@@ -170,7 +181,7 @@ def group_recent_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def analysis_context(spark: SparkSession, d: str) -> DataFrame:
-    failed = failures(spark, d)
+    failed = written_failures(spark, d)
     distinct = groups.group_values(failed)
     return groups.analysis_context(
         groups.group_failures(distinct), groups.shown_values(distinct), groups.sample_logs(failed)
@@ -233,7 +244,7 @@ def issue_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def group_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return exact.group_signatures(values(spark, d))
+    return exact.group_signatures(written_values(spark, d))
 
 
 @query
@@ -244,12 +255,13 @@ def search_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def exact_signature_dups(spark: SparkSession, d: str) -> DataFrame:
-    failed = materialize(failures(spark, d), "failures")
+    failed = written_failures(spark, d)
 
     def signed(part: DataFrame) -> DataFrame:
         distinct = groups.group_values(part)
         numbers = groups.group_failures(distinct).select(*KEY, F.col("first_job_id").alias("number"))
-        return exact.group_signatures(distinct).join(numbers, KEY)
+        signed_groups = exact.group_signatures(distinct).join(numbers, KEY)
+        return materialize(signed_groups.select("repo", "number", "signature"), "signed")
 
     later = signed(failed.where(F.col("created_at") >= _cutoff()))
     earlier = signed(failed.where(F.col("created_at") < _cutoff()))
@@ -454,7 +466,7 @@ def comment_actions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def triage_stats(spark: SparkSession, d: str) -> DataFrame:
     new, verdict = _verdicts(spark, d)
-    later = failures(spark, d).where(F.col("created_at") >= _cutoff())
+    later = written_failures(spark, d).where(F.col("created_at") >= _cutoff())
     return run_stats(later, new, dedup.only_new(new, verdict), None)
 
 

@@ -18,6 +18,13 @@ SETTINGS = {
 }
 
 
+# Small tables on one machine: use all cores although there are few bytes per core.
+LOCAL_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.files.openCostInBytes": "64k",
+}
+
+
 def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
@@ -28,7 +35,7 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **LOCAL_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,8 +62,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Several consumers then read columns from Parquet instead of each running the
-    whole lineage again, and a lost executor costs a re-read only.
+    whole lineage again, and a lost executor costs a re-read only. All tables of
+    one application share a folder, which can be removed when it has ended.
     """
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/failtriage-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
