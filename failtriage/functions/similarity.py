@@ -17,6 +17,11 @@ def word_set(text: Column) -> Column:
     return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+def present(values: str | Column) -> Column:
+    """A list of texts; an absent one is empty."""
+    return F.coalesce(values, F.array().cast("array<string>"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all elements of two sets; 0 when either is empty.
 

@@ -106,9 +106,12 @@ def rejected_responses(responses: DataFrame) -> DataFrame:
 
 
 def response_issues(fallback: DataFrame, responses: DataFrame) -> DataFrame:
-    """Replace fallback fields by those of an accepted response of the same group."""
-    answered = accepted_responses(responses).select(
-        *KEY, F.struct(*REQUIRED_KEYS, *OPTIONAL_KEYS).alias("answer")
+    """Replace fallback fields by those of an accepted response of the same group.
+
+    A group has one issue: of several accepted responses one is used, always the same.
+    """
+    answered = accepted_responses(responses).groupBy(*KEY).agg(
+        F.min(F.struct(*REQUIRED_KEYS, *OPTIONAL_KEYS)).alias("answer")
     )
     joined = fallback.join(answered, KEY, "left")
     has = F.col("answer").isNotNull()

@@ -90,3 +90,10 @@ def test_cutting_the_lists_first_loses_nothing(spark):
     ]
     got = dedup.candidates(spark.createDataFrame(new, NEW), spark.createDataFrame(old, OLD), cap=7)
     assert {(r.number, r.candidate) for r in got.collect()} == expected_candidates(new, old, 7)
+
+
+def test_absent_labels_and_texts(spark):
+    new = spark.createDataFrame([issue(1, "queue worker stalls")], NEW)
+    old = spark.createDataFrame([("r", 7, "queue worker stalls", None, None), ("r", 8, None, None, None)], OLD)
+    scored = dedup.score_pairs(dedup.candidates(new, old), new, old)
+    assert [(r.candidate, r.similarity) for r in scored.collect()] == [(7, 0.3)]

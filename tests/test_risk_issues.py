@@ -62,6 +62,7 @@ def test_responses_and_fallback(spark):
     missing = {k: v for k, v in good.items() if k != "priority"}
     rows = [
         ("r", "ok", "text " + json.dumps(good) + " end"),
+        ("r", "ok", json.dumps(good | {"title": "U"})),
         ("r", "nobrace", "nothing"),
         ("r", "bad", "{oops"),
         ("r", "broken", "{oops}"),
@@ -69,10 +70,12 @@ def test_responses_and_fallback(spark):
         ("r", "null", None),
     ]
     answers = spark.createDataFrame(rows, "repo string, group_key string, response string")
-    assert [r.group_key for r in issues.accepted_responses(answers).collect()] == ["ok"]
+    assert [r.group_key for r in issues.accepted_responses(answers).collect()] == ["ok", "ok"]
     assert issues.rejected_responses(answers).count() == 5
     found = spark.createDataFrame([("r", k, "security") for k in ("ok", "bad")], "repo string, group_key string, failure_type string")
-    got = {r.group_key: r for r in issues.response_issues(issues.fallback_fields(found), answers).collect()}
+    rows = issues.response_issues(issues.fallback_fields(found), answers).collect()
+    got = {r.group_key: r for r in rows}
+    assert len(rows) == 2
     assert got["ok"].title == "[SAFE] T" and got["ok"].labels == [
         "ci-failure", "risk:safe", "type:security", "priority:high", "good first issue",
     ]
