@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failtriage.llm import packing, sharding
+from failtriage.llm import ngrams, packing, sharding
 from failtriage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op5_bounded_ring(spark: SparkSession, d: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op9_partition_enumeration(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.classes(read(spark, d, "documents"))
