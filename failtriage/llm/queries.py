@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failtriage.llm import decontam, ngrams, packing, sharding
+from failtriage.llm import decontam, langid, ngrams, packing, sharding
 from failtriage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op9_partition_enumeration(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op8_template_leaks(spark: SparkSession, d: str) -> DataFrame:
     return decontam.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+@query
+def op7_cross_parsing(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(read(spark, d, "documents"))
