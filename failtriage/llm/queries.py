@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failtriage.llm import decontam, langid, ngrams, packing, sharding
+from failtriage.llm import decontam, langid, ngrams, packing, pii, sharding
 from failtriage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,15 @@ def op8_template_leaks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op7_cross_parsing(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(read(spark, d, "documents"))
+
+
+@query
+def op10_shape_crf(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find(read(spark, d, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+
+    def listed(column: str) -> F.Column:
+        part = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(part, ",")
+
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
