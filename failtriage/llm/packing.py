@@ -14,10 +14,13 @@ are packed once each; an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,7 @@ from failtriage.llm.common import ranked, store, texts
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps at most.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,26 +43,87 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Code points that byte-level vocabularies use for bytes: their own if printable, else from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class _Ids(dict):
-    """Ids of a word as little-endian 32-bit numbers.
+    """Ids of words as little-endian 32-bit numbers.
 
     No token of this vocabulary spans white space, so the ids of a text are
-    those of its words one after the other.
+    those of its words one after the other. A stop or comma after a letter is a
+    token of its own, and the case of ASCII letters does not matter. Unknown
+    words are tokenised together, with a control character in between, whose id
+    tells them apart. Two generations of words are kept, so common ones stay.
     """
 
+    CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+    SPECIAL = b"<|"
+    BETWEEN = "\x01"
+
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
-        return value
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # words are kept here
+        self.old: dict[bytes, bytes] = {}
+        (self.between,) = self._encode(self.BETWEEN)
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    @classmethod
+    def words(cls, text: bytes) -> list[bytes]:
+        """Parts of a text that can be tokenised one by one; texts that may hold special tokens stay as they are."""
+        if cls.SPECIAL not in text:
+            text = cls.CLOSING.sub(rb" \1", text.lower())
+        return text.split()
+
+    @staticmethod
+    def _letters(word: bytes) -> str | None:
+        """A word of lower-case letters as the model takes it: one code point for each byte."""
+        if word.isalpha():
+            return word.decode("ascii") if word.islower() else None
+        if word.isascii():
+            return None
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+            return word.decode("latin-1").translate(BYTES)
+        return None
+
+    def learn(self, words: set[bytes]) -> None:
+        """Add the ids of the words."""
+        missing = words.difference(self)
+        if len(self) + len(missing) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+            missing = words
+        if self.old:
+            known = self.old.keys() & missing
+            self.update((w, self.old[w]) for w in known)
+            missing = missing - known
+        rest = []
+        for w in missing:
+            letters = self._letters(w)
+            if letters is None:
+                rest.append(w)
+            else:
+                self[w] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        if any(b"\x01" in w for w in rest):
+            for w in [w for w in rest if b"\x01" in w]:
+                self[w] = np.array(self._encode(w.decode("utf-8", "replace")), "<u4").tobytes()
+            rest = [w for w in rest if b"\x01" not in w]
+        for at in range(0, len(rest), 500):
+            some = rest[at : at + 500]
+            ids = np.array(self._encode(b" \x01 ".join(some).decode("utf-8", "replace")), "<u4")
+            data, start = ids.tobytes(), 0
+            ends = (4 * np.flatnonzero(ids == self.between)).tolist()
+            for w, end in zip(some, [*ends, len(data)]):
+                self[w] = data[start:end]
+                start = end + 4
 
 
 @functools.lru_cache(maxsize=1)
@@ -67,9 +131,29 @@ def _ids(path: str) -> _Ids:
     return _Ids(path)
 
 
-def token_bytes(text: bytes, path: str) -> bytes:
-    """Ids of a text and the closing id, 4 bytes each."""
-    return b"".join(map(_ids(path).__getitem__, text.split())) + END_ID.to_bytes(4, "little")
+#: Bytes of text whose words are looked up together.
+TOGETHER = 2_000_000
+
+
+def token_bytes(rows: Iterable[bytes], path: str) -> Iterator[bytes]:
+    """Ids of each text and the closing id, 4 bytes each."""
+    known = _ids(path)
+    end = END_ID.to_bytes(4, "little")
+
+    def flush(held: list[list[bytes]]) -> Iterator[bytes]:
+        words = set().union(*held)
+        known.learn(words)
+        for some in held:
+            yield b"".join(map(known.__getitem__, some)) + end
+
+    held, size = [], 0
+    for text in rows:
+        held.append(known.words(text))
+        size += len(text)
+        if size >= TOGETHER:
+            yield from flush(held)
+            held, size = [], 0
+    yield from flush(held)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -80,8 +164,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             ids = batch.column(0).to_pylist()
-            for doc_id, text in zip(ids, texts(batch)):
-                data = token_bytes(text, path)
+            for doc_id, data in zip(ids, token_bytes(texts(batch), path)):
                 for k, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     doc.append(doc_id)
@@ -211,8 +294,7 @@ def sequences(docs: DataFrame, placed: DataFrame, path: str | None = None, capac
         step = 4 * capacity
         for batch in batches:
             doc, piece, ids = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
-                data = token_bytes(text, path)
+            for doc_id, data in zip(batch.column(0).to_pylist(), token_bytes(texts(batch), path)):
                 for k, at in enumerate(range(0, len(data), step)):
                     doc.append(doc_id)
                     piece.append(k)
