@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failtriage.llm import decontam, langid, ngrams, packing, pii, sharding
+from failtriage.llm import decontam, langid, ngrams, packing, pii, quality, sharding
 from failtriage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op10_shape_crf(spark: SparkSession, d: str) -> DataFrame:
         return F.array_join(part, ",")
 
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query
+def op1_covering_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge(read(spark, d, "documents"), read(spark, d, "labels"))
