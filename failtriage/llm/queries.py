@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failtriage.llm import decontam, langid, ngrams, packing, pii, quality, sharding
+from failtriage.llm import decontam, langid, ngrams, packing, pii, quality, sharding, substrings
 from failtriage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op10_shape_crf(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op1_covering_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+@query
+def op6_difference_cover(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.dedup(read(spark, d, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
