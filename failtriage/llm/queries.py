@@ -51,13 +51,15 @@ def op7_cross_parsing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_shape_crf(spark: SparkSession, d: str) -> DataFrame:
     found = pii.find(read(spark, d, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+
+    def number(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     def listed(column: str) -> F.Column:
         part = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
         return F.array_join(part, ",")
 
-    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *map(number, pii.BASE), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 @query
