@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failtriage.llm import decontam, langid, ngrams, packing, pii, quality, sharding, substrings
+from failtriage.llm import chat, decontam, langid, ngrams, packing, pii, quality, sharding, substrings, warc
 from failtriage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,49 @@ def op1_covering_rules(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op6_difference_cover(spark: SparkSession, d: str) -> DataFrame:
     return substrings.dedup(read(spark, d, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+@query
+def op4_incremental_rendering(spark: SparkSession, d: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+ORACLE["op4_incremental_rendering"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, list_sum(list_transform(['<s>', '</s>', '[INST', '[/INST]', '<<SYS>>', '<</SYS>>'],
+    lambda c: len(regexp_extract_all(text, regexp_escape(c[1]) || '\\*' || regexp_escape(c[2:]))))) AS escapes
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(8 + length(role) + length(text) + escapes + CASE WHEN role = 'assistant' THEN 4 ELSE 7 END + 1) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+@query
+def op2_arc_to_warc(spark: SparkSession, d: str) -> DataFrame:
+    records = warc.archive(read(spark, d, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op2_arc_to_warc"] = """
+WITH said AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), seen AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM said
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM seen
+"""
