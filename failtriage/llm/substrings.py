@@ -26,88 +26,102 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failtriage.llm.common import hashes, store, texts, window_hashes
+from failtriage.llm.common import mix, store, texts, window_hashes
+from failtriage.llm.wordhash import Words, word_hashes
 
 WINDOW = 13
 #: {0, 1, 3} has every difference modulo 7.
 PERIOD, COVER = 7, (0, 1, 3)
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of a text; none if it is shorter than a window."""
-    if len(h) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    found = window_hashes(h, WINDOW - PERIOD + 1)
-    at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(len(found)) % PERIOD])
-    return at, found[at]
+_AT_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def extended(marks: list[dict] | None, n: int) -> np.ndarray:
-    """Starts of the windows that hold a marked anchor where two equal windows may share one."""
-    seen = np.concatenate(([0], np.cumsum(bits(marks, n))))
-    starts = np.arange(n - WINDOW + 1)
-    return starts[seen[starts + PERIOD] > seen[starts]]
+def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place in it and hash of every anchor of texts that hold a window."""
+    found = window_hashes(words.hashes, WINDOW - PERIOD + 1)
+    owner, (place, left) = words.owner[: len(found)], (x[: len(found)] for x in words.places())
+    at = np.flatnonzero(_AT_COVER[place % PERIOD] & (left > WINDOW - PERIOD) & (place + left >= WINDOW))
+    return owner[at], place[at], found[at]
 
 
-def bits(marks: list[dict] | None, n: int) -> np.ndarray:
-    """Positions below ``n`` that are set in blocks of 64."""
-    out = np.zeros((n + 63) // 64 * 64, bool)
-    for mark in marks or []:
-        word = np.array([mark["bits"]], np.int64).view(np.uint8)
-        out[64 * mark["block"] : 64 * mark["block"] + 64] = np.unpackbits(word, bitorder="little").astype(bool)
-    return out[:n]
+def marked(words: Words, marks: pa.ListArray) -> np.ndarray:
+    """Which words stand at the places that are set in the lists of 64-bit blocks, one list for each text."""
+    out = np.zeros(len(words.hashes), bool)
+    flat = marks.flatten()
+    if len(flat):
+        text = np.repeat(np.arange(len(marks)), pa.compute.fill_null(pa.compute.list_value_length(marks), 0).to_numpy(False))
+        block, bits = (np.asarray(flat.field(k), np.int64) for k in ("block", "bits"))
+        row, bit = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        out[words.starts[text[row]] + 64 * block[row] + bit] = True
+    return out
 
 
-def _both(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def extended(words: Words, seen: np.ndarray) -> np.ndarray:
+    """Where windows start that hold a marked anchor at a place where two equal windows may share one."""
+    total = np.concatenate(([0], np.cumsum(seen)))
+    starts = np.flatnonzero(words.places()[1] >= WINDOW)
+    return starts[total[starts + PERIOD] > total[starts]]
+
+
+def _both(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of the windows that start at ``at``, 96 bits together."""
-    first, second = window_hashes(h, WINDOW), window_hashes(h, WINDOW, seed=1)
+    first, second = window_hashes(words.hashes, WINDOW), window_hashes(words.hashes, WINDOW, seed=1)
     return first[at].view(np.int64), (second[at] >> np.uint64(33)).astype(np.int32)
 
 
-Emit = Callable[[np.ndarray, list[dict] | None], tuple[np.ndarray, ...]]
+def _once(owner: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """One index for each text and hash."""
+    return np.unique(mix(found.view(np.uint64) + mix(owner.astype(np.uint64))), return_index=True)[1]
+
+
+Emit = Callable[[Words, np.ndarray], tuple[np.ndarray, ...]]
 
 
 def _spread(rows: DataFrame, emit: Emit, schema: str, keys: tuple[str, ...]) -> DataFrame:
-    """Rows of the arrays that ``emit`` gives for each text, with the text's ``keys``."""
+    """Rows of the arrays that ``emit`` gives for some texts, the first with the text's number, with its ``keys``."""
     names = [part.split()[0] for part in schema.split(", ")]
-    marked = "marks" in rows.columns
+    has_marks = "marks" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(batch.schema.get_field_index("marks")).to_pylist() if marked else [None] * batch.num_rows
-            own = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys}
-            made = [emit(hashes(text.split()), m) for text, m in zip(texts(batch), marks)]
-            if not made:
-                continue
-            columns = [np.concatenate(parts) for parts in zip(*made)]
-            counts = [len(parts[0]) for parts in made]
-            columns += [np.repeat(np.array(own[k], np.int64), counts) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, *keys])
+            own = {k: np.asarray(batch.column(batch.schema.get_field_index(k)), np.int64) for k in keys}
+            marks = batch.column(batch.schema.get_field_index("marks")) if has_marks else None
+            for words in word_hashes(batch):
+                n = len(words.counts)
+                seen = marked(words, marks.slice(words.first, n)) if has_marks else np.empty(0, bool)
+                owner, *columns = emit(words, seen)
+                columns += [own[k][words.first : words.first + n][owner] for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, *keys])
 
     return rows.mapInArrow(run, ", ".join([schema, *(f"{k} long" for k in keys)]))
 
 
-def _unique_anchors(h: np.ndarray, _: object) -> tuple[np.ndarray, ...]:
-    return (np.unique(anchors(h)[1]).view(np.int64),)
+def _unique_anchors(words: Words, _: np.ndarray) -> tuple[np.ndarray, ...]:
+    owner, _, found = anchors(words)
+    at = _once(owner, found)
+    return owner[at], found[at].view(np.int64)
 
 
-def _placed_anchors(h: np.ndarray, _: object) -> tuple[np.ndarray, ...]:
-    at, found = anchors(h)
-    return found.view(np.int64), at
+def _placed_anchors(words: Words, _: np.ndarray) -> tuple[np.ndarray, ...]:
+    owner, place, found = anchors(words)
+    return owner, found.view(np.int64), place
 
 
-def _windows(h: np.ndarray, marks: list[dict] | None) -> tuple[np.ndarray, ...]:
-    first, second = _both(h, extended(marks, len(h)))
-    _, at = np.unique(first, return_index=True)
-    return first[at], second[at]
+def _windows(words: Words, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    starts = extended(words, seen)
+    owner, (first, second) = words.owner[starts], _both(words, starts)
+    at = _once(owner, first)
+    return owner[at], first[at], second[at]
 
 
-def _placed_windows(h: np.ndarray, marks: list[dict] | None) -> tuple[np.ndarray, ...]:
-    at = extended(marks, len(h))
-    return *_both(h, at), at
+def _placed_windows(words: Words, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    starts = extended(words, seen)
+    return words.owner[starts], *_both(words, starts), words.places()[0][starts]
 
 
 def _marks(places: DataFrame) -> DataFrame:
@@ -140,10 +154,12 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return suspects, store(_marks(places), "removed")
 
 
-def removed_words(marks: list[dict] | None, n: int) -> np.ndarray:
+def removed_words(marks: list[dict], n: int) -> np.ndarray:
     """Which of ``n`` words lie in a window that starts at a marked position."""
     edges = np.zeros(n + 1, np.int64)
-    starts = np.flatnonzero(bits(marks, n))
+    bits = np.array([m["bits"] for m in marks], np.int64).view(np.uint8).reshape(-1, 8)
+    row, bit = np.nonzero(np.unpackbits(bits, axis=1, bitorder="little"))
+    starts = 64 * np.array([m["block"] for m in marks])[row] + bit
     np.add.at(edges, starts, 1)
     np.add.at(edges, np.minimum(starts + WINDOW, n), -1)
     return np.cumsum(edges)[:n] > 0
