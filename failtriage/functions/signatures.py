@@ -26,16 +26,30 @@ def normalized(kind: str, value: Column) -> Column:
     return F.lower(strip(value))
 
 
-def hash_of_sorted(values: Column) -> Column:
-    """Hash of values that are already normalised, distinct and sorted."""
-    digest = F.substring(F.md5(F.array_join(values, "|")), 1, PART_CHARS)
-    return F.when(F.size(values) == 0, F.lit(EMPTY)).otherwise(digest)
+def digests(value: Column) -> tuple[Column, Column]:
+    """Two numbers of a value, to be combined by xor and by sum."""
+    text = F.md5(value)
+
+    def number(start: int, chars: int) -> Column:
+        return F.conv(F.substring(text, start, chars), 16, 10).cast("bigint")
+
+    return number(1, 15), number(17, 8)
+
+
+def hash_of_digests(count: Column, xored: Column, summed: Column) -> Column:
+    """Hash of a set from its size and the combined digests of its values, whatever its size and order."""
+    text = F.concat_ws(":", count.cast("string"), xored.cast("string"), summed.cast("string"))
+    return F.when(count == 0, F.lit(EMPTY)).otherwise(F.substring(F.md5(text), 1, PART_CHARS))
 
 
 def list_hash(values: Column, kind: str = "type") -> Column:
     """Hash of a list that ignores order, case, outer blanks and repetition."""
     clean = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: normalized(kind, v))
-    return hash_of_sorted(F.array_sort(F.array_distinct(clean)))
+    distinct = F.array_distinct(clean)
+    zero = F.lit(0).cast("bigint")
+    xored = F.aggregate(distinct, zero, lambda total, v: total.bitwiseXOR(digests(v)[0]))
+    summed = F.aggregate(distinct, zero, lambda total, v: total + digests(v)[1])
+    return hash_of_digests(F.size(distinct), xored, summed)
 
 
 def combined_hash(errors: Column, files: Column, types: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from failtriage.rules import MIN_TERM_CHARS, STOP_WORDS, WEIGHTS, Weights
 
 WORD = r"[\p{L}\p{N}_]+"
-MAX_TERMS = 5
+HYPHENATED = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*"
 
 
 def word_set(text: Column) -> Column:
@@ -70,11 +70,12 @@ def weighted_score(
 
 
 def clean_words(text: Column) -> Column:
-    """Words worth searching for: no short words, no plain numbers."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    """Words worth searching for: no short words, no plain numbers; hyphens join."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(HYPHENATED), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) >= MIN_TERM_CHARS) & ~w.rlike(r"^\p{Nd}+\z"))
 
 
-def search_terms(text: Column, n: int = MAX_TERMS) -> Column:
-    """The first few words worth searching for, as one phrase."""
-    return F.array_join(F.slice(clean_words(text), 1, n), " ")
+def search_terms(text: Column, n: int | None = None) -> Column:
+    """The words worth searching for, or the first ``n`` of them, as one phrase."""
+    words = clean_words(text)
+    return F.array_join(words if n is None else F.slice(words, 1, n), " ")

@@ -53,13 +53,11 @@ def rlike_any(text: Column, patterns: Iterable[str], *, any_case: bool = True) -
     return text.rlike((ANY_CASE if any_case else EXACT_CASE) + joined)
 
 
-def phrase_mask(text: Column, phrases: Sequence[str]) -> Column:
-    """One bit per phrase found in ``text``; masks of many rows combine with ``bit_or``."""
-    bits = [
-        F.when(F.contains(text, F.lit(p)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-        for i, p in enumerate(phrases)
-    ]
-    return reduce(lambda a, b: a + b, bits, F.lit(0).cast("bigint"))
+def found_phrases(text: Column, phrases: Sequence[str], patterns: Sequence[str] = ()) -> Column:
+    """The phrases that ``text`` contains and the patterns that match it, any number of them."""
+    found = [F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases]
+    found += [F.when(text.rlike(EXACT_CASE + p), F.lit(p)) for p in patterns]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def glob_to_regex(glob: str) -> str:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from failtriage.functions.signatures import (
-    EMPTY, PART_CHARS, combined_hash, hash_of_sorted, list_hash, normalized,
-)
+from failtriage.functions.signatures import combined_hash, digests, hash_of_digests, list_hash, normalized
 from failtriage.operators.groups import KEY
 from failtriage.session import materialize
 
-LIST_HASH_LIMIT = 256
-
 
 def with_signature(
     df: DataFrame,
@@ -28,47 +24,27 @@ def with_signature(
     ).withColumn("signature", combined_hash(F.col("error_hash"), F.col("file_hash"), F.col("type_hash")))
 
 
-def _digest(value: Column) -> Column:
-    return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("bigint")
-
-
-def group_signatures(values: DataFrame, limit: int = LIST_HASH_LIMIT) -> DataFrame:
+def group_signatures(values: DataFrame) -> DataFrame:
     """Signature of each failure group, from its distinct values as rows.
 
-    Lists of up to ``limit`` values are sorted and hashed as one text. Of longer
-    lists only ``limit + 1`` values per task are ever moved, enough to see that
-    they are longer; they hash their length and an order-free digest. Equal
-    lists have equal length, so the two kinds never need to be compared.
+    Equal to that of ``with_signature`` for the same values. Only counts and
+    digests are combined, so no list is gathered.
     """
-    kinds = ("pattern", "file", "type")
-    value = F.col("value")
-    clean = F.when(F.col("kind") == "pattern", normalized("pattern", value)).when(
-        F.col("kind") == "file", normalized("file", value)
+    names = {"pattern": "error_hash", "file": "file_hash", "type": "type_hash"}
+    value, kind = F.col("value"), F.col("kind")
+    clean = F.when(kind == "pattern", normalized("pattern", value)).when(
+        kind == "file", normalized("file", value)
     ).otherwise(normalized("type", value))
-    distinct = values.select(*KEY, "kind", clean.alias("value")).distinct()
-    sizes = distinct.groupBy(*KEY, "kind").agg(
-        F.count("*").alias("n"), F.bit_xor(_digest(value)).alias("digest")
-    )
-    in_order = Window.partitionBy(*KEY, "kind").orderBy("value")
-    lists = (
-        distinct.withColumn("_place", F.row_number().over(in_order))
-        .where(F.col("_place") <= limit + 1)
-        .groupBy(*KEY, "kind")
-        .agg(F.sort_array(F.collect_list("value")).alias("list"))
-    )
-    long_text = F.concat_ws(":", F.col("n").cast("string"), F.col("digest").cast("string"))
-    hashed = lists.join(sizes, [*KEY, "kind"]).select(
-        *KEY, "kind",
-        F.when(F.col("n") <= limit, hash_of_sorted(F.col("list")))
-        .otherwise(F.substring(F.md5(long_text), 1, PART_CHARS))
-        .alias("hash"),
-    )
+    distinct = values.where(kind.isin(*names)).select(*KEY, "kind", clean.alias("value")).distinct()
+    first, second = digests(value)
 
-    def part(kind: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("hash"))), F.lit(EMPTY))
+    def part(name: str) -> Column:
+        own = kind == name
+        xored = F.coalesce(F.bit_xor(F.when(own, first)), F.lit(0))
+        summed = F.coalesce(F.sum(F.when(own, second)), F.lit(0))
+        return hash_of_digests(F.count_if(own), xored, summed)
 
-    names = {"pattern": "error_hash", "file": "file_hash", "type": "type_hash"}
-    parts = hashed.groupBy(*KEY).agg(*[part(k).alias(names[k]) for k in kinds])
+    parts = distinct.groupBy(*KEY).agg(*[part(k).alias(name) for k, name in names.items()])
     return parts.withColumn("signature", combined_hash(F.col("error_hash"), F.col("file_hash"), F.col("type_hash")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from failtriage.functions.text import strip
+from failtriage.rules import DEFAULT_RULES, RuleSet
 
 KEY = ["repo", "group_key"]
 SHOWN_PATTERNS = 5
@@ -26,11 +27,11 @@ def type_counts(failures: DataFrame) -> DataFrame:
 
 
 def group_values(failures: DataFrame) -> DataFrame:
-    """Distinct types, patterns and files of each group, one row per value.
+    """Distinct types, patterns, files, safe commands and sensitive phrases of each group, one row per value.
 
     A failure has one type, so the type row of a group also holds the facts of
     the group as a whole: see ``group_failures``. One pass over the failures
-    serves counts, extremes, masks and values.
+    serves counts, extremes and values.
     """
 
     def tagged(kind: str, values: Column) -> Column:
@@ -40,31 +41,29 @@ def group_values(failures: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("type").alias("kind"), F.col("failure_type").alias("value"))),
         tagged("pattern", F.col("error_patterns")),
         tagged("file", F.col("affected_files")),
+        tagged("command", F.col("commands")),
+        tagged("phrase", F.col("phrases")),
     )
     return (
-        failures.select(*KEY, "created_at", "job_id", "safe_mask", "strategic_mask", F.inline(values))
+        failures.select(*KEY, "created_at", "job_id", F.inline(values))
         .groupBy(*KEY, "kind", "value")
         .agg(
             F.count("*").alias("occurrences"),
             F.min("created_at").alias("first_seen"),
             F.max("created_at").alias("last_seen"),
             F.min("job_id").alias("first_job_id"),
-            F.bit_or("safe_mask").alias("safe_mask"),
-            F.bit_or("strategic_mask").alias("strategic_mask"),
         )
     )
 
 
 def group_failures(values: DataFrame) -> DataFrame:
-    """One row per group with counts, extremes and the merged log masks."""
+    """One row per group with counts and extremes."""
     return values.where(F.col("kind") == "type").groupBy(*KEY).agg(
         F.sum("occurrences").alias("failure_count"),
         F.min("value").alias("failure_type"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
         F.min("first_job_id").alias("first_job_id"),
-        F.bit_or("safe_mask").alias("safe_mask"),
-        F.bit_or("strategic_mask").alias("strategic_mask"),
     )
 
 
@@ -77,9 +76,9 @@ def value_counts(values: DataFrame) -> DataFrame:
 
 
 def shown_values(values: DataFrame, n_patterns: int = SHOWN_PATTERNS, n_files: int = SHOWN_FILES) -> DataFrame:
-    """The most frequent patterns and files of each group as short arrays."""
+    """The most frequent patterns and files of each group as short arrays, and how many more there are."""
     best = Window.partitionBy(*KEY, "kind").orderBy(F.desc("occurrences"), "value")
-    ranked = values.where(F.col("kind") != "type").withColumn("rank", F.row_number().over(best))
+    ranked = values.where(F.col("kind").isin("pattern", "file")).withColumn("rank", F.row_number().over(best))
     kept = ranked.where(F.col("rank") <= max(n_patterns, n_files)).where(
         F.when(F.col("kind") == "pattern", F.col("rank") <= n_patterns).otherwise(F.col("rank") <= n_files)
     )
@@ -88,7 +87,18 @@ def shown_values(values: DataFrame, n_patterns: int = SHOWN_PATTERNS, n_files: i
         rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "value"))))
         return F.transform(rows, lambda r: r["value"])
 
-    return kept.groupBy(*KEY).agg(ordered("pattern").alias("top_patterns"), ordered("file").alias("top_files"))
+    shown = kept.groupBy(*KEY).agg(ordered("pattern").alias("top_patterns"), ordered("file").alias("top_files"))
+    return shown.join(value_counts(values), KEY).select(
+        *KEY, "top_patterns", "top_files",
+        (F.col("pattern_count") - F.size("top_patterns")).alias("more_patterns"),
+        (F.col("file_count") - F.size("top_files")).alias("more_files"),
+    )
+
+
+def and_more(text: Column, more: str, glue: str) -> Column:
+    """A list as text, and how many entries it leaves out, if any."""
+    rest = F.when(F.col(more) > 0, F.concat(F.lit("and "), F.col(more).cast("string"), F.lit(" more")))
+    return F.concat_ws(glue, text, rest)
 
 
 def recent_links(failures: DataFrame, n: int = SHOWN_LINKS) -> DataFrame:
@@ -114,39 +124,35 @@ def occurrence_summary(failures: DataFrame, n: int = SHOWN_LINKS) -> DataFrame:
     return totals.join(recent_links(failures, n), KEY).select("*", more)
 
 
-def sample_logs(failures: DataFrame) -> DataFrame:
-    """Log sample of the newest failure of each group, cut before it is shuffled."""
-    newest = F.struct("created_at", "run_id", "job_id")
-    return failures.groupBy(*KEY).agg(F.max_by("log_sample", newest).alias("log_sample"))
+def sample_logs(failures: DataFrame, logs: DataFrame) -> DataFrame:
+    """Whole log of the newest failure of each group: found by its key, then joined, one log for each group."""
+    newest = failures.groupBy(*KEY).agg(F.max(F.struct("created_at", "run_id", "job_id")).alias("newest"))
+    found = newest.select(*KEY, F.col("newest.job_id").alias("job_id"))
+    return found.join(logs.select("repo", "job_id", F.col("logs").alias("log_sample")), ["repo", "job_id"])
 
 
 def analysis_context(groups: DataFrame, shown: DataFrame, samples: DataFrame) -> DataFrame:
     """The facts of a group as one text, for whoever analyses it."""
     joined = groups.join(shown, KEY, "left").join(samples, KEY, "left")
-    patterns = F.array_join("top_patterns", "; ")
-    files = F.array_join("top_files", ", ")
+    patterns = and_more(F.array_join("top_patterns", "; "), "more_patterns", "; ")
+    files = and_more(F.array_join("top_files", ", "), "more_files", ", ")
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("Repository: "), F.col("repo")),
         F.concat(F.lit("Failures: "), F.col("failure_count").cast("string")),
         F.concat(F.lit("Kind: "), F.col("failure_type")),
-        F.when(patterns != "", F.concat(F.lit("Errors: "), patterns)),
-        F.when(files != "", F.concat(F.lit("Files: "), files)),
+        F.when(F.size("top_patterns") > 0, F.concat(F.lit("Errors: "), patterns)),
+        F.when(F.size("top_files") > 0, F.concat(F.lit("Files: "), files)),
         F.concat(F.lit("Sample log:\n"), F.col("log_sample")),
     )
     return joined.select(*KEY, text.alias("context"))
 
 
-def normalize_pattern(pattern: Column) -> Column:
-    """Mask what varies between occurrences of one error.
-
-    In this order: numbers after a colon go, inner path segments collapse,
-    dates and times are masked.
-    """
-    text = F.regexp_replace(pattern, r":[0-9]+", "")
-    text = F.regexp_replace(text, r"/[^ ]+/", "/.../")
-    text = F.regexp_replace(text, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "<date>")
-    return F.regexp_replace(text, r"[0-9]{2}:[0-9]{2}:[0-9]{2}", "<time>")
+def normalize_pattern(pattern: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """Mask what varies between occurrences of one error, as the rules say."""
+    for part, mask in rules.variable_parts:
+        pattern = F.regexp_replace(pattern, part, mask)
+    return pattern
 
 
 def _signed(failures: DataFrame) -> DataFrame:

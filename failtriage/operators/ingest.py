@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_RUNS = 5
 
-
-def recent_failed_runs(runs: DataFrame, n: int | None = DEFAULT_RUNS) -> DataFrame:
+def recent_failed_runs(runs: DataFrame, n: int | None = None) -> DataFrame:
     """The ``n`` newest failed runs of each repository, or all of them for ``None``.
 
     The rank filter becomes a group limit before the shuffle, so a repository

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from failtriage.operators.groups import KEY, SHOWN_LINKS
+from failtriage.operators.groups import KEY, SHOWN_LINKS, and_more
 from failtriage.rules import (
     BASE_LABEL, DEFAULT_RULES, DEFAULT_TAG, NEWCOMER_LABEL, OPTIONAL_KEYS, REQUIRED_KEYS,
     RISK_LEVELS, RISK_TAGS, SENIOR_ASSIGNEE, RuleSet,
@@ -160,8 +160,8 @@ def issue_body(n_links: int = SHOWN_LINKS) -> Column:
         section("Suggested fix", F.col("answer.suggested_fix")),
         section("How to verify", F.col("answer.verification")),
         section("How to prevent", F.col("answer.prevention")),
-        section("Errors", bullets("top_patterns")),
-        section("Files", bullets("top_files")),
+        section("Errors", and_more(bullets("top_patterns"), "more_patterns", "\n")),
+        section("Files", and_more(bullets("top_files"), "more_files", "\n")),
         F.lit("\n## Occurrences"),
         F.concat(F.lit("Most recent: "), stamp("last_seen")),
         F.concat(F.lit("First: "), stamp("first_seen")),

@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from failtriage.functions.text import all_matches, contains_any, phrase_mask
-from failtriage.rules import (
-    DEFAULT_RULES, MAX_FILES, MAX_PATTERNS, SAMPLE_CHARS, UNKNOWN, RuleSet,
-)
+from failtriage.functions.text import all_matches, contains_any, found_phrases
+from failtriage.rules import DEFAULT_RULES, UNKNOWN, RuleSet
 
 _ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 
 
 def error_patterns(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
-    """At most ten distinct error patterns of a whole log, any case."""
-    return F.slice(all_matches(text, rules.errors, any_case=True), 1, MAX_PATTERNS)
+    """All distinct error patterns of a whole log, any case."""
+    return all_matches(text, rules.errors, any_case=True)
 
 
 def affected_files(text: Column, rules: RuleSet = DEFAULT_RULES, *, drop_addresses: bool = True) -> Column:
-    """At most twenty distinct files of a whole log; noise is dropped before the cut."""
+    """All distinct files of a whole log but noise."""
     found = all_matches(text, rules.files, any_case=False)
 
     def wanted(path: Column) -> Column:
         keep = ~contains_any(path, rules.noise)
         return keep & ~path.rlike(_ADDRESS) if drop_addresses else keep
 
-    return F.slice(F.filter(found, wanted), 1, MAX_FILES)
+    return F.filter(found, wanted)
 
 
 def failure_type(lowered: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
@@ -38,15 +36,15 @@ def failure_type(lowered: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
 
 
 def group_key(ftype: Column, patterns: Column, files: Column) -> Column:
-    """Type, start of the first pattern, first file; absent parts are skipped."""
-    return F.concat_ws("|", ftype, F.substring(F.get(patterns, 0), 1, 50), F.get(files, 0))
+    """Type, first pattern, first file; absent parts are skipped."""
+    return F.concat_ws("|", ftype, F.get(patterns, 0), F.get(files, 0))
 
 
 def parse_logs(logs: DataFrame, rules: RuleSet = DEFAULT_RULES, *, drop_addresses: bool = True) -> DataFrame:
     """Replace ``logs`` by what later steps need of it.
 
-    The text is read once, where it is stored; afterwards a row holds at most
-    ten patterns, twenty files, two bit masks and a sample of 2,000 characters.
+    The text is read once, where it is stored; afterwards a row holds patterns,
+    files and the safe commands and sensitive phrases that the log names.
     """
     text = F.coalesce(F.col("logs"), F.lit(""))
     parsed = logs.withColumn("_lower", F.lower(text)).withColumns(
@@ -54,9 +52,8 @@ def parse_logs(logs: DataFrame, rules: RuleSet = DEFAULT_RULES, *, drop_addresse
             "error_patterns": error_patterns(text, rules),
             "affected_files": affected_files(text, rules, drop_addresses=drop_addresses),
             "failure_type": failure_type(F.col("_lower"), rules),
-            "safe_mask": phrase_mask(F.col("_lower"), rules.safe.log_phrases),
-            "strategic_mask": phrase_mask(F.col("_lower"), rules.strategic.log_phrases),
-            "log_sample": F.substring(text, 1, SAMPLE_CHARS),
+            "commands": found_phrases(F.col("_lower"), rules.safe.log_phrases, rules.safe.log_patterns),
+            "phrases": found_phrases(F.col("_lower"), rules.strategic.log_phrases, rules.strategic.log_patterns),
         }
     )
     key = group_key(F.col("failure_type"), F.col("error_patterns"), F.col("affected_files"))

@@ -6,8 +6,6 @@ so a group with very many patterns or files needs no array.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +14,12 @@ from failtriage.functions.text import (
 )
 from failtriage.operators.groups import KEY
 from failtriage.rules import (
-    DEFAULT_BLAST, DEFAULT_RULES, SAFE_THRESHOLD, STRATEGIC_THRESHOLD, RuleSet,
+    DEFAULT_BLAST, DEFAULT_RULES, NAMED_FAMILIES, RAISED_SCORE, RuleSet,
 )
 
-SHOWN_FAMILIES = 2
-
 
 def value_hits(values: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Per group, how many distinct patterns and files match each rule family, and its log masks."""
+    """Per group, how many distinct values match each rule family, and which file families it touches."""
     value = F.col("value")
     is_pattern, is_file = F.col("kind") == "pattern", F.col("kind") == "file"
 
@@ -33,11 +29,7 @@ def value_hits(values: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
         )
         return F.count_if(hit).alias(name)
 
-    blast_mask = reduce(
-        lambda a, b: a + b,
-        [F.when(is_file & rlike_any(value, [p]), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, p) in enumerate(rules.blast)],
-        F.lit(0),
-    )
+    families = [F.coalesce(F.bool_or(is_file & rlike_any(value, [p])), F.lit(False)) for _, p in rules.blast]
     override = F.when(is_file, first_override(value, [o.pattern for o in rules.overrides]))
     return values.groupBy(*KEY).agg(
         F.count_if(is_pattern).alias("pattern_count"),
@@ -47,23 +39,24 @@ def value_hits(values: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
         hits("tactical_hits", rules.tactical),
         F.coalesce(F.bool_or(is_pattern & contains_any(F.lower(value), rules.autofix)), F.lit(False)).alias("autofix"),
         F.count_if(is_file & rlike_any(value, rules.strategic.file_patterns, any_case=False)).alias("critical_files"),
-        F.bit_or(blast_mask.cast("bigint")).alias("blast_mask"),
-        F.bit_or("safe_mask").alias("safe_mask"),
-        F.bit_or("strategic_mask").alias("strategic_mask"),
+        F.array(*families).cast("array<boolean>").alias("families"),
+        F.count_if(F.col("kind") == "command").alias("command_count"),
+        F.count_if(F.col("kind") == "phrase").alias("phrase_count"),
+        F.count_if(is_file & rlike_any(value, [rules.document_files])).alias("document_files"),
         F.min(override).alias("override_pos"),
     )
 
 
 def safe_score() -> Column:
     """Hits over checks: one check per pattern and file, one for the commands of the log."""
-    command = F.when(F.col("safe_mask") > 0, F.lit(1)).otherwise(F.lit(0))
+    command = F.when(F.col("command_count") > 0, F.lit(1)).otherwise(F.lit(0))
     checks = F.col("pattern_count") + F.col("file_count") + F.lit(1)
     return (F.col("safe_hits") + command).cast("double") / checks.cast("double")
 
 
 def strategic_score() -> Column:
     """Two points per hit and half a point per phrase, over two per item and one."""
-    phrases = F.bit_count("strategic_mask").cast("double") * F.lit(0.5)
+    phrases = F.col("phrase_count").cast("double") * F.lit(0.5)
     points = F.col("strategic_hits").cast("double") * F.lit(2.0) + phrases
     most = (F.col("pattern_count") + F.col("file_count")).cast("double") * F.lit(2.0) + F.lit(1.0)
     return points / most
@@ -74,12 +67,19 @@ def risk_scores(values: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
 
 
 def _blast_radius(rules: RuleSet) -> Column:
-    names = [
-        F.when(F.col("blast_mask").bitwiseAND(F.lit(1 << i)) > 0, F.lit(name))
-        for i, (name, _) in enumerate(rules.blast)
-    ]
-    found = F.slice(F.array_compact(F.array(*names)), 1, SHOWN_FAMILIES)
-    return F.when(F.size(found) == 0, F.lit(DEFAULT_BLAST)).otherwise(F.array_join(found, "; "))
+    """All file families that a strategic group touches; of others, what their level means."""
+    names = [F.when(_touches(rules, name), F.lit(name)) for name, _ in rules.blast]
+    found = F.array_compact(F.array(*names)).cast("array<string>")
+    strategic = F.when(F.size(found) == 0, F.lit(DEFAULT_BLAST)).otherwise(F.array_join(found, "; "))
+    chain = F
+    for level, text in rules.level_blast.items():
+        chain = chain.when(F.col("risk_level") == level, F.lit(text))
+    return strategic if chain is F else chain.otherwise(strategic)
+
+
+def _touches(rules: RuleSet, family: str) -> Column:
+    known = [name for name, _ in rules.blast]
+    return F.get("families", F.lit(known.index(family))) if family in known else F.lit(False)
 
 
 def _effort() -> Column:
@@ -97,7 +97,7 @@ def _effort() -> Column:
     )
 
 
-def _reasoning() -> Column:
+def _reasoning(rules: RuleSet) -> Column:
     level = F.col("risk_level")
     critical = F.when(
         F.col("critical_files") > 0,
@@ -107,12 +107,17 @@ def _reasoning() -> Column:
         "; ",
         F.concat(F.lit("strategic score "), two_decimals(F.col("strategic_score"))),
         critical,
-        F.when(F.col("strategic_mask") > 0, F.lit("the log names sensitive areas")),
+        *[F.when(_touches(rules, name), F.lit(f"touches {name}")) for name in NAMED_FAMILIES],
+        F.when(F.col("phrase_count") > 0, F.lit("the log names sensitive areas")),
     )
     safe = F.concat_ws(
         "; ",
         F.concat(F.lit("safe score "), two_decimals(F.col("safe_score"))),
         F.when(F.col("autofix"), F.lit("a tool can fix it")),
+        F.when(
+            (F.col("file_count") > 0) & (F.col("document_files") == F.col("file_count")),
+            F.lit("only documentation is affected"),
+        ),
     )
     tactical = F.concat_ws(
         "; ",
@@ -121,6 +126,10 @@ def _reasoning() -> Column:
             F.col("tactical_hits") > 0,
             F.concat(F.lit("tactical hits: "), F.col("tactical_hits").cast("string")),
         ),
+        F.when(
+            F.col("strategic_score") > F.lit(RAISED_SCORE),
+            F.concat(F.lit("raised strategic score "), two_decimals(F.col("strategic_score"))),
+        ),
     )
     return F.when(level == "strategic", strategic).when(level == "safe", safe).otherwise(tactical)
 
@@ -131,8 +140,8 @@ def assess_risk(scores: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     A configured override comes first, with full confidence; then the strategic
     and the safe threshold, both strict; all else is tactical.
     """
-    strategic = F.col("strategic_score") > F.lit(STRATEGIC_THRESHOLD)
-    safe = F.col("safe_score") > F.lit(SAFE_THRESHOLD)
+    strategic = F.col("strategic_score") > F.lit(rules.strategic_threshold)
+    safe = F.col("safe_score") > F.lit(rules.safe_threshold)
     configured = F.col("override_pos").isNotNull()
     scored_level = F.when(strategic, "strategic").when(safe, "safe").otherwise("tactical")
     override = F
@@ -148,7 +157,7 @@ def assess_risk(scores: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
             "required_expertise": F.when(strategic, "senior").when(safe, "junior").otherwise("mid"),
             "blast_radius": _blast_radius(rules),
             "estimated_effort": _effort(),
-            "reasoning": _reasoning(),
+            "reasoning": _reasoning(rules),
         }
     )
     texts = ["required_expertise", "blast_radius", "estimated_effort"]

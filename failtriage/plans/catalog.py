@@ -6,6 +6,7 @@ text, so any engine can compare them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from failtriage.functions import similarity as sim
 from failtriage.operators import bulk, dedup, exact, groups, ingest, issues, parse, risk
 from failtriage.operators.groups import KEY
-from failtriage.plans.triage import build_issues, parsed_failures, run_stats
-from failtriage.session import materialize
+from failtriage.plans.triage import build_issues, judged, parsed_failures, run_stats, triage
+from failtriage.rules import TEXT_RULES
+from failtriage.session import configure, materialize
 from failtriage.sources import derived, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +25,11 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    @functools.wraps(fn)
+    def configured(spark: SparkSession, d: str) -> DataFrame:
+        return fn(configure(spark), d)
+
+    QUERIES[fn.__name__] = configured
     return fn
 
 
@@ -69,12 +75,17 @@ def new_and_filed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return materialize(new, "new"), materialize(filed, "filed")
 
 
+def all_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of all failures."""
+    return _issues(written_failures(spark, d))
+
+
 # --- sources ------------------------------------------------------------------
 
 
 @query
 def recent_failed_runs(spark: SparkSession, d: str) -> DataFrame:
-    kept = ingest.recent_failed_runs(derived.runs(spark, d))
+    kept = ingest.recent_failed_runs(derived.runs(spark, d), 5)
     return kept.select("repo", "run_id", "workflow_name", stamp("created_at").alias("created_at"), "run_url")
 
 
@@ -113,7 +124,7 @@ def repo_identity_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def open_issues(spark: SparkSession, d: str) -> DataFrame:
-    _, filed = new_and_filed(spark, d)
+    filed = derived.on_file(all_issues(spark, d))
     return ingest.open_issues(filed).select("repo", "number", "title", joined("labels").alias("labels"))
 
 
@@ -137,6 +148,31 @@ def failure_types(spark: SparkSession, d: str) -> DataFrame:
     return parse.parse_logs(derived.logs(spark, d)).select("repo", "job_id", "failure_type", "group_key")
 
 
+def _text_patterns(table: DataFrame, key: str, text: str) -> DataFrame:
+    """Every pattern and path of every whole text, as rows, and the class of the text."""
+    parsed = table.select(
+        key,
+        parse.error_patterns(F.col(text), TEXT_RULES).alias("patterns"),
+        parse.affected_files(F.col(text), TEXT_RULES).alias("paths"),
+        parse.failure_type(F.lower(text), TEXT_RULES).alias("class"),
+    )
+
+    def tagged(kind: str, column: str) -> Column:
+        return F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    return parsed.select(key, "class", F.inline(F.concat(tagged("pattern", "patterns"), tagged("path", "paths"))))
+
+
+@query
+def document_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return _text_patterns(derived.table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+
+
+@query
+def page_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return _text_patterns(derived.table(spark, d, "pages").where("html IS NOT NULL"), "page_id", "html")
+
+
 # --- groups -------------------------------------------------------------------
 
 
@@ -151,7 +187,7 @@ def failure_groups(spark: SparkSession, d: str) -> DataFrame:
     found = groups.group_failures(values(spark, d))
     return found.select(
         *KEY, "failure_count", "failure_type", stamp("first_seen").alias("first_seen"),
-        stamp("last_seen").alias("last_seen"), "first_job_id", "safe_mask", "strategic_mask",
+        stamp("last_seen").alias("last_seen"), "first_job_id",
     )
 
 
@@ -183,9 +219,8 @@ def group_recent_links(spark: SparkSession, d: str) -> DataFrame:
 def analysis_context(spark: SparkSession, d: str) -> DataFrame:
     failed = written_failures(spark, d)
     distinct = groups.group_values(failed)
-    return groups.analysis_context(
-        groups.group_failures(distinct), groups.shown_values(distinct), groups.sample_logs(failed)
-    )
+    samples = groups.sample_logs(failed, derived.logs(spark, d))
+    return groups.analysis_context(groups.group_failures(distinct), groups.shown_values(distinct), samples)
 
 
 @query
@@ -288,7 +323,7 @@ def safe_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def strategic_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d).select(*KEY, "strategic_hits", "strategic_mask", "strategic_score")
+    return _scores(spark, d).select(*KEY, "strategic_hits", "phrase_count", "strategic_score")
 
 
 @query
@@ -346,7 +381,7 @@ def rejected_responses(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def response_issues(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = new_and_filed(spark, d)
+    new = all_issues(spark, d)
     return new.select(
         *KEY, "number", "title", "risk_level", F.col("priority").cast("bigint").alias("priority"),
         "estimated_effort", "required_expertise",
@@ -355,60 +390,54 @@ def response_issues(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def issue_bodies(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = new_and_filed(spark, d)
+    new = all_issues(spark, d)
     return new.select(*KEY, "body")
 
 
 @query
 def issue_labels(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = new_and_filed(spark, d)
+    new = all_issues(spark, d)
     return new.select(*KEY, joined("labels").alias("labels"))
 
 
 @query
 def issue_assignees(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = new_and_filed(spark, d)
+    new = all_issues(spark, d)
     return new.select(*KEY, joined("assignees").alias("assignees"))
 
 
 @query
 def focus_filter(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = new_and_filed(spark, d)
+    new = all_issues(spark, d)
     return issues.focus(new, "strategic").select("repo", "number", "title")
 
 
 @query
 def priority_filter(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = new_and_filed(spark, d)
+    new = all_issues(spark, d)
     kept = issues.at_least(new, 60)
     return kept.select("repo", "number", F.col("priority").cast("bigint").alias("priority"))
 
 
 @query
 def risk_summary(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = new_and_filed(spark, d)
+    new = all_issues(spark, d)
     return issues.risk_summary(new)
 
 
 @query
 def json_export(spark: SparkSession, d: str) -> DataFrame:
-    new, _ = new_and_filed(spark, d)
+    new = all_issues(spark, d)
     return sinks.export_json(new)
 
 
 # --- duplicates -----------------------------------------------------------------
 
 
-def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """New issues and the scored candidates of each."""
-    new, filed = new_and_filed(spark, d)
-    on_file = ingest.open_issues(filed)
-    return new, dedup.score_pairs(dedup.candidates(new, on_file), new, on_file)
-
-
 def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    new, scored = _judged(spark, d)
-    return new, dedup.verdicts(new, dedup.best_match(scored))
+    """New issues and the verdict on each."""
+    new, filed = new_and_filed(spark, d)
+    return new, judged(new, filed)
 
 
 @query
@@ -423,14 +452,16 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
-    _, scored = _judged(spark, d)
-    return scored.drop("search_rank", "place")
+    new, filed = new_and_filed(spark, d)
+    on_file = ingest.open_issues(filed)
+    return dedup.score_pairs(dedup.candidates(new, on_file), new, on_file).drop("search_rank", "place")
 
 
 @query
 def best_match(spark: SparkSession, d: str) -> DataFrame:
-    _, scored = _judged(spark, d)
-    return dedup.best_match(scored)
+    """The oldest issue on file that reaches the threshold, as the verdicts have it."""
+    _, verdict = _verdicts(spark, d)
+    return verdict.where("is_duplicate").select("repo", "number", "matched_number", "similarity")
 
 
 @query
@@ -470,6 +501,18 @@ def triage_stats(spark: SparkSession, d: str) -> DataFrame:
     return run_stats(later, new, dedup.only_new(new, verdict), None)
 
 
+@query
+def dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """What a whole analysis would open, nothing being sent anywhere."""
+    failed_runs = derived.runs(spark, d).withColumn("status", F.lit("failure"))
+    answers = derived.responses(groups.group_failures(values(spark, d)))
+    done = triage(
+        failed_runs, derived.jobs(spark, d), derived.logs(spark, d), derived.on_file(all_issues(spark, d)),
+        responses=answers, min_priority=60,
+    )
+    return done.to_create.select("repo", "number", "title")
+
+
 @query
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     new, filed = new_and_filed(spark, d)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failtriage.operators import dedup, groups, ingest, issues, parse, risk
+from failtriage.operators import bulk, dedup, groups, ingest, issues, parse, risk
+from failtriage.operators.bulk import KNOWN_TYPES
 from failtriage.operators.groups import KEY
 from failtriage.rules import DEFAULT_RULES, DUPLICATE_THRESHOLD, RuleSet
 from failtriage.session import materialize
@@ -61,10 +62,24 @@ def run_stats(failures: DataFrame, all_issues: DataFrame, left: DataFrame, runs_
     )
 
 
+def no_matches(new: DataFrame) -> DataFrame:
+    """An empty table of matches, for when duplicates are not looked for."""
+    return new.where(F.lit(False)).select(
+        *dedup.ISSUE, F.lit(None).cast("bigint").alias("matched_number"), F.lit(None).cast("double").alias("similarity")
+    )
+
+
+def judged(new: DataFrame, existing: DataFrame, threshold: float = DUPLICATE_THRESHOLD, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """The verdict on each new issue by the search over all open issues; written, as several tables are made of it."""
+    types = tuple(dict.fromkeys([*(t.failure_type for t in rules.types), *KNOWN_TYPES]))
+    found = bulk.near_duplicates(new, ingest.open_issues(existing), threshold=threshold, failure_types=types)
+    return materialize(dedup.verdicts(new, found), "verdicts")
+
+
 def triage(
     runs: DataFrame, jobs: DataFrame, logs: DataFrame, existing: DataFrame, *,
     responses: DataFrame | None = None,
-    n_runs: int | None = ingest.DEFAULT_RUNS,
+    n_runs: int | None = None,
     level: str = "all",
     min_priority: int = 1,
     threshold: float = DUPLICATE_THRESHOLD,
@@ -83,9 +98,7 @@ def triage(
     risks = risk.assess_risk(risk.risk_scores(values, rules), rules)
     all_issues = materialize(build_issues(failures, values, responses, rules), "issues")
     wanted = issues.at_least(issues.focus(all_issues, level), min_priority)
-    on_file = ingest.open_issues(existing)
-    scored = dedup.score_pairs(dedup.candidates(wanted, on_file), wanted, on_file)
-    verdict = dedup.verdicts(wanted, dedup.best_match(scored), threshold)
+    verdict = judged(wanted, existing, threshold, rules) if check_duplicates else dedup.verdicts(wanted, no_matches(wanted))
     to_create = dedup.only_new(wanted, verdict, check_duplicates)
     notes = dedup.recurrence_notes(wanted, verdict, comment and check_duplicates)
     return Triage(

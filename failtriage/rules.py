@@ -46,6 +46,8 @@ class RiskRules:
     error_patterns: tuple[str, ...]
     file_patterns: tuple[str, ...]
     log_phrases: tuple[str, ...] = ()
+    #: Regular expressions for lower-cased logs.
+    log_patterns: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -94,10 +96,6 @@ FILE_RULES: tuple[ExtractRule, ...] = (
 
 FILE_NOISE: tuple[str, ...] = ("/tmp/", "node_modules/", "site-packages/", "/.cache/")
 
-MAX_PATTERNS = 10
-MAX_FILES = 20
-SAMPLE_CHARS = 2000
-
 UNKNOWN = "unknown"
 
 TYPE_RULES: tuple[TypeRule, ...] = (
@@ -141,6 +139,7 @@ SAFE_RULES = RiskRules(
     ),
     file_patterns=(r"\.md$", r"\.rst$", r"\.css$", r"(^|/)docs/", r"helpers?\.", r"\.editorconfig$"),
     log_phrases=("ruff --fix", "black .", "isort .", "prettier --write"),
+    log_patterns=(r"style problems?, try",),
 )
 STRATEGIC_RULES = RiskRules(
     error_patterns=(
@@ -180,6 +179,22 @@ BLAST_FAMILIES: tuple[tuple[str, str], ...] = (
     ("test suite", r"(^|/)tests?/"),
 )
 DEFAULT_BLAST = "contained"
+#: What is said of groups that are not strategic.
+LEVEL_BLAST: dict[str, str] = {"safe": "no running code", "tactical": "one component"}
+#: Families that the reasoning for strategic groups names.
+NAMED_FAMILIES: tuple[str, ...] = ("data store", "sign-in")
+DOCUMENT_FILES = r"\.(md|rst|txt)$|(^|/)docs/"
+#: Strategic score from which the reasoning for tactical groups mentions it.
+RAISED_SCORE = 0.1
+
+#: What varies between occurrences of one error, in the order of masking; for both engines of regular expressions.
+VARIABLE_PARTS: tuple[tuple[str, str], ...] = (
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?", "<when>"),
+    (r"\b[0-9]{2}:[0-9]{2}:[0-9]{2}\b", "<when>"),
+    (r"0x[0-9a-fA-F]+", "<address>"),
+    (r"/[^ \t\r\n]*/", "/.../"),
+    (r":[0-9]+", ":<n>"),
+)
 
 OVERRIDES: tuple[Override, ...] = (
     Override("deploy/*", "strategic"),
@@ -242,6 +257,29 @@ class RuleSet:
     blast: tuple[tuple[str, str], ...] = BLAST_FAMILIES
     overrides: tuple[Override, ...] = OVERRIDES
     teams: tuple[Team, ...] = TEAMS
-
+    variable_parts: tuple[tuple[str, str], ...] = VARIABLE_PARTS
+    level_blast: dict[str, str] = field(default_factory=lambda: dict(LEVEL_BLAST))
+    document_files: str = DOCUMENT_FILES
+    strategic_threshold: float = STRATEGIC_THRESHOLD
+    safe_threshold: float = SAFE_THRESHOLD
+
+
+#: Rules for running text and web pages: addresses, links and licence lines instead of errors, paths instead of files.
+TEXT_RULES = RuleSet(
+    errors=(
+        ExtractRule("link", r"https?://[^ \t\r\n\"'<>]+"),
+        ExtractRule("mail", r"\b[a-z0-9._%+-]{1,64}@[a-z0-9-]{1,63}\.[a-z0-9.-]{1,63}"),
+        ExtractRule("licence", r"licen[sc]e[^\r\n<]{0,60}"),
+        ExtractRule("version", r"version [0-9]+(?:\.[0-9]+)*"),
+    ),
+    files=(ExtractRule("path", r"(?:href|src)=\"(/[^\"\r\n]*)\"", 1),),
+    noise=(),
+    types=(
+        TypeRule("page", ("<!doctype html", "<html")),
+        TypeRule("licence", ("all rights reserved", "licensed under", "redistributions of")),
+        TypeRule("contact", ("@mail", "+1 (")),
+        TypeRule("list", (" | ",)),
+    ),
+)
 
 DEFAULT_RULES = RuleSet()

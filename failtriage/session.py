@@ -42,6 +42,14 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
     return spark
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Set what the operators rely on, such as splitting of hot join partitions, in a session of any origin."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 

@@ -46,10 +46,11 @@ def any_match(text: str, patterns, flags: str = "(?i)") -> str:
     return "regexp_matches(" + text + ", " + q(flags + "|".join(f"(?:{p})" for p in patterns)) + ")"
 
 
-def mask(text: str, phrases) -> str:
-    return "(" + " + ".join(
-        f"CASE WHEN contains({text}, {q(p)}) THEN {1 << i} ELSE 0 END" for i, p in enumerate(phrases)
-    ) + ")"
+def found(text: str, family) -> str:
+    """Phrases in and patterns on a text, as a list."""
+    parts = [f"CASE WHEN contains({text}, {q(p)}) THEN {q(p)} END" for p in family.log_phrases]
+    parts += [f"CASE WHEN regexp_matches({text}, {q(p)}) THEN {q(p)} END" for p in family.log_patterns]
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
 def like_glob(path: str, glob: str, *, any_case: bool) -> str:
@@ -63,16 +64,15 @@ def stamp(col: str, fmt: str = "%Y-%m-%d %H:%M:%S.%f") -> str:
     return f"strftime({col}, '{fmt}')"
 
 
-def type_case(low: str) -> str:
-    whens = " ".join(f"WHEN {any_contains(low, t.phrases)} THEN {q(t.failure_type)}" for t in R.TYPE_RULES)
+def type_case(low: str, rules=R.TYPE_RULES) -> str:
+    whens = " ".join(f"WHEN {any_contains(low, t.phrases)} THEN {q(t.failure_type)}" for t in rules)
     return f"CASE {whens} ELSE {q(R.UNKNOWN)} END"
 
 
 def normalized(p: str) -> str:
-    p = f"regexp_replace({p}, ':[0-9]+', '', 'g')"
-    p = f"regexp_replace({p}, '/[^ ]+/', '/.../', 'g')"
-    p = f"regexp_replace({p}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', '<date>', 'g')"
-    return f"regexp_replace({p}, '[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}', '<time>', 'g')"
+    for part, mask in R.VARIABLE_PARTS:
+        p = f"regexp_replace({p}, {q(part)}, {q(mask)}, 'g')"
+    return p
 
 
 def stripped(p: str) -> str:
@@ -128,6 +128,10 @@ def bullets(lst: str) -> str:
     return f"array_to_string(list_transform({lst}, lambda x: concat('- ', x)), chr(10))"
 
 
+def and_more(text: str, more: str, glue: str) -> str:
+    return f"concat_ws({glue}, {text}, CASE WHEN {more} > 0 THEN concat('and ', {more}, ' more') END)"
+
+
 FIRST_WORDS = "array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')"
 _files = all_matches("logs", R.FILE_RULES, "")
 _errors = all_matches("logs", R.ERROR_RULES, "(?i)")
@@ -154,39 +158,41 @@ BLOCKS: dict[str, str] = {
     "logs": derived.LOGS_SQL.replace("{events}", "events"),
     "addresses": derived.ADDRESSES_SQL.replace("{orders}", "orders"),
     "parsed": f"""
-        SELECT repo, job_id, error_patterns, affected_files, failure_type, safe_mask, strategic_mask, log_sample,
-               concat_ws('|', failure_type, substring(error_patterns[1], 1, 50), affected_files[1]) AS group_key
+        SELECT repo, job_id, error_patterns, affected_files, failure_type, commands, phrases,
+               concat_ws('|', failure_type, error_patterns[1], affected_files[1]) AS group_key
         FROM (SELECT repo, job_id,
-                     list_slice({first_kept('errs')}, 1, {R.MAX_PATTERNS}) AS error_patterns,
-                     list_slice(list_filter({first_kept('paths')}, lambda p: NOT {any_contains('p', R.FILE_NOISE)}
-                         AND NOT regexp_full_match(p, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}')), 1, {R.MAX_FILES}) AS affected_files,
+                     {first_kept('errs')} AS error_patterns,
+                     list_filter({first_kept('paths')}, lambda p: NOT {any_contains('p', R.FILE_NOISE)}
+                         AND NOT regexp_full_match(p, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}')) AS affected_files,
                      {type_case('low')} AS failure_type,
-                     {mask('low', R.SAFE_RULES.log_phrases)} AS safe_mask,
-                     {mask('low', R.STRATEGIC_RULES.log_phrases)} AS strategic_mask,
-                     substring(logs, 1, {R.SAMPLE_CHARS}) AS log_sample
+                     {found('low', R.SAFE_RULES)} AS commands,
+                     {found('low', R.STRATEGIC_RULES)} AS phrases
               FROM (SELECT repo, job_id, logs, lower(logs) AS low, {_errors} AS errs, {_files} AS paths FROM logs) l) p""",
     "failures": """
         SELECT j.repo, j.run_id, j.job_id, j.job_name, j.created_at, r.workflow_name, r.run_url,
-               p.error_patterns, p.affected_files, p.failure_type, p.safe_mask, p.strategic_mask, p.log_sample, p.group_key
+               p.error_patterns, p.affected_files, p.failure_type, p.commands, p.phrases, p.group_key
         FROM jobs j JOIN runs r ON r.repo = j.repo AND r.run_id = j.run_id
         JOIN parsed p ON p.repo = j.repo AND p.job_id = j.job_id WHERE j.conclusion = 'failure'""",
     "vals": """
         SELECT repo, group_key, kind, value, count(*) AS occurrences FROM (
             SELECT repo, group_key, 'type' AS kind, failure_type AS value FROM failures
             UNION ALL SELECT repo, group_key, 'pattern', unnest(error_patterns) FROM failures
-            UNION ALL SELECT repo, group_key, 'file', unnest(affected_files) FROM failures) v
+            UNION ALL SELECT repo, group_key, 'file', unnest(affected_files) FROM failures
+            UNION ALL SELECT repo, group_key, 'command', unnest(commands) FROM failures
+            UNION ALL SELECT repo, group_key, 'phrase', unnest(phrases) FROM failures) v
         GROUP BY ALL""",
     "grouped": """
         SELECT repo, group_key, count(*) AS failure_count, min(failure_type) AS failure_type,
-               min(created_at) AS first_seen, max(created_at) AS last_seen, min(job_id) AS first_job_id,
-               bit_or(safe_mask) AS safe_mask, bit_or(strategic_mask) AS strategic_mask
+               min(created_at) AS first_seen, max(created_at) AS last_seen, min(job_id) AS first_job_id
         FROM failures GROUP BY repo, group_key""",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY repo, group_key, kind ORDER BY occurrences DESC, value) AS rn FROM vals",
     "shown": """
         SELECT repo, group_key,
                coalesce(list(value ORDER BY rn) FILTER (WHERE kind = 'pattern' AND rn <= 5), []) AS top_patterns,
-               coalesce(list(value ORDER BY rn) FILTER (WHERE kind = 'file' AND rn <= 10), []) AS top_files
-        FROM ranked WHERE kind <> 'type' GROUP BY repo, group_key""",
+               coalesce(list(value ORDER BY rn) FILTER (WHERE kind = 'file' AND rn <= 10), []) AS top_files,
+               greatest(count(*) FILTER (WHERE kind = 'pattern') - 5, 0) AS more_patterns,
+               greatest(count(*) FILTER (WHERE kind = 'file') - 10, 0) AS more_files
+        FROM ranked WHERE kind IN ('pattern', 'file') GROUP BY repo, group_key""",
     "links": """
         SELECT repo, group_key, list(run_url ORDER BY rn) AS links FROM (
             SELECT *, row_number() OVER (PARTITION BY repo, group_key ORDER BY created_at DESC, run_id DESC, job_id) AS rn
@@ -202,17 +208,19 @@ BLOCKS: dict[str, str] = {
                {_hits(R.TACTICAL_RULES)} AS tactical_hits,
                count(*) FILTER (WHERE {_value_pattern} AND {any_contains('lower(value)', R.AUTOFIX_PHRASES)}) > 0 AS autofix,
                count(*) FILTER (WHERE {_value_file} AND {any_match('value', R.STRATEGIC_RULES.file_patterns, '')}) AS critical_files,
+               count(*) FILTER (WHERE kind = 'command') AS command_count, count(*) FILTER (WHERE kind = 'phrase') AS phrase_count,
+               count(*) FILTER (WHERE {_value_file} AND {any_match('value', [R.DOCUMENT_FILES])}) AS document_files,
                list_filter([{', '.join(f"CASE WHEN count(*) FILTER (WHERE {_value_file} AND {any_match('value', [p])}) > 0 THEN {q(n)} END" for n, p in R.BLAST_FAMILIES)}],
                    lambda x: x IS NOT NULL) AS blast,
                min(CASE WHEN {_value_file} THEN {_override} END) AS override_pos
         FROM vals GROUP BY repo, group_key""",
     "scores": """
-        SELECT h.*, g.safe_mask, g.strategic_mask,
-               (safe_hits + CASE WHEN g.safe_mask > 0 THEN 1 ELSE 0 END)::DOUBLE
+        SELECT h.*,
+               (safe_hits + CASE WHEN command_count > 0 THEN 1 ELSE 0 END)::DOUBLE
                    / (pattern_count + file_count + 1)::DOUBLE AS safe_score,
-               (strategic_hits::DOUBLE * 2.0::DOUBLE + bit_count(g.strategic_mask)::DOUBLE * 0.5::DOUBLE)
+               (strategic_hits::DOUBLE * 2.0::DOUBLE + phrase_count::DOUBLE * 0.5::DOUBLE)
                    / ((pattern_count + file_count)::DOUBLE * 2.0::DOUBLE + 1.0::DOUBLE) AS strategic_score
-        FROM hits h JOIN grouped g ON g.repo = h.repo AND g.group_key = h.group_key""",
+        FROM hits h""",
     "leveled": f"""
         SELECT *, CASE WHEN strategic_score > {R.STRATEGIC_THRESHOLD}::DOUBLE THEN 'strategic'
                        WHEN safe_score > {R.SAFE_THRESHOLD}::DOUBLE THEN 'safe' ELSE 'tactical' END AS scored
@@ -224,8 +232,10 @@ BLOCKS: dict[str, str] = {
                     WHEN scored = 'safe' THEN safe_score ELSE 0.6::DOUBLE END AS confidence,
                CASE WHEN override_pos IS NOT NULL THEN 'configured'
                     ELSE CASE scored WHEN 'strategic' THEN 'senior' WHEN 'safe' THEN 'junior' ELSE 'mid' END END AS required_expertise,
-               CASE WHEN override_pos IS NOT NULL THEN 'configured' WHEN len(blast) = 0 THEN {q(R.DEFAULT_BLAST)}
-                    ELSE array_to_string(blast[1:2], '; ') END AS blast_radius,
+               CASE WHEN override_pos IS NOT NULL THEN 'configured'
+                    WHEN scored <> 'strategic' THEN CASE scored {' '.join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.LEVEL_BLAST.items())} END
+                    WHEN len(blast) = 0 THEN {q(R.DEFAULT_BLAST)}
+                    ELSE array_to_string(blast, '; ') END AS blast_radius,
                CASE WHEN override_pos IS NOT NULL THEN 'configured'
                     WHEN scored = 'strategic' THEN CASE WHEN strategic_score > 0.8::DOUBLE THEN '1 to 2 weeks'
                         WHEN strategic_score > 0.5::DOUBLE THEN '3 to 5 days' ELSE '1 to 3 days' END
@@ -234,11 +244,15 @@ BLOCKS: dict[str, str] = {
                CASE WHEN override_pos IS NOT NULL THEN 'configured override'
                     WHEN scored = 'strategic' THEN concat_ws('; ', concat('strategic score ', {two_decimals('strategic_score')}),
                         CASE WHEN critical_files > 0 THEN concat('critical files: ', critical_files) END,
-                        CASE WHEN strategic_mask > 0 THEN 'the log names sensitive areas' END)
+                        {', '.join(f"CASE WHEN list_contains(blast, {q(n)}) THEN {q('touches ' + n)} END" for n in R.NAMED_FAMILIES)},
+                        CASE WHEN phrase_count > 0 THEN 'the log names sensitive areas' END)
                     WHEN scored = 'safe' THEN concat_ws('; ', concat('safe score ', {two_decimals('safe_score')}),
-                        CASE WHEN autofix THEN 'a tool can fix it' END)
+                        CASE WHEN autofix THEN 'a tool can fix it' END,
+                        CASE WHEN file_count > 0 AND document_files = file_count THEN 'only documentation is affected' END)
                     ELSE concat_ws('; ', 'neither clearly safe nor strategic',
-                        CASE WHEN tactical_hits > 0 THEN concat('tactical hits: ', tactical_hits) END) END AS reasoning
+                        CASE WHEN tactical_hits > 0 THEN concat('tactical hits: ', tactical_hits) END,
+                        CASE WHEN strategic_score > {R.RAISED_SCORE}::DOUBLE
+                             THEN concat('raised strategic score ', {two_decimals('strategic_score')}) END) END AS reasoning
         FROM leveled""",
     "fallback": f"""
         SELECT *, concat_ws(' ', {tag('risk_level')}, raw_title) AS title,
@@ -264,12 +278,12 @@ BLOCKS: dict[str, str] = {
               FROM n_feat n JOIN e_feat e ON e.repo = n.repo) p""",
     "n_phrase": """
         SELECT repo, number, risk_level, failure_types, lower(array_to_string(list_slice(list_filter(
-                   regexp_extract_all(title, '[\\p{L}\\p{N}_]+', 0),
+                   regexp_extract_all(title, '[\\p{L}\\p{N}_]+(?:-[\\p{L}\\p{N}_]+)*', 0),
                    lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\p{Nd}+')), 1, 5), ' ')) AS phrase
         FROM new_issues""",
     "e_phrase": """
         SELECT repo, number, labels, title, concat(' ', lower(array_to_string(list_filter(
-                   regexp_extract_all(title, '[\\p{L}\\p{N}_]+', 0),
+                   regexp_extract_all(title, '[\\p{L}\\p{N}_]+(?:-[\\p{L}\\p{N}_]+)*', 0),
                    lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\p{Nd}+')), ' ')), ' ') AS cleaned
         FROM on_file WHERE state = 'open'""",
     "found": f"""
@@ -277,9 +291,8 @@ BLOCKS: dict[str, str] = {
                CASE WHEN list_contains(e.labels, concat('risk:', n.risk_level)) THEN 0
                     WHEN list_contains(e.labels, {q(R.BASE_LABEL)}) THEN 1
                     WHEN contains(lower(e.title), {q(R.TITLE_PHRASE.lower())}) THEN 2
-                    WHEN list_contains(e.labels, concat('type:', n.failure_types[1])) THEN 3
-                    WHEN list_contains(e.labels, concat('type:', n.failure_types[2])) THEN 4
-                    WHEN length(n.phrase) > 3 AND contains(e.cleaned, concat(' ', n.phrase, ' ')) THEN 5 END AS search_rank
+                    WHEN length(n.phrase) > 3 AND contains(e.cleaned, concat(' ', n.phrase, ' ')) THEN 3
+                    WHEN list_contains(e.labels, concat('type:', n.failure_types[1])) THEN 4 END AS search_rank
         FROM n_phrase n JOIN e_phrase e ON e.repo = n.repo""",
     "cands": f"""
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY search_rank, candidate DESC) AS place
@@ -287,18 +300,16 @@ BLOCKS: dict[str, str] = {
     "scored": """
         SELECT c.search_rank, c.place, s.* FROM cands c
         JOIN scored_all s ON s.repo = c.repo AND s.number = c.number AND s.candidate = c.candidate""",
-    "best": """
+    "best": f"""
         SELECT repo, number, candidate AS matched_number, similarity FROM (
-            SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY similarity DESC, place) AS rn
-            FROM scored WHERE similarity > 0) s WHERE rn = 1""",
+            SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY candidate) AS rn
+            FROM scored_all WHERE similarity >= {R.DUPLICATE_THRESHOLD}::DOUBLE) s WHERE rn = 1""",
     "verdict": f"""
-        SELECT n.repo, n.number, coalesce(similarity, 0.0) >= {R.DUPLICATE_THRESHOLD}::DOUBLE AS is_duplicate,
-               CASE WHEN similarity >= {R.DUPLICATE_THRESHOLD}::DOUBLE THEN matched_number END AS matched_number,
+        SELECT n.repo, n.number, matched_number IS NOT NULL AS is_duplicate, matched_number,
                coalesce(similarity, 0.0::DOUBLE) AS similarity,
-               CASE WHEN matched_number IS NULL THEN 'no similar issue found'
+               CASE WHEN matched_number IS NULL THEN 'no issue on file is similar enough'
                     WHEN similarity >= {R.EXACT_THRESHOLD}::DOUBLE THEN 'same problem as an issue on file'
-                    WHEN similarity >= {R.DUPLICATE_THRESHOLD}::DOUBLE THEN 'very similar to an issue on file'
-                    ELSE 'best candidate is below the threshold' END AS reason
+                    ELSE 'very similar to an issue on file' END AS reason
         FROM new_issues n LEFT JOIN best b ON b.repo = n.repo AND b.number = n.number""",
     "doc_issues": f"SELECT *, [lang, source] AS labels, [failure_type] AS failure_types FROM ("
     + derived.DOC_ISSUES_SQL.replace("{first_words}", FIRST_WORDS).replace("{documents}", "documents")
@@ -362,7 +373,8 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
                    {section('Root cause', 'root_cause')}, {section('Impact', 'impact')},
                    {section('Suggested fix', 'suggested_fix')}, {section('How to verify', 'verification')},
                    {section('How to prevent', 'prevention')},
-                   {section('Errors', bullets('top_patterns'))}, {section('Files', bullets('top_files'))},
+                   {section('Errors', and_more(bullets('top_patterns'), 'more_patterns', 'chr(10)'))},
+                   {section('Files', and_more(bullets('top_files'), 'more_files', 'chr(10)'))},
                    concat(chr(10), '## Occurrences'),
                    concat('Most recent: ', {stamp('last_seen', stamp_s)}), concat('First: ', {stamp('first_seen', stamp_s)}),
                    concat('Total: ', failure_count), {bullets('links')},
@@ -374,12 +386,26 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
     return out
 
 
+def text_patterns(table: str, key: str, text: str) -> str:
+    """Patterns and paths of whole texts, as distinct rows."""
+    rules = R.TEXT_RULES
+    return f"""
+        SELECT DISTINCT {key}, class, kind, value FROM (
+            SELECT {key}, class, 'pattern' AS kind, unnest(errs) AS value FROM t
+            UNION ALL SELECT {key}, class, 'path', unnest(paths) FROM t) u""".replace(
+        "FROM t", f"""FROM (
+            SELECT {key}, {type_case(f'lower({text})', rules.types)} AS class, {all_matches(text, rules.errors, '(?i)')} AS errs,
+                   {all_matches(text, rules.files, '')} AS paths FROM {table} WHERE {text} IS NOT NULL) t""")
+
+
 BLOCKS.update(response_blocks("", "grouped"))
 BLOCKS.update(issue_blocks("new_", "new_jobs"))
 BLOCKS.update(issue_blocks("old_", "old_jobs"))
-BLOCKS["on_file"] = """
-    SELECT repo, number, title, CASE WHEN number % 7 = 0 THEN NULL ELSE body END AS body,
-           CASE WHEN number % 5 = 0 THEN 'closed' ELSE 'open' END AS state, labels FROM old_issues"""
+BLOCKS.update(issue_blocks("all_", "failures"))
+for _name, _issues in (("on_file", "old_issues"), ("all_on_file", "all_issues")):
+    BLOCKS[_name] = f"""
+        SELECT repo, number, title, CASE WHEN number % 7 = 0 THEN NULL ELSE body END AS body,
+               CASE WHEN number % 5 = 0 THEN 'closed' ELSE 'open' END AS state, labels FROM {_issues}"""
 
 
 def compose(select: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from failtriage.rules import DUPLICATE_THRESHOLD, OPTIONAL_KEYS, REQUIRED_KEYS, TEAMS
 from oracle.blocks import (
-    BLOCKS, compose, jac, like_glob, normalized, q, score, stamp, stripped, words,
+    BLOCKS, compose, jac, like_glob, normalized, q, score, stamp, stripped, text_patterns, words,
 )
 
 
@@ -13,8 +13,13 @@ def bar(lst: str) -> str:
 
 
 def hash_of(lst: str) -> str:
+    """Hash from the size of a set and the xor and sum of the digests of its values."""
+    distinct = f"list_distinct({lst})"
+    xored = f"list_bit_xor(list_transform({distinct}, lambda v: CAST('0x' || substring(md5(v), 1, 15) AS BIGINT)))"
+    summed = f"CAST(list_sum(list_transform({distinct}, lambda v: CAST('0x' || substring(md5(v), 17, 8) AS BIGINT))) AS BIGINT)"
     return (
-        f"CASE WHEN len({lst}) = 0 THEN 'empty' ELSE substring(md5(array_to_string(list_sort(list_distinct({lst})), '|')), 1, 8) END"
+        f"CASE WHEN len({lst}) = 0 THEN 'empty' ELSE"
+        f" substring(md5(concat(len({distinct}), ':', {xored}, ':', {summed})), 1, 8) END"
     )
 
 
@@ -78,6 +83,18 @@ BLOCKS["d_scored"] = f"""
 _verdict_rows = "SELECT n.*, v.is_duplicate, v.matched_number FROM new_issues n JOIN verdict v ON v.repo = n.repo AND v.number = n.number"
 
 
+# A dry run over all failures against all issues on file.
+for _name, _like, _from, _to in (
+    ("dry_n", "n_feat", "new_issues", "all_issues"), ("dry_e", "e_feat", "on_file", "all_on_file"),
+):
+    BLOCKS[_name] = BLOCKS[_like].replace(f"FROM {_from}", f"FROM {_to}")
+BLOCKS["dry_scored"] = BLOCKS["scored_all"].replace("FROM n_feat", "FROM dry_n").replace("JOIN e_feat", "JOIN dry_e")
+BLOCKS["dry_best"] = BLOCKS["best"].replace("FROM scored_all", "FROM dry_scored")
+BLOCKS["dry_verdict"] = (
+    BLOCKS["verdict"].replace("FROM new_issues", "FROM all_issues").replace("JOIN best", "JOIN dry_best")
+)
+
+
 def oldest(scored: str) -> str:
     return f"""
         SELECT repo, number, candidate AS matched_number, similarity FROM (
@@ -108,15 +125,16 @@ SELECTS: dict[str, str] = {
         AND NOT EXISTS (SELECT 1 FROM logs l WHERE l.repo = j.repo AND l.job_id = j.job_id)""",
     "repo_identity": "SELECT run_id, owner, repo_name FROM identity WHERE owner IS NOT NULL",
     "repo_identity_rejects": "SELECT run_id, url FROM identity WHERE owner IS NULL",
-    "open_issues": f"SELECT repo, number, title, {bar('labels')} AS labels FROM on_file WHERE state = 'open'",
+    "open_issues": f"SELECT repo, number, title, {bar('labels')} AS labels FROM all_on_file WHERE state = 'open'",
     "error_patterns": f"SELECT repo, job_id, {bar('error_patterns')} AS patterns FROM parsed",
     "affected_files": f"SELECT repo, job_id, {bar('affected_files')} AS files FROM parsed",
     "failure_types": "SELECT repo, job_id, failure_type, group_key FROM parsed",
+    "document_patterns": text_patterns("documents", "doc_id", "text"),
+    "page_patterns": text_patterns("pages", "page_id", "html"),
     "failure_type_counts": f"""SELECT repo, failure_type, count(*) AS failure_count, {stamp('max(created_at)')} AS last_seen
         FROM failures GROUP BY repo, failure_type""",
     "failure_groups": f"""SELECT repo, group_key, failure_count, failure_type, {stamp('first_seen')} AS first_seen,
-        {stamp('last_seen')} AS last_seen, first_job_id, safe_mask::BIGINT AS safe_mask, strategic_mask::BIGINT AS strategic_mask
-        FROM grouped""",
+        {stamp('last_seen')} AS last_seen, first_job_id FROM grouped""",
     "group_values": "SELECT repo, group_key, kind, value, occurrences FROM vals",
     "group_context": f"""SELECT c.repo, c.group_key, type_count, pattern_count, file_count,
         {bar('top_patterns')} AS top_patterns, {bar('top_files')} AS top_files
@@ -129,13 +147,16 @@ SELECTS: dict[str, str] = {
         FROM grouped g JOIN links k ON k.repo = g.repo AND k.group_key = g.group_key""",
     "analysis_context": """SELECT g.repo, g.group_key, concat_ws(chr(10), concat('Repository: ', g.repo),
             concat('Failures: ', failure_count), concat('Kind: ', failure_type),
-            CASE WHEN len(top_patterns) > 0 THEN concat('Errors: ', array_to_string(top_patterns, '; ')) END,
-            CASE WHEN len(top_files) > 0 THEN concat('Files: ', array_to_string(top_files, ', ')) END,
-            concat('Sample log:', chr(10), log_sample)) AS context
+            CASE WHEN len(top_patterns) > 0 THEN concat('Errors: ', concat_ws('; ', array_to_string(top_patterns, '; '),
+                CASE WHEN more_patterns > 0 THEN concat('and ', more_patterns, ' more') END)) END,
+            CASE WHEN len(top_files) > 0 THEN concat('Files: ', concat_ws(', ', array_to_string(top_files, ', '),
+                CASE WHEN more_files > 0 THEN concat('and ', more_files, ' more') END)) END,
+            concat('Sample log:', chr(10), w.logs)) AS context
         FROM grouped g LEFT JOIN shown s ON s.repo = g.repo AND s.group_key = g.group_key
-        JOIN (SELECT repo, group_key, log_sample FROM (SELECT *, row_number() OVER (PARTITION BY repo, group_key
+        JOIN (SELECT repo, group_key, job_id FROM (SELECT *, row_number() OVER (PARTITION BY repo, group_key
               ORDER BY created_at DESC, run_id DESC, job_id DESC) AS rn FROM failures) f WHERE rn = 1) l
-        ON l.repo = g.repo AND l.group_key = g.group_key""",
+        ON l.repo = g.repo AND l.group_key = g.group_key
+        JOIN logs w ON w.repo = l.repo AND w.job_id = l.job_id""",
     "pattern_runs": "SELECT repo, failure_type, signature, run_id, count(*) AS occurrences FROM signed GROUP BY ALL",
     "pattern_rollup": f"""SELECT repo, failure_type, signature, count(*) AS occurrences, count(DISTINCT run_id) AS affected_runs,
         {stamp('min(created_at)')} AS first_seen, {stamp('max(created_at)')} AS last_seen
@@ -150,13 +171,13 @@ SELECTS: dict[str, str] = {
     "issue_signatures": """SELECT *, substring(sha256(concat_ws('|', error_hash, file_hash, type_hash)), 1, 16) AS signature
         FROM row_hashes""",
     "group_signatures": "SELECT repo, group_key, error_hash, file_hash, type_hash, signature FROM all_hashes",
-    "search_terms": """SELECT number, array_to_string(list_slice(list_filter(regexp_extract_all(title, '[\\p{L}\\p{N}_]+', 0),
-        lambda w: length(w) > 2 AND NOT regexp_full_match(w, '\\p{Nd}+')), 1, 5), ' ') AS terms FROM doc_issues""",
+    "search_terms": """SELECT number, array_to_string(list_filter(regexp_extract_all(title, '[\\p{L}\\p{N}_]+(?:-[\\p{L}\\p{N}_]+)*', 0),
+        lambda w: length(w) > 2 AND NOT regexp_full_match(w, '\\p{Nd}+')), ' ') AS terms FROM doc_issues""",
     "exact_signature_dups": """SELECT repo, number, signature, coalesce(p, b) AS matched_number,
         CASE WHEN p IS NOT NULL THEN 'prior' ELSE 'batch' END AS scope FROM first_sig WHERE coalesce(p, b) IS NOT NULL""",
     "risk_overrides": "SELECT repo, group_key, override_pos::BIGINT AS override_pos, risk_level FROM assessed WHERE override_pos IS NOT NULL",
     "safe_score": "SELECT repo, group_key, safe_hits, pattern_count, file_count, safe_score FROM scores",
-    "strategic_score": "SELECT repo, group_key, strategic_hits, strategic_mask::BIGINT AS strategic_mask, strategic_score FROM scores",
+    "strategic_score": "SELECT repo, group_key, strategic_hits, phrase_count, strategic_score FROM scores",
     "tactical_hits": "SELECT repo, group_key, tactical_hits FROM scores",
     "risk_levels": "SELECT repo, group_key, risk_level, required_expertise, confidence FROM assessed",
     "blast_radius": "SELECT repo, group_key, blast_radius FROM assessed",
@@ -170,16 +191,16 @@ SELECTS: dict[str, str] = {
     + " FROM answers WHERE valid",
     "rejected_responses": "SELECT repo, group_key, response FROM answers WHERE NOT coalesce(valid, false)",
     "response_issues": f"""SELECT {_issue_cols}, title, risk_level, priority::BIGINT AS priority, estimated_effort,
-        required_expertise FROM new_issues""",
-    "issue_bodies": "SELECT repo, group_key, body FROM new_issues",
-    "issue_labels": f"SELECT repo, group_key, {bar('labels')} AS labels FROM new_issues",
-    "issue_assignees": f"SELECT repo, group_key, {bar('assignees')} AS assignees FROM new_issues",
-    "focus_filter": "SELECT repo, number, title FROM new_issues WHERE risk_level = 'strategic'",
-    "priority_filter": "SELECT repo, number, priority::BIGINT AS priority FROM new_issues WHERE priority >= 60",
+        required_expertise FROM all_issues""",
+    "issue_bodies": "SELECT repo, group_key, body FROM all_issues",
+    "issue_labels": f"SELECT repo, group_key, {bar('labels')} AS labels FROM all_issues",
+    "issue_assignees": f"SELECT repo, group_key, {bar('assignees')} AS assignees FROM all_issues",
+    "focus_filter": "SELECT repo, number, title FROM all_issues WHERE risk_level = 'strategic'",
+    "priority_filter": "SELECT repo, number, priority::BIGINT AS priority FROM all_issues WHERE priority >= 60",
     "risk_summary": """SELECT repo, count(*) FILTER (WHERE risk_level = 'safe') AS safe,
         count(*) FILTER (WHERE risk_level = 'tactical') AS tactical,
-        count(*) FILTER (WHERE risk_level = 'strategic') AS strategic FROM new_issues GROUP BY repo""",
-    "json_export": f"SELECT repo, group_key, {_export}::VARCHAR AS issue_json FROM new_issues",
+        count(*) FILTER (WHERE risk_level = 'strategic') AS strategic FROM all_issues GROUP BY repo""",
+    "json_export": f"SELECT repo, group_key, {_export}::VARCHAR AS issue_json FROM all_issues",
     "candidates": "SELECT repo, number, candidate, search_rank::BIGINT AS search_rank, place FROM cands",
     "candidate_scores": """SELECT repo, number, candidate, title_similarity, label_similarity, risk_match,
         body_similarity, type_match, similarity FROM scored""",
@@ -198,6 +219,8 @@ SELECTS: dict[str, str] = {
         LEFT JOIN (SELECT repo, count(*) AS failure_groups FROM new_issues GROUP BY repo) g ON g.repo = f.repo
         LEFT JOIN (SELECT repo, count(*) AS issues_left FROM ({_verdict_rows}) r WHERE NOT is_duplicate GROUP BY repo) k
              ON k.repo = f.repo""",
+    "dry_run": """SELECT n.repo, n.number, n.title FROM all_issues n JOIN dry_verdict v ON v.repo = n.repo AND v.number = n.number
+        WHERE n.priority >= 60 AND NOT v.is_duplicate""",
     "near_duplicates": oldest("scored_all"),
     "near_duplicate_documents": oldest("d_scored"),
 }

@@ -1,6 +1,7 @@
 import random
 
 from failtriage.operators import dedup
+from failtriage.plans.triage import judged as judge
 from failtriage.rules import BASE_LABEL, TITLE_PHRASE
 
 NEW = (
@@ -14,24 +15,27 @@ def issue(number, title, level="tactical", types=("linting",), labels=(), body="
     return ("r", number, title, body, level, list(labels), list(types), 2)
 
 
+def judged(new, old):
+    return judge(new, old.selectExpr("*", "'open' AS state"))
+
+
 def test_no_issue_on_file(spark):
     new = spark.createDataFrame([issue(1, "queue worker stalls")], NEW)
     old = spark.createDataFrame([], OLD)
-    scored = dedup.score_pairs(dedup.candidates(new, old), new, old)
-    row = dedup.verdicts(new, dedup.best_match(scored)).first()
+    row = judged(new, old).first()
     assert (row.is_duplicate, row.matched_number, row.similarity) == (False, None, 0.0)
-    assert row.reason == "no similar issue found"
+    assert row.reason == "no issue on file is similar enough"
 
 
 def test_verdict_depends_on_the_threshold(spark):
     new = spark.createDataFrame([issue(1, "[TACTICAL] queue worker stalls", labels=[BASE_LABEL], body="one two")], NEW)
     old = spark.createDataFrame([("r", 7, "[TACTICAL] queue worker hangs", None, [BASE_LABEL])], OLD)
     scored = dedup.score_pairs(dedup.candidates(new, old), new, old)
-    best = dedup.best_match(scored)
+    best = dedup.best_candidate(scored)
     # title 3/5, labels 1, risk found in the title, no body
     assert abs(best.first().similarity - (0.18 + 0.25 + 0.2)) < 1e-12
-    assert not dedup.verdicts(new, best).first().is_duplicate
-    verdict = dedup.verdicts(new, best, threshold=0.5)
+    assert not judged(new, old).first().is_duplicate
+    verdict = dedup.verdicts(new, best.where("similarity >= 0.5"))
     assert (verdict.first().is_duplicate, verdict.first().matched_number) == (True, 7)
     assert dedup.only_new(new, verdict).count() == 0
     assert dedup.only_new(new, verdict, enabled=False).count() == 1
@@ -40,10 +44,11 @@ def test_verdict_depends_on_the_threshold(spark):
 
 
 def test_ties_go_to_the_first_candidate(spark):
-    new = spark.createDataFrame([issue(1, "queue worker", labels=[BASE_LABEL])], NEW)
-    old = spark.createDataFrame([("r", n, "queue worker", "b", [BASE_LABEL]) for n in (3, 9, 4)], OLD)
+    new = spark.createDataFrame([issue(1, "queue worker tactical", labels=[BASE_LABEL])], NEW)
+    old = spark.createDataFrame([("r", n, "queue worker tactical", "b", [BASE_LABEL]) for n in (3, 9, 4)], OLD)
     scored = dedup.score_pairs(dedup.candidates(new, old), new, old)
-    assert dedup.best_match(scored).first().matched_number == 9
+    assert dedup.best_candidate(scored).first().matched_number == 9
+    assert judged(new, old).first().matched_number == 3
 
 
 def test_other_repositories_are_not_searched(spark):
@@ -57,7 +62,7 @@ def expected_candidates(new, old, cap):
     for n in new:
         words = [w for w in n[2].lower().replace("[", " ").replace("]", " ").split() if len(w) > 2][:5]
         found = {}
-        searches = [f"risk:{n[4]}", BASE_LABEL, None, *[f"type:{t}" for t in n[6][:2]]]
+        searches = [f"risk:{n[4]}", BASE_LABEL, None, "PHRASE", *[f"type:{t}" for t in n[6]]]
         for e in old:
             title = [w for w in e[2].lower().replace("[", " ").replace("]", " ").split() if len(w) > 2]
             ranks = [i for i, s in enumerate(searches) if s in e[4]]
@@ -65,7 +70,7 @@ def expected_candidates(new, old, cap):
                 ranks.append(2)
             phrase = " ".join(words)
             if len(phrase) > 3 and f" {phrase} " in f" {' '.join(title)} ":
-                ranks.append(5)
+                ranks.append(3)
             if ranks:
                 found[e[1]] = min(ranks)
         best = sorted(found.items(), key=lambda x: (x[1], -x[0]))[:cap]

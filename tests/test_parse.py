@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from failtriage.functions.text import glob_to_regex, two_decimals
 from failtriage.operators import parse
-from failtriage.rules import ExtractRule, RuleSet
+from failtriage.rules import ExtractRule, RiskRules, RuleSet
 
 
 def run(spark, text, column, **kw):
@@ -24,10 +24,18 @@ def test_order_is_rule_then_position_and_repeats_go(spark):
     assert run(spark, "a1 b2 a3 B1 b2", parse.error_patterns, rules=rules) == ["b2", "B1", "a"]
 
 
-def test_at_most_ten_patterns(spark):
-    text = "".join(f"CVE-2024-{10000 + i}\n" for i in range(30))
+def test_all_patterns_are_kept(spark):
+    text = "".join(f"CVE-2024-{10000 + i}\n" for i in range(300))
     got = run(spark, text, parse.error_patterns)
-    assert got == [f"CVE-2024-{10000 + i}" for i in range(10)]
+    assert got == [f"CVE-2024-{10000 + i}" for i in range(300)]
+
+
+def test_seventy_phrases(spark):
+    many = tuple(f"phrase{i:02}." for i in range(70))
+    rules = RuleSet(strategic=RiskRules((), (), many, (r"code [0-9]+",)))
+    logs = spark.createDataFrame([("r", 1, " ".join(many) + " code 7"), ("r", 2, None)], "repo string, job_id long, logs string")
+    got = {r.job_id: r.phrases for r in parse.parse_logs(logs, rules).collect()}
+    assert got == {1: [*many, r"code [0-9]+"], 2: []}
 
 
 def test_match_across_lines_and_crlf(spark):
@@ -45,9 +53,9 @@ def test_files(spark):
     assert "10.0.0.1" in run(spark, text, parse.affected_files, drop_addresses=False)
 
 
-def test_noise_goes_before_the_cut(spark):
+def test_all_files_but_noise(spark):
     text = "".join(f"/tmp/n{i}.py:1\n" for i in range(30)) + "".join(f"s{i}.py:1\n" for i in range(30))
-    assert run(spark, text, parse.affected_files) == [f"s{i}.py" for i in range(20)]
+    assert run(spark, text, parse.affected_files) == [f"s{i}.py" for i in range(30)]
 
 
 def test_adjacent_paths(spark):
@@ -84,9 +92,9 @@ def test_group_key_skips_absent_parts(spark):
     assert got == {1: "unknown", 2: "unknown|src/a.py", 3: "security|CVE-2024-12345", 4: "unknown"}
 
 
-def test_first_pattern_is_cut_in_the_key(spark):
+def test_key_has_the_whole_first_pattern(spark):
     df = spark.createDataFrame([("r", 1, "error: " + "é" * 80)], "repo string, job_id long, logs string")
-    assert parse.parse_logs(df).first().group_key == "unknown|" + "é" * 50
+    assert parse.parse_logs(df).first().group_key == "unknown|" + "é" * 80
 
 
 def test_globs_are_literal_but_for_stars():

@@ -7,14 +7,15 @@ from failtriage.rules import Override, RiskRules, RuleSet
 from failtriage.sources import sinks
 
 VALUES = (
-    "repo string, group_key string, kind string, value string, occurrences long, safe_mask long, strategic_mask long"
+    "repo string, group_key string, kind string, value string, occurrences long"
 )
 
 
-def assess(spark, patterns=(), files=(), safe_mask=0, strategic_mask=0, rules=None):
+def assess(spark, patterns=(), files=(), commands=0, phrases=0, rules=None):
     rules = rules or RuleSet(overrides=())
-    rows = [("r", "g", "type", "linting", 1, safe_mask, strategic_mask)]
-    rows += [("r", "g", "pattern", p, 1, 0, 0) for p in patterns] + [("r", "g", "file", f, 1, 0, 0) for f in files]
+    values = [("type", "linting"), *(("pattern", p) for p in patterns), *(("file", f) for f in files)]
+    values += [("command", f"c{i}") for i in range(commands)] + [("phrase", f"p{i}") for i in range(phrases)]
+    rows = [("r", "g", kind, value, 1) for kind, value in values]
     return risk.assess_risk(risk.risk_scores(spark.createDataFrame(rows, VALUES), rules), rules).first()
 
 
@@ -23,25 +24,41 @@ def assess(spark, patterns=(), files=(), safe_mask=0, strategic_mask=0, rules=No
     [(1, 0, 1 / 2, "tactical"), (2, 0, 2 / 3, "tactical"), (3, 0, 3 / 4, "safe"), (1, 1, 1.0, "safe")],
 )
 def test_safe_threshold(spark, n, mask, score, level):
-    row = assess(spark, [f"line too long {i}" for i in range(n)], safe_mask=mask)
+    row = assess(spark, [f"line too long {i}" for i in range(n)], commands=mask)
     assert (row.safe_score, row.risk_level) == (score, level)
 
 
 def test_strategic_threshold_is_strict_and_score_may_exceed_one(spark):
     # 5 * 0.5 / (2 * n + 1)
-    row = assess(spark, [f"x{i}" for i in range(4)], strategic_mask=0b11111)
+    row = assess(spark, [f"x{i}" for i in range(4)], phrases=5)
     assert row.strategic_score == 2.5 / 9 and row.risk_level == "tactical"
-    row = assess(spark, ["x"], strategic_mask=0b1)
+    row = assess(spark, ["x"], phrases=1)
     assert row.strategic_score == 0.5 / 3
-    row = assess(spark, strategic_mask=0b111)
+    row = assess(spark, phrases=3)
     assert (row.strategic_score, row.confidence, row.risk_level) == (1.5, 0.9, "strategic")
     assert (row.required_expertise, row.estimated_effort) == ("senior", "1 to 2 weeks")
 
 
-def test_blast_radius_keeps_the_first_two(spark):
-    row = assess(spark, files=["tests/a.py", "x.sql", "deploy/b"])
-    assert row.blast_radius == "data store; deployment"
-    assert assess(spark, files=["zzz"]).blast_radius == "contained"
+def test_blast_radius_by_level(spark):
+    row = assess(spark, files=["tests/a.py", "x.sql", "deploy/b", "src/auth/x"])
+    assert row.risk_level == "strategic"
+    assert row.blast_radius == "data store; deployment; sign-in; test suite"
+    assert "touches data store; touches sign-in" in row.reasoning
+    assert assess(spark, phrases=3).blast_radius == "contained"
+    assert assess(spark, files=["zzz"]).blast_radius == "one component"
+    safe = assess(spark, files=["a.md", "docs/b.rst", "docs/c.md", "d.md"])
+    assert (safe.blast_radius, safe.risk_level) == ("no running code", "safe")
+    assert safe.reasoning.endswith("only documentation is affected")
+
+
+def test_raised_score_is_named(spark):
+    row = assess(spark, ["x", "y"], phrases=2)
+    assert row.risk_level == "tactical" and row.reasoning.endswith("raised strategic score 0.20")
+
+
+def test_seventy_phrases_count(spark):
+    row = assess(spark, ["x"] * 1, phrases=70)
+    assert row.strategic_score == 35 / 3
 
 
 def test_first_override_wins(spark):
@@ -93,9 +110,10 @@ def test_filters_and_summary(spark):
 
 
 def test_shown_values_and_links_are_bounded(spark):
-    values = [("r", "g", "pattern", f"p{i:02d}", 1 + i % 3, 0, 0) for i in range(30)] + [("r", "g", "file", f"f{i:02d}", 1, 0, 0) for i in range(30)]
+    values = [("r", "g", "pattern", f"p{i:02d}", 1 + i % 3) for i in range(30)] + [("r", "g", "file", f"f{i:02d}", 1) for i in range(30)]
     row = groups.shown_values(spark.createDataFrame(values, VALUES)).first()
     assert row.top_patterns == ["p02", "p05", "p08", "p11", "p14"] and row.top_files == [f"f{i:02d}" for i in range(10)]
+    assert (row.more_patterns, row.more_files) == (25, 20)
     rows = [("r", "g", i, i, f"2024-01-{i:02d} 00:00:00", f"u{i}") for i in range(1, 9)]
     failures = spark.createDataFrame(rows, "repo string, group_key string, run_id long, job_id long, created_at string, run_url string")
     got = groups.occurrence_summary(failures).first()

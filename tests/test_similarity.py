@@ -58,7 +58,8 @@ def test_jaccard_is_symmetric_and_bounded(spark, rows):
 
 def test_search_terms(spark):
     df = spark.createDataFrame([("[SAFE] a 12 fix: the 2024 log_in of ALL users, soon, please",)], "t string")
-    assert df.select(sim.search_terms(F.col("t"))).first()[0] == "SAFE fix the log_in ALL"
+    assert df.select(sim.search_terms(F.col("t"))).first()[0] == "SAFE fix the log_in ALL users soon please"
+    assert df.select(sim.search_terms(F.col("t"), 3)).first()[0] == "SAFE fix the"
 
 
 def test_list_hash_ignores_order_case_blanks_and_repeats(spark):
@@ -78,16 +79,25 @@ def test_signature_masks_what_varies(spark):
     assert a == b != c and len(a) == 16
 
 
-def test_long_lists_hash_without_being_gathered(spark):
-    """Groups above the limit keep equal signatures for equal content only."""
+@pytest.mark.parametrize("n", [0, 1, 10, 256, 257, 1000])
+def test_rows_and_arrays_hash_alike_at_every_size(spark, n):
+    patterns = [f"error {i % 997} in x" for i in range(n)] * 2
+    rows = [("r", "g", "pattern", p) for p in patterns] + [("r", "g", "file", "A/b.py"), ("r", "g", "type", "linting"), ("r", "g", "phrase", "x")]
+    values = spark.createDataFrame(rows, "repo string, group_key string, kind string, value string")
+    schema = "error_patterns array<string>, affected_files array<string>, failure_types array<string>"
+    arrays = spark.createDataFrame([(patterns[::-1], ["b.py"], ["linting"])], schema)
+    assert exact.group_signatures(values).first().signature == exact.with_signature(arrays).first().signature
+
+
+def test_signatures_tell_groups_apart(spark):
+    """Equal signatures for equal content only."""
     rows = []
     for group, extra in (("g1", 0), ("g2", 0), ("g3", 1)):
         rows += [("r", group, "pattern", f"p{(i * 7) % 20}") for i in range(20 + extra)]
         rows += [("r", group, "pattern", "other")] * extra
     values = spark.createDataFrame(rows, "repo string, group_key string, kind string, value string")
-    for limit in (5, 1000):
-        got = {r.group_key: r.signature for r in exact.group_signatures(values, limit).collect()}
-        assert got["g1"] == got["g2"] != got["g3"]
+    got = {r.group_key: r.signature for r in exact.group_signatures(values).collect()}
+    assert got["g1"] == got["g2"] != got["g3"]
 
 
 def test_exact_duplicates_prior_and_batch(spark):
