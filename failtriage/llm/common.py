@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import weakref
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from failtriage.session import materialize
+import failtriage
+from failtriage.session import work_dir
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,19 +26,53 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 RANK_CHUNK = 50_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, once for an application; they may start in any folder."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(failtriage.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="failtriage-code-")) / "failtriage_code.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once in the shared folder; its own shuffle files go when it is written."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
-        return materialize(df, name)
+        path = f"{work_dir(spark)}/failtriage-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read any more."""
+    for table in tables:
+        known, path = _paths.pop(id(table), (lambda: None, ""))
+        if known() is table:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_words(text: Column) -> Column:
@@ -79,29 +119,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield bytes(view[ends[i] : ends[i + 1]]) if valid is None or valid[i] else b""
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, kept for words seen lately; the store is emptied when it is full."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = value
-        return value
-
-
-_WORDS = WordHashes()
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers (the finaliser of SplitMix64)."""
     x = x.astype(np.uint64, copy=True)

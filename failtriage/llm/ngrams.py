@@ -11,6 +11,8 @@ parts also emits the signatures of another dealing: of two similar sets, either
 one has fewer and they share a part that is not empty, or both emit the other
 dealing too.
 
+Similar sets share not one but many signatures when they are large; a set keeps
+only those it needs to meet them, and sets with too few shared ones drop out.
 Within a group of one signature no pairs are enumerated: all members are
 compared with the smallest one. Members that are then in one component need no
 more comparison. A group that still holds several components is compared
@@ -34,30 +36,35 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from failtriage.llm.common import hashes, mix, store, texts, window_hashes
+from failtriage.llm.common import discard, mix, store, texts, window_hashes
 from failtriage.llm.graph import components
+from failtriage.llm.wordhash import word_hashes
 
 WIDTH = 5
 THRESHOLD = Fraction(4, 5)
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 #: Longs of a sketch.
 SKETCH = 16
 #: Dealings tried for sets with many empty parts.
 DEALINGS = 8
 #: A group is compared pair by pair if no more members than this stand apart, else it is split.
-APART = 24
+APART = 200
 #: Splits of a group; after the last one, it is compared pair by pair.
 SPLITS = 5
 
 
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Distinct hashes of the word windows of a text; a shorter text is one window."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(hashes(words), min(width, len(words)), min(width, len(words))))
+def shingles(batch: pa.RecordBatch, name: str = "text", width: int = WIDTH) -> Iterator[np.ndarray]:
+    """For each text, the distinct hashes of its word windows; a shorter text is one window."""
+    for words in word_hashes(batch, name, lower=True):
+        windows = window_hashes(words.hashes, width)
+        for start, n in zip(words.starts.tolist(), words.counts.tolist()):
+            if n >= width:
+                yield np.unique(windows[start : start + n - width + 1])
+            else:
+                yield window_hashes(words.hashes[start : start + n], n, seed=n) if n else np.empty(0, np.uint64)
 
 
 def bands(threshold: Fraction, largest: int = 1 << 40) -> list[int]:
@@ -75,30 +82,45 @@ def most_apart(sizes: int, threshold: Fraction) -> int:
 
 
 def signatures(
-    elements: np.ndarray, uppers: list[int], threshold: Fraction = THRESHOLD, first: int = 0
-) -> np.ndarray:
-    """Signatures of a set, from dealing ``first`` on, as signed 64-bit numbers."""
+    elements: np.ndarray, uppers: list[int], threshold: Fraction = THRESHOLD, first: int = 0, only: int | None = None
+) -> list[tuple[np.ndarray, int, int]]:
+    """Signatures of a set by band, as (signed 64-bit numbers, band, need).
+
+    A similar set shares ``need`` of them at least. Their lowest bit is that of
+    the band. ``first`` is the first dealing, ``only`` restricts them to the band
+    with that lowest bit.
+    """
     if not len(elements):
-        return np.empty(0, np.int64)
+        return []
     band = bisect_left(uppers, len(elements))
     out = []
     for instance in (band, band + 1):
+        if only is not None and instance & 1 != only:
+            continue
         k = most_apart(2 * uppers[instance], threshold)
-        n = k + 2 + k // 12 if k else 1
+        n = k + 2 + k // 4 if k else 1
         for dealing in range(first, first + DEALINGS + 1):
             salt = np.uint64((instance * 1_000_003 + dealing) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
             if dealing == first + DEALINGS:
-                out.append(mix(np.array([salt], np.uint64)))
+                out.append((_banded(np.array([salt], np.uint64), instance), instance, 1))
                 break
             mixed = mix(elements ^ salt)
-            part = (mixed >> np.uint64(20)) % np.uint64(n)
-            order = np.argsort(part, kind="stable")
-            held, starts = np.unique(part[order], return_index=True)
-            sums = np.add.reduceat(mixed[order], starts)
-            out.append(mix(sums + held * np.uint64(0xD6E8FEB86659FD93) + salt))
-            if n - len(held) < n - k:
+            high = mixed >> _HALF
+            part = ((high * np.uint64(n)) >> _HALF).astype(np.int64)
+            held = np.flatnonzero(np.bincount(part, minlength=n))
+            low = np.bincount(part, (mixed & _LOW).astype(np.float64), n)[held].astype(np.uint64)
+            high = np.bincount(part, high.astype(np.float64), n)[held].astype(np.uint64)
+            sums = low + (high << _HALF) + held.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt
+            empty = n - len(held)
+            need = n - k - empty if dealing == first else 1
+            out.append((_banded(sums, instance), instance, max(1, need)))
+            if empty < n - k:
                 break
-    return np.concatenate(out).view(np.int64)
+    return out
+
+
+def _banded(sums: np.ndarray, band: int) -> np.ndarray:
+    return (mix(sums) & ~np.uint64(1) | np.uint64(band & 1)).view(np.int64)
 
 
 def sketch(elements: np.ndarray) -> list[int]:
@@ -114,9 +136,8 @@ def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, copy, sketches = [], [], []
-            for text in texts(batch):
+            for text, s in zip(texts(batch), shingles(batch, width=width)):
                 copy.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
-                s = shingles(text, width)
                 size.append(len(s))
                 sketches.append(sketch(s))
             yield pa.RecordBatch.from_arrays(
@@ -133,27 +154,59 @@ def features(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, copy binary, sketch array<long>")
 
 
-def _signed(docs: DataFrame, width: int, threshold: Fraction, first: int = 0) -> DataFrame:
-    """Rows (sig, doc_id); a column ``group`` is joined into the signature."""
+SIGNED = "sig long, doc_id long, need int"
+
+
+def _signed(docs: DataFrame, width: int, threshold: Fraction, first: int = 0, bare: bool = False) -> DataFrame:
+    """Rows (sig, doc_id, need), or sig alone if ``bare``.
+
+    Columns ``group`` and ``only``: joined into the signature, and the sole band.
+    """
     uppers = bands(threshold)
     grouped = "group" in docs.columns
+    schema = "sig long" if bare else SIGNED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            group = batch.column(2).to_pylist() if grouped else None
-            sigs, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            last, own = None, np.empty(0, np.int64)
-            for i, text in enumerate(texts(batch)):
-                if text != last:
-                    own, last = signatures(shingles(text, width), uppers, threshold, first), text
-                sigs.append(mix(own.view(np.uint64) + np.uint64(group[i] & 0xFFFFFFFFFFFFFFFF)).view(np.int64) if grouped else own)
-                owners.append(np.full(len(own), ids[i]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owners))], ["sig", "doc_id"]
-            )
-
-    return docs.select("doc_id", "text", *(["group"] if grouped else [])).mapInArrow(run, "sig long, doc_id long")
+            group, only = (batch.column(i).to_pylist() for i in (2, 3)) if grouped else (None, [None] * len(ids))
+            sigs, rows = [np.empty(0, np.int64)], []
+            for i, elements in enumerate(shingles(batch, width=width)):
+                for own, _, need in signatures(elements, uppers, threshold, first, only[i]):
+                    if grouped:
+                        mixed = mix(own.view(np.uint64) + mix(np.array([group[i]], np.int64).view(np.uint64)))
+                        own = (mixed & ~np.uint64(1)).view(np.int64) | only[i]
+                    sigs.append(own)
+                    rows.append((len(own), ids[i], need))
+            columns = [pa.array(np.concatenate(sigs))]
+            if not bare:
+                count, *rest = np.array(rows, np.int64).reshape(-1, 3).T
+                doc_id, need = (np.repeat(x, count) for x in rest)
+                columns += [pa.array(doc_id), pa.array(need.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [p.split()[0] for p in schema.split(", ")])
+
+    return docs.select("doc_id", "text", *(["group", "only"] if grouped else [])).mapInArrow(run, schema)
+
+
+def _shared(signed: DataFrame) -> DataFrame:
+    """Signatures that occur twice at least, and how often."""
+    return signed.groupBy("sig").agg(F.count("*").alias("held")).where("held > 1")
+
+
+def _needed(members: DataFrame) -> DataFrame:
+    """Members whose signatures can still lead to a similar set, with the smallest document of each group.
+
+    A similar set shares ``need`` signatures of a document's band, so it shares
+    one that is left without the ``need`` - 1 signatures that most documents
+    hold; documents with fewer shared signatures drop out.
+    """
+    order = Window.partitionBy("doc_id", F.col("sig").bitwiseAND(1)).orderBy(F.desc("held"), "sig")
+    kept = members.withColumn("_n", F.row_number().over(order)).where("_n >= need").select("sig", "doc_id")
+    kept = store(kept, "needed")
+    found = kept.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last")).where("pivot < _last")
+    out = store(kept.join(found.drop("_last"), "sig"), "members")
+    discard(kept)
+    return out
 
 
 def _alike(a: str, b: str, threshold: Fraction) -> F.Column:
@@ -170,13 +223,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: Fraction
     """Those of the pairs (a, b) whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_text, kept = None, np.empty(0, np.uint64)
         for batch in batches:
             good = []
-            for first, second in zip(texts(batch, "first"), texts(batch, "second")):
-                if first != kept_text:
-                    kept_text, kept = first, shingles(first, width)
-                other = shingles(second, width)
+            for kept, other in zip(shingles(batch, "first", width), shingles(batch, "second", width)):
                 both = len(np.intersect1d(kept, other, assume_unique=True))
                 union = len(kept) + len(other) - both
                 good.append(both > 0 and both * threshold.denominator >= union * threshold.numerator)
@@ -196,15 +245,13 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD
     full = facts.where("n_shingles > 0 and doc_id is not null")
     copies = store(full.groupBy("copy").agg(F.min("doc_id").alias("first")), "copies")
     firsts = copies.select(F.col("first").alias("doc_id")).distinct()
-    heads = docs.join(firsts, "doc_id", "left_semi")
     looks = full.join(firsts, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch")
 
-    signed = _signed(heads, width, threshold)
-    shared = store(
-        signed.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last")).where("pivot < _last").drop("_last"),
-        "shared",
-    )
-    members = store(signed.join(shared, "sig").distinct(), "members")
+    known = docs.where("doc_id is not null and text is not null")
+    shared = store(_shared(_signed(known, width, threshold, bare=True)), "shared")
+    found = store(_signed(known, width, threshold).join(shared, "sig"), "found")
+    members = _needed(found.join(firsts, "doc_id", "left_semi"))
+    discard(shared, found)
     links = component = None
     for split in range(SPLITS + 1):
         found = _linked(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), looks, docs, width, threshold)
@@ -220,10 +267,11 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD
             links = links.union(found)
         if not more:
             break
-        hot = many.select("doc_id", F.col("sig").alias("group")).join(docs, "doc_id").select("doc_id", "text", "group")
-        signed = store(_signed(hot, width, threshold, first=(split + 1) * 100).distinct(), "signed")
-        shared = signed.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last")).where("pivot < _last").drop("_last")
-        members = store(signed.join(shared, "sig"), "members")
+        hot = many.select("doc_id", F.col("sig").alias("group"), F.col("sig").bitwiseAND(1).alias("only"))
+        hot = hot.join(docs, "doc_id").select("doc_id", "text", "group", "only")
+        signed = store(_signed(hot, width, threshold, first=(split + 1) * 100), "signed")
+        members = _needed(signed.join(_shared(signed), "sig"))
+        discard(signed)
     component = components(links)
     found = copies.join(component, F.col("first") == F.col("id"), "left")
     found = found.select("copy", F.coalesce("component", "first").alias("component_id"))
@@ -273,3 +321,13 @@ def _cross(rest: DataFrame, looks: DataFrame, threshold: Fraction) -> DataFrame:
     other = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.pc")) | (F.col("x.doc_id") < F.col("y.doc_id")))
     joined = x.join(y, (F.col("x.sig") == F.col("y.sig")) & other & _alike("x", "y", threshold))
     return joined.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The document with the smallest id of each component, once; rows without doc_id stay. Columns as in ``docs``."""
+    found = classes(docs, width, threshold).where("doc_id = component_id").groupBy("doc_id").count()
+    found = store(found, "kept")
+    kept = docs.join(found.drop("count"), "doc_id", "left_semi")
+    if not found.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
