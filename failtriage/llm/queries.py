@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failtriage.llm import chat, decontam, langid, ngrams, packing, pii, quality, sharding, substrings, warc
-from failtriage.llm.common import read
+from failtriage.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Expected results as SQL, where SQL can express them.
@@ -16,8 +17,12 @@ ORACLE: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def shipped(spark: SparkSession, d: str) -> DataFrame:
+        return fn(ship(spark), d)
+
+    QUERIES[fn.__name__] = shipped
+    return shipped
 
 
 @query
