@@ -125,6 +125,27 @@ def response_issues(fallback: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.withColumns(replaced)
 
 
+def apply_overrides(fields: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Give groups with a configured risk level that level in title, labels and, later, assignees.
+
+    ``overrides`` holds repo, group_key and risk_level, one row for a group at most.
+    """
+    joined = fields.join(overrides.select(*KEY, F.col("risk_level").alias("_level")), KEY, "left")
+    level, known = F.col("_level"), F.col("_level").isNotNull()
+    bare = F.regexp_replace("title", r"^\[[A-Z]+\] ", "")
+    kept = F.filter("labels", lambda x: (x != NEWCOMER_LABEL) | (level == "safe"))
+    relabelled = F.transform(
+        kept, lambda x: F.when(x.startswith("risk:"), F.concat(F.lit("risk:"), level)).otherwise(x)
+    )
+    return joined.withColumns(
+        {
+            "title": F.when(known, tagged_title(level, bare)).otherwise(F.col("title")),
+            "labels": F.when(known, relabelled).otherwise(F.col("labels")),
+            "risk_level": F.coalesce("_level", "risk_level"),
+        }
+    ).drop("_level")
+
+
 def without_answers(fallback: DataFrame) -> DataFrame:
     """The same columns as ``response_issues`` when there are no responses."""
     return fallback.withColumn("answer", F.lit(None).cast(RESPONSE_SCHEMA))

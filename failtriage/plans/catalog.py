@@ -388,6 +388,16 @@ def response_issues(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def issue_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Issues whose risk level is configured, as they read."""
+    configured = risk.override_levels(values(spark, d)).select(*KEY, F.col("override_pos").cast("bigint").alias("override_pos"))
+    found = all_issues(spark, d).join(configured, KEY)
+    return found.select(
+        *KEY, "override_pos", "risk_level", "title", joined("labels").alias("labels"), joined("assignees").alias("assignees")
+    )
+
+
 @query
 def issue_bodies(spark: SparkSession, d: str) -> DataFrame:
     new = all_issues(spark, d)

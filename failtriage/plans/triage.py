@@ -26,9 +26,10 @@ def parsed_failures(runs: DataFrame, jobs: DataFrame, logs: DataFrame, rules: Ru
 def build_issues(
     failures: DataFrame, values: DataFrame, responses: DataFrame | None = None, rules: RuleSet = DEFAULT_RULES
 ) -> DataFrame:
-    """One issue per failure group; ``values`` are the group values of ``failures``."""
+    """One issue per failure group, with configured risk levels; ``values`` are the group values of ``failures``."""
     fields = issues.fallback_fields(groups.group_failures(values), rules)
     fields = issues.without_answers(fields) if responses is None else issues.response_issues(fields, responses)
+    fields = issues.apply_overrides(fields, risk.override_levels(values, rules))
     return issues.assemble_issues(fields, groups.shown_values(values), groups.recent_links(failures))
 
 

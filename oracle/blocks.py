@@ -350,7 +350,11 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
     fields = ("priority", "estimated_effort", "required_expertise", "risk_level")
     picked = ", ".join(f"CASE WHEN a.repo IS NOT NULL THEN a.{f} ELSE f.{f} END AS {f}" for f in fields)
     bucket = "CASE WHEN a.priority >= 80 THEN 'high' WHEN a.priority >= 50 THEN 'medium' ELSE 'low' END"
-    out[f"{prefix}fields"] = f"""
+    out[f"{prefix}over"] = f"""
+        SELECT repo, group_key, override_pos, {_override_level} AS level FROM (
+            SELECT repo, group_key, min(CASE WHEN {_value_file} THEN {_override} END) AS override_pos
+            FROM {prefix}vals GROUP BY repo, group_key) o WHERE override_pos IS NOT NULL"""
+    out[f"{prefix}scored_fields"] = f"""
         SELECT f.repo, f.group_key, f.failure_count, f.failure_type, f.first_seen, f.last_seen, f.first_job_id, {picked},
                CASE WHEN a.repo IS NOT NULL THEN concat_ws(' ', {tag('a.risk_level')}, a.title) ELSE f.title END AS title,
                CASE WHEN a.repo IS NOT NULL THEN list_filter([{q(R.BASE_LABEL)}, concat('risk:', a.risk_level),
@@ -360,6 +364,14 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
                a.root_cause, a.impact, a.suggested_fix, a.verification, a.prevention
         FROM {prefix}fallback f LEFT JOIN (SELECT * FROM {prefix}answers WHERE valid) a
              ON a.repo = f.repo AND a.group_key = f.group_key"""
+    out[f"{prefix}fields"] = f"""
+        SELECT f.* EXCLUDE (risk_level, title, labels), coalesce(o.level, f.risk_level) AS risk_level,
+               CASE WHEN o.level IS NULL THEN f.title
+                    ELSE concat_ws(' ', {tag('o.level')}, regexp_replace(f.title, '^\\[[A-Z]+\\] ', '')) END AS title,
+               CASE WHEN o.level IS NULL THEN f.labels
+                    ELSE list_transform(list_filter(f.labels, lambda x: x <> {q(R.NEWCOMER_LABEL)} OR o.level = 'safe'),
+                        lambda x: CASE WHEN starts_with(x, 'risk:') THEN concat('risk:', o.level) ELSE x END) END AS labels
+        FROM {prefix}scored_fields f LEFT JOIN {prefix}over o ON o.repo = f.repo AND o.group_key = f.group_key"""
     stamp_s = "%Y-%m-%d %H:%M:%S"
     out[f"{prefix}issues"] = f"""
         SELECT f.repo, f.group_key, first_job_id AS number, title, risk_level, priority, estimated_effort,

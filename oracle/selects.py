@@ -192,6 +192,9 @@ SELECTS: dict[str, str] = {
     "rejected_responses": "SELECT repo, group_key, response FROM answers WHERE NOT coalesce(valid, false)",
     "response_issues": f"""SELECT {_issue_cols}, title, risk_level, priority::BIGINT AS priority, estimated_effort,
         required_expertise FROM all_issues""",
+    "issue_overrides": f"""SELECT i.repo, i.group_key, o.override_pos::BIGINT AS override_pos, i.risk_level, title,
+        {bar('labels')} AS labels, {bar('assignees')} AS assignees
+        FROM all_issues i JOIN all_over o ON o.repo = i.repo AND o.group_key = i.group_key""",
     "issue_bodies": "SELECT repo, group_key, body FROM all_issues",
     "issue_labels": f"SELECT repo, group_key, {bar('labels')} AS labels FROM all_issues",
     "issue_assignees": f"SELECT repo, group_key, {bar('assignees')} AS assignees FROM all_issues",
