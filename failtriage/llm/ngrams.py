@@ -51,7 +51,7 @@ SKETCH = 16
 #: Dealings tried for sets with many empty parts.
 DEALINGS = 8
 #: A group is compared pair by pair if no more members than this stand apart, else it is split.
-APART = 200
+APART = 2000
 #: Splits of a group; after the last one, it is compared pair by pair.
 SPLITS = 5
 
