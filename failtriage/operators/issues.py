@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from failtriage.operators.groups import KEY, SHOWN_LINKS, and_more
 from failtriage.rules import (
-    BASE_LABEL, DEFAULT_RULES, DEFAULT_TAG, NEWCOMER_LABEL, OPTIONAL_KEYS, REQUIRED_KEYS,
+    BASE_LABEL, DEFAULT_RULES, DEFAULT_TAG, LIST_KEYS, NEWCOMER_LABEL, OPTIONAL_KEYS, REQUIRED_KEYS,
     RISK_LEVELS, RISK_TAGS, SENIOR_ASSIGNEE, RuleSet,
 )
 
@@ -17,6 +17,7 @@ RESPONSE_SCHEMA = T.StructType(
         T.StructField(k, T.IntegerType() if k == "priority" else T.StringType())
         for k in REQUIRED_KEYS + OPTIONAL_KEYS
     ]
+    + [T.StructField(k, T.ArrayType(T.StringType())) for k in LIST_KEYS]
 )
 
 
@@ -100,6 +101,11 @@ def accepted_responses(responses: DataFrame) -> DataFrame:
     return parse_responses(responses).where("valid").select(*KEY, "answer.*")
 
 
+def answer_files(responses: DataFrame) -> DataFrame:
+    """Files that accepted responses relate a group to, one row per file."""
+    return accepted_responses(responses).select(*KEY, F.explode("related_files").alias("file")).distinct()
+
+
 def rejected_responses(responses: DataFrame) -> DataFrame:
     """Responses without a readable, complete object; their groups get the fallback."""
     return parse_responses(responses).where("NOT valid").select(*KEY, "response")
@@ -111,7 +117,7 @@ def response_issues(fallback: DataFrame, responses: DataFrame) -> DataFrame:
     A group has one issue: of several accepted responses one is used, always the same.
     """
     answered = accepted_responses(responses).groupBy(*KEY).agg(
-        F.min(F.struct(*REQUIRED_KEYS, *OPTIONAL_KEYS)).alias("answer")
+        F.min(F.struct(*REQUIRED_KEYS, *OPTIONAL_KEYS, *LIST_KEYS)).alias("answer")
     )
     joined = fallback.join(answered, KEY, "left")
     has = F.col("answer").isNotNull()
@@ -179,6 +185,11 @@ def issue_body(n_links: int = SHOWN_LINKS) -> Column:
         section("Root cause", F.col("answer.root_cause")),
         section("Impact", F.col("answer.impact")),
         section("Suggested fix", F.col("answer.suggested_fix")),
+        F.when(
+            F.size("answer.commands") > 0,
+            F.concat(F.lit("\n## Commands\n```\n"), F.array_join("answer.commands", "\n"), F.lit("\n```")),
+        ),
+        section("Related files", bullets("answer.related_files")),
         section("How to verify", F.col("answer.verification")),
         section("How to prevent", F.col("answer.prevention")),
         section("Errors", and_more(bullets("top_patterns"), "more_patterns", "\n")),

@@ -16,7 +16,7 @@ from failtriage.functions import similarity as sim
 from failtriage.operators import bulk, dedup, exact, groups, ingest, issues, parse, risk
 from failtriage.operators.groups import KEY
 from failtriage.plans.triage import build_issues, judged, parsed_failures, run_stats, triage
-from failtriage.rules import TEXT_RULES
+from failtriage.rules import LIST_KEYS, TEXT_RULES
 from failtriage.session import configure, materialize
 from failtriage.sources import derived, sinks
 
@@ -371,7 +371,9 @@ def fallback_issues(spark: SparkSession, d: str) -> DataFrame:
 @query
 def parsed_responses(spark: SparkSession, d: str) -> DataFrame:
     answers = issues.accepted_responses(derived.responses(groups.group_failures(values(spark, d))))
-    return answers.withColumn("priority", F.col("priority").cast("bigint"))
+    return answers.withColumns(
+        {"priority": F.col("priority").cast("bigint"), **{k: joined(k) for k in LIST_KEYS}}
+    )
 
 
 @query
@@ -388,6 +390,11 @@ def response_issues(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def issue_files(spark: SparkSession, d: str) -> DataFrame:
+    return issues.answer_files(derived.responses(groups.group_failures(values(spark, d))))
+
+
 @query
 def issue_overrides(spark: SparkSession, d: str) -> DataFrame:
     """Issues whose risk level is configured, as they read."""

@@ -238,6 +238,8 @@ REQUIRED_KEYS: tuple[str, ...] = (
 OPTIONAL_KEYS: tuple[str, ...] = (
     "root_cause", "impact", "suggested_fix", "verification", "prevention",
 )
+#: Keys whose values are lists of texts.
+LIST_KEYS: tuple[str, ...] = ("commands", "related_files")
 
 
 @dataclass(frozen=True)

@@ -135,6 +135,8 @@ SELECT repo, group_key,
             '", "risk_level": "',
             CASE first_job_id % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'tactical' ELSE 'strategic' END,
             '", "priority": ', CAST(first_job_id % 100 + 1 AS STRING),
+            CASE first_job_id % 5 WHEN 0 THEN concat(', "commands": ["make ', failure_type, '", "make check"], "related_files": ["src/a-',
+                CAST(first_job_id % 9 AS STRING), '.py", "Makefile"]') ELSE '' END,
             ', "estimated_effort": "', CAST(first_job_id % 8 + 1 AS STRING), ' hours"',
             ', "required_expertise": "',
             CASE first_job_id % 2 WHEN 0 THEN 'junior' ELSE 'senior' END,

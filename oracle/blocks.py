@@ -321,7 +321,7 @@ _keys = ", ".join(
     f"TRY_CAST(json_extract_string({_json}, '$.{k}') AS INTEGER) AS {k}" if k == "priority"
     else f"json_extract_string({_json}, '$.{k}') AS {k}"
     for k in R.REQUIRED_KEYS + R.OPTIONAL_KEYS
-)
+) + "".join(f", TRY_CAST(json_extract({_json}, '$.{k}') AS VARCHAR[]) AS {k}" for k in R.LIST_KEYS)
 _complete = " AND ".join(f"{k} IS NOT NULL" for k in R.REQUIRED_KEYS)
 
 
@@ -361,7 +361,7 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
                         concat('type:', f.failure_type), concat('priority:', {bucket}),
                         CASE WHEN a.risk_level = 'safe' THEN {q(R.NEWCOMER_LABEL)} END], lambda x: x IS NOT NULL)
                     ELSE f.labels END AS labels,
-               a.root_cause, a.impact, a.suggested_fix, a.verification, a.prevention
+               a.root_cause, a.impact, a.suggested_fix, a.verification, a.prevention, a.commands, a.related_files
         FROM {prefix}fallback f LEFT JOIN (SELECT * FROM {prefix}answers WHERE valid) a
              ON a.repo = f.repo AND a.group_key = f.group_key"""
     out[f"{prefix}fields"] = f"""
@@ -383,7 +383,10 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
                    CASE WHEN risk_level = 'strategic' THEN concat(chr(10), '## Plan first', chr(10),
                         'This change needs a senior review before any work starts.') END,
                    {section('Root cause', 'root_cause')}, {section('Impact', 'impact')},
-                   {section('Suggested fix', 'suggested_fix')}, {section('How to verify', 'verification')},
+                   {section('Suggested fix', 'suggested_fix')},
+                   CASE WHEN len(commands) > 0 THEN concat(chr(10), '## Commands', chr(10), '```', chr(10),
+                        array_to_string(commands, chr(10)), chr(10), '```') END,
+                   {section('Related files', bullets('related_files'))}, {section('How to verify', 'verification')},
                    {section('How to prevent', 'prevention')},
                    {section('Errors', and_more(bullets('top_patterns'), 'more_patterns', 'chr(10)'))},
                    {section('Files', and_more(bullets('top_files'), 'more_files', 'chr(10)'))},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from failtriage.rules import DUPLICATE_THRESHOLD, OPTIONAL_KEYS, REQUIRED_KEYS, TEAMS
+from failtriage.rules import DUPLICATE_THRESHOLD, LIST_KEYS, OPTIONAL_KEYS, REQUIRED_KEYS, TEAMS
 from oracle.blocks import (
     BLOCKS, compose, jac, like_glob, normalized, q, score, stamp, stripped, text_patterns, words,
 )
@@ -188,7 +188,9 @@ SELECTS: dict[str, str] = {
         required_expertise, {bar('labels')} AS labels FROM fallback""",
     "parsed_responses": "SELECT repo, group_key, "
     + ", ".join(f"{k}::BIGINT AS {k}" if k == "priority" else k for k in REQUIRED_KEYS + OPTIONAL_KEYS)
+    + "".join(f", {bar(k)} AS {k}" for k in LIST_KEYS)
     + " FROM answers WHERE valid",
+    "issue_files": "SELECT DISTINCT repo, group_key, unnest(related_files) AS file FROM answers WHERE valid",
     "rejected_responses": "SELECT repo, group_key, response FROM answers WHERE NOT coalesce(valid, false)",
     "response_issues": f"""SELECT {_issue_cols}, title, risk_level, priority::BIGINT AS priority, estimated_effort,
         required_expertise FROM all_issues""",
