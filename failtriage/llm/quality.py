@@ -4,7 +4,7 @@ Labelled documents are counted in cells of binned features. The number of cells
 is bounded by the number of bins to the power of the features, whatever the
 number of documents, and only these counts come to the driver. Sequential
 covering then grows a conjunction of thresholds on one part of the labelled
-documents, condition by condition with the best information gain, prunes it on
+documents that pass the base rule, condition by condition with the best information gain, prunes it on
 the other part from its end, keeps it if it is precise there, takes what it
 covers out, and goes on. The list becomes one ordered conditional expression.
 
@@ -218,8 +218,8 @@ def fired(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of every document, base_failed, kept and the rule that rejected it."""
     stats = store(statistics(docs), "statistics")
-    rules = cover(*cells(stats, labels))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    rules = cover(*cells(stats.where(~failed), labels))
     return stats.select(
         "*", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"), fired(rules).alias("rule")
     )
