@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import weakref
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -26,12 +26,30 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 RANK_CHUNK = 50_000
 
 
+#: Rows that go to a Python worker at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_user: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called in a Python worker by an operator that keeps models or words there: those of the one before go."""
+    if _user and _user[0][0] != name:
+        _user.pop()[1]()
+    if not _user:
+        _user.append((name, clear))
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the Python workers this package, once for an application; they may start in any folder."""
+    """Give the Python workers this package, once for an application; they may start in any folder.
+
+    Batches sent to them are kept small, as texts may be long; a setting of the session's own is left alone.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH, None) in (None, "10000"):
+        spark.conf.set(BATCH, "1000")
     if context.applicationId not in _shipped:
         package = Path(failtriage.__file__).parent
         archive = Path(tempfile.mkdtemp(prefix="failtriage-code-")) / "failtriage_code.zip"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from failtriage.llm.common import texts
+from failtriage.llm.common import claim, texts
 
 UNKNOWN = "und"
 SAMPLE_CHARS = 24_000
@@ -95,13 +95,15 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 @functools.cache
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """Lower case of each code point, and whether it is a letter."""
-    chars = [chr(c) for c in range(0x110000)]
     lower = np.arange(0x110000, dtype=np.uint32)
-    for c, x in enumerate(chars):
-        y = x.lower()
-        if y != x and len(y) == 1:
-            lower[c] = ord(y)
-    letter = np.fromiter((x.isalpha() for x in chars), bool, 0x110000)
+    letter = np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isalpha():
+            letter[c] = True
+            y = x.lower()
+            if len(y) == 1:
+                lower[c] = ord(y)
     return lower, letter
 
 
@@ -162,6 +164,11 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
 
+def _forget() -> None:
+    _model.cache_clear()
+    _classes.cache_clear()
+
+
 def _predict(model: Model, rows: list[bytes]) -> tuple[list[str], list[float]]:
     parts, owner = [], []
     for i, text in enumerate(rows):
@@ -190,14 +197,15 @@ def _predict(model: Model, rows: list[bytes]) -> tuple[list[str], list[float]]:
 
 
 #: Characters of text parsed side by side in a worker.
-STEP_BYTES = 6_000_000
+STEP_BYTES = 3_000_000
 
 
-def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """``docs`` with lang_pred, and score: the share of the second best language in the phrases of both."""
+def predict(docs: DataFrame, samples: dict[str, str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two more columns: the language, and the share of the second best one in the phrases of both."""
     fixed = tuple(samples.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _forget)
         model = _model(fixed)
         for batch in batches:
             best, score, held, size = [], [], [], 0
@@ -209,10 +217,10 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                     best, score, held, size = best + some[0], score + some[1], [], 0
             some = _predict(model, held)
             columns = [*batch.columns, pa.array(best + some[0], pa.string()), pa.array(score + some[1], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -224,5 +232,6 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 def identified(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """Documents whose language is known, with their own columns; the rest is rejected."""
-    renamed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return predict(renamed, samples).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    mark = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there is
+    found = predict(docs, samples, (f"{mark}lang", f"{mark}score"))
+    return found.where(F.col(f"{mark}lang") != UNKNOWN).select(*docs.columns)

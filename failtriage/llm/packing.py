@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failtriage.llm.common import ranked, store, texts
+from failtriage.llm.common import claim, ranked, store, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -137,6 +137,7 @@ TOGETHER = 2_000_000
 
 def token_bytes(rows: Iterable[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text and the closing id, 4 bytes each."""
+    claim("packing", _ids.cache_clear)
     known = _ids(path)
     end = END_ID.to_bytes(4, "little")
 

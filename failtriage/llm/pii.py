@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failtriage.llm.common import texts
+from failtriage.llm.common import claim, texts
 
 #: Kinds in their order; the patterns find the first four, the CRF all of them.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -304,6 +304,7 @@ CELLS = 100_000
 
 def crf_labels(rows: list[list[bytes]]) -> list[list[tuple[int, int, str]]]:
     """For each token list: (first token, token after the last, kind) of the labelled runs."""
+    claim("pii", _scores.cache_clear)
     known = _scores()
     runs: list[tuple[int, int, list[tuple[float, ...]]]] = []
     for r, tokens in enumerate(rows):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from failtriage.llm.common import mix
+from failtriage.llm.common import claim, mix
 
 #: Bytes of text hashed at a time; a longer text is taken alone.
 CHUNK = 1 << 20
@@ -80,6 +80,7 @@ def _hashed(data: np.ndarray, edges: np.ndarray, first: int, lower: bool) -> Wor
 
 def word_hashes(batch: pa.RecordBatch, name: str = "text", lower: bool = False) -> Iterator[Words]:
     """Words of a string column, some texts at a time; null texts have none. ``lower``: A to Z as a to z."""
+    claim("wordhash", _powers.clear)
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()).fill_null("")
     if not len(column):
         return
