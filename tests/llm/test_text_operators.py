@@ -243,7 +243,7 @@ def test_decontamination(spark):
     docs = frame(spark, [(1, f"so then, {other} he said"), (2, f"so then, {mixed} he said"), (3, None), (4, ""), (5, "a b c"), (6, ITEM.upper() * 2), (7, ITEM + " 5"), (7, ITEM), (None, ITEM)])
     items = spark.createDataFrame([(4, ITEM, 1), (9, other, 1), (5, None, 1), (6, "", 1), (7, "a b c", 1), (8, "one two three four five six", 1)], "item_id long, text string, share int")
     got = decontam.contaminated(docs, items).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(1, 4), (6, 4), (7, 4)} or {(r.doc_id, r.item_id) for r in got} == {(1, 4), (7, 4)}
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 4), (7, 4)}
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
     assert decontam.contaminated(docs.limit(0), items).count() == 0
     short = frame(spark, [(1, "x one two three four five six y")])
