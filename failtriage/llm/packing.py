@@ -132,7 +132,7 @@ def _ids(path: str) -> _Ids:
 
 
 #: Bytes of text whose words are looked up together.
-TOGETHER = 2_000_000
+TOGETHER = 4_000_000
 
 
 def token_bytes(rows: Iterable[bytes], path: str) -> Iterator[bytes]:
