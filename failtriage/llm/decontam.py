@@ -8,6 +8,11 @@ hashes. Windows on one diagonal (same shift between document and template) are
 one instance of the question; a template slot must hold a single document value
 there, else the diagonal counts for nothing.
 
+A document counts by the item tokens that its windows cover: ``SHARE`` of them
+with ``LITERALS`` literal ones, or ``RUN`` neighbouring ones on one diagonal.
+Short items have narrower windows, so that one changed, added or dropped word
+leaves enough of them; those count together only where they stand near each other.
+
 Items with one template (re-parameterised questions) are one entry, named by the
 smallest item_id, so families of questions do not multiply the hits.
 
@@ -24,12 +29,18 @@ from pyspark.sql import functions as F
 
 from failtriage.llm.common import store
 
-#: Tokens of a window.
+#: Items with fewer tokens are matched whole.
 WINDOW = 8
-#: Tokens of a window that must not be placeholders.
+#: Tokens of a window, by the least tokens of an item; the first that fits holds.
+WIDTHS = ((15, 6), (9, 4), (8, 3))
+#: Windows narrower than this count together only where they stand near each other.
+WIDE = 6
+#: Tokens of an item found in a document, or of an item matched whole, that must not be placeholders.
 LITERALS = 5
-#: Share of a template's windows that makes a document contaminated.
+#: Share of a template's tokens that makes a document contaminated.
 SHARE = 0.5
+#: Neighbouring tokens of a template that make a document contaminated, whatever their share.
+RUN = 13
 #: Windows of the benchmark up to which they are sent to all tasks, about 30 MB; beyond, both sides are shuffled.
 SENT_WINDOWS = 500_000
 UNITS = (
@@ -70,6 +81,19 @@ def template(toks: Column) -> Column:
     return F.transform(toks, lambda x: F.when(_slot(x), F.concat(_kind(x), F.array_position(toks, x).cast("string"))).otherwise(x))
 
 
+def _width(size: Column, whole: int) -> Column:
+    """Tokens of a window of items with ``size`` tokens."""
+    out = F.when(size < whole, size)
+    for least, width in WIDTHS:
+        out = out.when(size >= least, F.lit(width))
+    return out.otherwise(size)
+
+
+def _needed(width: Column) -> Column:
+    """Tokens of a window that must not be placeholders: no more than an eight with five such tokens leaves to each."""
+    return F.when(width < WIDE, F.lit(1)).otherwise(F.lit(3))
+
+
 def windows(toks: Column, width: Column) -> Column:
     """Structs (hash, slots) of all token runs of ``width``; null for too few literals."""
     starts = F.when(F.size(toks) >= width, F.sequence(F.lit(1), F.size(toks) - width + 1))
@@ -78,7 +102,7 @@ def windows(toks: Column, width: Column) -> Column:
     def slotted(at: Column) -> Column:
         part = F.slice(toks, at, width)
         slots = F.filter(part, _slot)
-        enough = width - F.size(slots) >= LITERALS
+        enough = width - F.size(slots) >= _needed(width)
         return F.when(enough, F.struct(F.xxhash64(template(part)).alias("hash"), slots.alias("slots")))
 
     def literal(at: Column) -> Column:
@@ -94,16 +118,25 @@ def _exploded(rows: DataFrame, key: str) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Rows (item_id, n_windows, width, item_pos, hash, item_slots) of the distinct templates."""
+    """Rows (item_id, n_windows, n_tokens, slot_at, width, item_pos, hash, item_slots) of the distinct templates.
+
+    ``slot_at`` are the places of an item's placeholders.
+    """
     rows = items.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("long"), tokens(F.col("text")).alias("toks")
     )
     rows = rows.groupBy(template(F.col("toks")).alias("_template")).agg(F.min_by("toks", "item_id").alias("toks"), F.min("item_id").alias("item_id"))
-    rows = rows.withColumn("width", F.least(F.lit(width), F.size("toks"))).where(F.col("width") >= LITERALS)
+    places = F.transform("toks", lambda x, i: F.when(_slot(x), i))
+    rows = rows.select("item_id", "toks", F.size("toks").alias("n_tokens"), F.filter(places, lambda i: i.isNotNull()).alias("slot_at"))
+    rows = rows.where(F.col("n_tokens") - F.size("slot_at") >= LITERALS)
+    rows = store(rows.withColumn("width", _width(F.col("n_tokens"), width)), "items")
     spread = store(_exploded(rows.select("item_id", "toks", "width"), "item_id"), "benchmark")
     total = spread.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    about = rows.select("item_id", "n_tokens", "slot_at").join(total, "item_id")
     return store(
-        spread.join(total, "item_id").select("item_id", "n_windows", "width", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")),
+        spread.join(about, "item_id").select(
+            "item_id", "n_windows", "n_tokens", "slot_at", "width", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")
+        ),
         "benchmark",
     )
 
@@ -114,19 +147,27 @@ def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
     if bench.count() <= SENT_WINDOWS:
         bench = F.broadcast(bench)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), tokens(F.col("text")).alias("toks"))
-    found = None
-    for width in widths or [WINDOW]:
-        spread = _exploded(rows.withColumn("width", F.lit(width)), "doc_id").withColumnRenamed("pos", "doc_pos")
-        part = spread.join(bench, ["hash", "width"])
-        found = part if found is None else found.unionByName(part)
-    return found
+    rows = rows.withColumn("width", F.explode(F.array(*map(F.lit, widths or [WINDOW]))))
+    return _exploded(rows, "doc_id").withColumnRenamed("pos", "doc_pos").join(bench, ["hash", "width"])
+
+
+def _longest(places: Column, width: Column) -> Column:
+    """Most neighbouring tokens that windows at sorted ``places`` cover."""
+
+    def step(acc: Column, at: Column) -> Column:
+        start = F.when(at > acc["end"], at).otherwise(acc["start"])
+        return F.struct(start.alias("start"), (at + width).alias("end"), F.greatest(acc["most"], at + width - start).alias("most"))
+
+    none = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("most"))
+    return F.aggregate(places, none, step, lambda acc: acc["most"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, share: float = SHARE) -> DataFrame:
     """Rows (doc_id, item_id, n_found, n_windows, share, n_slots, first_word) of contaminated documents.
 
-    ``n_found`` counts the template's windows seen in consistent diagonals and
-    ``n_slots`` the slots checked; ``first_word`` is where the first of them is.
+    ``n_found`` counts the template's windows seen in consistent diagonals,
+    ``share`` is that of its tokens that they cover and ``n_slots`` the slots
+    checked; ``first_word`` is where the first of the windows is.
     """
     bench = benchmark_windows(items, width)
     found = store(hits(docs, bench).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos")), "hits")
@@ -135,14 +176,32 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, share:
     values = values.groupBy(*line, "s.item_slots").agg(F.count("*").alias("n"))
     values = values.groupBy(*line).agg(F.count("*").alias("n_slots"), F.max("n").alias("_most"))
     checked = found.join(values, line, "left").where("coalesce(_most, 1) = 1")
-    seen = checked.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("item_pos").alias("n_found"),
+    lines = checked.groupBy(*line).agg(
+        F.array_sort(F.collect_set("item_pos")).alias("places"),
+        *(F.max(c).alias(c) for c in ("width", "n_tokens", "slot_at", "n_windows", "n_slots")),
+        F.min("doc_pos").alias("first_word"),
+    )
+    lines = store(lines.withColumn("run", _longest(F.col("places"), F.col("width"))), "lines")
+    stretch = F.col("diagonal") / (2 * F.col("n_tokens"))
+    near = F.array(2 * F.floor(stretch), 2 * F.floor(stretch + 0.5) + 1)
+    near = F.when(F.col("width") < WIDE, near).otherwise(F.array(F.lit(0).cast("long")))
+    pair = ["doc_id", "item_id"]
+    placed = lines.select(*pair, "width", "n_tokens", "slot_at", F.explode(near).alias("near"), "places")
+    placed = placed.withColumn("at", F.explode("places")).drop("places").distinct()
+    covered = placed.select(*pair, "near", "n_tokens", "slot_at", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("token"))
+    covered = covered.groupBy(*pair, "near", "token").agg(F.max("n_tokens").alias("n_tokens"), F.max(F.array_contains("slot_at", F.col("token"))).alias("slot"))
+    covered = covered.groupBy(*pair, "near").agg((F.count("*") / F.max("n_tokens")).alias("share"), F.count_if(~F.col("slot")).alias("literals"))
+    enough = F.max((F.col("share") >= share) & (F.col("literals") >= LITERALS)).alias("enough")
+    covered = covered.groupBy(*pair).agg(F.max("share").alias("share"), enough)
+    seen = lines.groupBy(*pair).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_found"),
         F.max("n_windows").alias("n_windows"),
         F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"),
-        F.min("doc_pos").cast("long").alias("first_word"),
+        F.min("first_word").cast("long").alias("first_word"),
+        F.max("run").alias("run"),
     )
-    seen = seen.withColumn("share", F.col("n_found") / F.col("n_windows"))
-    return seen.where(F.col("share") >= share).select("doc_id", "item_id", "n_found", "n_windows", "share", "n_slots", "first_word")
+    seen = seen.join(covered, pair).where(F.col("enough") | (F.col("run") >= RUN))
+    return seen.select("doc_id", "item_id", "n_found", "n_windows", "share", "n_slots", "first_word")
 
 
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:

@@ -251,6 +251,27 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontam.without(docs, decontam.contaminated(docs, items)).collect()} >= {2, 3, 4, 5, None}
 
 
+def test_decontamination_finds_near_copies_and_parts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bcdfghjklmnp") + rng.choice("aeiou") for _ in range(4)) for _ in range(3000)]
+    own, other = words[:1500], words[1500:]
+    items, docs, part = [], [], 0
+    for size in (*range(8, 23), 60):
+        item = [own.pop() for _ in range(size)]
+        items.append((size, " ".join(item)))
+        around = [" ".join(rng.sample(other, 30)) for _ in range(2)]
+        copies = [item[:14], item[-14:], item[15:45]] if size == 60 else []
+        for at in range(size if size < 60 else 0):
+            copies += [item[:at] + ["zz"] + item[at + 1 :], item[:at] + ["zz"] + item[at:]]
+            copies += [item[:at] + item[at + 1 :]]
+        for copy in copies:
+            part += 1
+            docs.append((1000 * size + part, f"{around[0]} {' '.join(copy)} {around[1]}"))
+        docs.append((-size, f"{around[0]} {' '.join(item[:4] if size < 60 else item[:12])} {around[1]}"))
+    got = decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i // 1000) for i, _ in docs if i > 0}
+
+
 def test_decontamination_way_for_large_benchmarks(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     sent = Counter(map(tuple, decontam.contaminated(docs, items).collect()))
