@@ -29,7 +29,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark question, or a re-parameterised one."""
-    return decontam.without(docs, store(decontam.contaminated(docs, read(spark, sf_dir, "benchmark")), "contaminated"))
+    return decontam.without(docs, store(decontam.contaminated(docs, read(spark, sf_dir, "benchmark"), literal=True), "contaminated"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

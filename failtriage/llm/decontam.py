@@ -16,8 +16,12 @@ leaves enough of them; those count together only where they stand near each othe
 Items with one template (re-parameterised questions) are one entry, named by the
 smallest item_id, so families of questions do not multiply the hits.
 
-Defined results: null and empty texts, and items of fewer than ``LITERALS``
-literal tokens, match nothing; items shorter than a window are matched whole;
+Beside a template window its tokens with values kept can be hashed too
+(``literal``, as the queries do): then copies in other letter case are found, and
+exact ones of items with too few literal tokens for a template.
+
+Defined results: null and empty texts, and without ``literal`` items of fewer than
+``LITERALS`` literal tokens, match nothing; items shorter than a window are matched whole;
 rows that share a doc_id are one document; rows without doc_id are left out;
 an empty table gives no row. Other columns are ignored.
 """
@@ -94,45 +98,66 @@ def _needed(width: Column) -> Column:
     return F.when(width < WIDE, F.lit(1)).otherwise(F.lit(3))
 
 
-def windows(toks: Column, width: Column) -> Column:
-    """Structs (hash, slots) of all token runs of ``width``; null for too few literals."""
+def _plain(token: Column) -> Column:
+    return F.translate(token, MARK + UNIT_MARK + NAME_MARK, "")
+
+
+def windows(toks: Column, width: Column, literal: bool = False) -> Column:
+    """Structs (pos, hash, slots) of all token runs of ``width`` with enough literals.
+
+    With ``literal`` also those of runs with slots, their values kept; these have null for slots.
+    """
     starts = F.when(F.size(toks) >= width, F.sequence(F.lit(1), F.size(toks) - width + 1))
     none = F.lit(None).cast("array<string>")
 
+    def window(at: Column, part: Column, slots: Column) -> Column:
+        return F.struct((at - 1).alias("pos"), F.xxhash64(part).alias("hash"), slots.alias("slots"))
+
     def slotted(at: Column) -> Column:
         part = F.slice(toks, at, width)
         slots = F.filter(part, _slot)
         enough = width - F.size(slots) >= _needed(width)
-        return F.when(enough, F.struct(F.xxhash64(template(part)).alias("hash"), slots.alias("slots")))
+        out = [F.when(enough, window(at, template(part), slots))]
+        if literal:
+            out.append(F.when(F.size(slots) > 0, window(at, F.transform(part, _plain), none)))
+        return F.array(*out)
 
-    def literal(at: Column) -> Column:
-        return F.struct(F.xxhash64(F.slice(toks, at, width)).alias("hash"), none.alias("slots"))
+    def unslotted(at: Column) -> Column:
+        return window(at, F.slice(toks, at, width), none)
 
-    return F.when(F.exists(toks, _slot), F.transform(starts, slotted)).otherwise(F.transform(starts, literal))
+    with_slots = F.filter(F.flatten(F.transform(starts, slotted)), lambda w: w.isNotNull())
+    return F.when(F.exists(toks, _slot), with_slots).otherwise(F.transform(starts, unslotted))
 
 
-def _exploded(rows: DataFrame, key: str) -> DataFrame:
+def _exploded(rows: DataFrame, key: str, literal: bool = False) -> DataFrame:
     """Rows (key, width, pos, hash, slots) of a table with key, toks and width."""
-    spread = rows.select(key, "width", F.posexplode(windows(F.col("toks"), F.col("width"))).alias("pos", "w"))
-    return spread.where("w is not null").select(key, "width", "pos", "w.hash", "w.slots")
+    spread = rows.select(key, "width", F.explode(windows(F.col("toks"), F.col("width"), literal)).alias("w"))
+    return spread.select(key, "width", "w.pos", "w.hash", "w.slots")
 
 
-def benchmark_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
+def benchmark_windows(items: DataFrame, width: int = WINDOW, literal: bool = False) -> DataFrame:
     """Rows (item_id, n_windows, n_tokens, slot_at, width, item_pos, hash, item_slots) of the distinct templates.
 
-    ``slot_at`` are the places of an item's placeholders.
+    ``slot_at`` are the places of an item's placeholders. With ``literal`` the windows with
+    values kept are those of all items of a template.
     """
     rows = items.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("long"), tokens(F.col("text")).alias("toks")
     )
-    rows = rows.groupBy(template(F.col("toks")).alias("_template")).agg(F.min_by("toks", "item_id").alias("toks"), F.min("item_id").alias("item_id"))
+    rows = rows.withColumn("_template", template(F.col("toks")))
+    entries = rows.groupBy("_template").agg(F.min_by("toks", "item_id").alias("toks"), F.min("item_id").alias("item_id"))
     places = F.transform("toks", lambda x, i: F.when(_slot(x), i))
-    rows = rows.select("item_id", "toks", F.size("toks").alias("n_tokens"), F.filter(places, lambda i: i.isNotNull()).alias("slot_at"))
-    rows = rows.where(F.col("n_tokens") - F.size("slot_at") >= LITERALS)
-    rows = store(rows.withColumn("width", _width(F.col("n_tokens"), width)), "items")
-    spread = store(_exploded(rows.select("item_id", "toks", "width"), "item_id"), "benchmark")
-    total = spread.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    about = rows.select("item_id", "n_tokens", "slot_at").join(total, "item_id")
+    entries = entries.select("_template", "item_id", "toks", F.size("toks").alias("n_tokens"), F.filter(places, lambda i: i.isNotNull()).alias("slot_at"))
+    templates = F.col("n_tokens") - F.size("slot_at") >= LITERALS
+    entries = entries.where(F.col("n_tokens") > 0 if literal else templates)
+    entries = store(entries.withColumn("width", _width(F.col("n_tokens"), width)), "items")
+    spread = _exploded(entries.where(templates | (F.size("slot_at") == 0)).select("item_id", "toks", "width"), "item_id")
+    if literal:
+        own = rows.where(F.exists("toks", _slot)).select("_template", "toks").join(entries.select("_template", "item_id", "width"), "_template")
+        spread = spread.unionByName(_exploded(own.select("item_id", "toks", "width"), "item_id", True).where("slots is null").distinct())
+    spread = store(spread, "benchmark")
+    total = spread.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
+    about = entries.select("item_id", "n_tokens", "slot_at").join(total, "item_id")
     return store(
         spread.join(about, "item_id").select(
             "item_id", "n_windows", "n_tokens", "slot_at", "width", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")
@@ -141,14 +166,14 @@ def benchmark_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def hits(docs: DataFrame, bench: DataFrame, literal: bool = False) -> DataFrame:
     """Rows of equal windows: doc_id, doc_pos, slots and the columns of ``bench``."""
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())
     if bench.count() <= SENT_WINDOWS:
         bench = F.broadcast(bench)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), tokens(F.col("text")).alias("toks"))
     rows = rows.withColumn("width", F.explode(F.array(*map(F.lit, widths or [WINDOW]))))
-    return _exploded(rows, "doc_id").withColumnRenamed("pos", "doc_pos").join(bench, ["hash", "width"])
+    return _exploded(rows, "doc_id", literal).withColumnRenamed("pos", "doc_pos").join(bench, ["hash", "width"])
 
 
 def _longest(places: Column, width: Column) -> Column:
@@ -162,15 +187,17 @@ def _longest(places: Column, width: Column) -> Column:
     return F.aggregate(places, none, step, lambda acc: acc["most"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, share: float = SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, share: float = SHARE, literal: bool = False) -> DataFrame:
     """Rows (doc_id, item_id, n_found, n_windows, share, n_slots, first_word) of contaminated documents.
 
     ``n_found`` counts the template's windows seen in consistent diagonals,
     ``share`` is that of its tokens that they cover and ``n_slots`` the slots
     checked; ``first_word`` is where the first of the windows is.
+    With ``literal`` copies in any case, and those of items with few or no literal
+    tokens, are found as well.
     """
-    bench = benchmark_windows(items, width)
-    found = store(hits(docs, bench).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos")), "hits")
+    bench = benchmark_windows(items, width, literal)
+    found = store(hits(docs, bench, literal).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos")), "hits")
     line = ["doc_id", "item_id", "diagonal"]
     values = found.where(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).distinct()
     values = values.groupBy(*line, "s.item_slots").agg(F.count("*").alias("n"))
@@ -178,6 +205,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, share:
     checked = found.join(values, line, "left").where("coalesce(_most, 1) = 1")
     lines = checked.groupBy(*line).agg(
         F.array_sort(F.collect_set("item_pos")).alias("places"),
+        F.array_sort(F.collect_set(F.when(F.col("slots").isNull(), F.col("item_pos")))).alias("kept"),
         *(F.max(c).alias(c) for c in ("width", "n_tokens", "slot_at", "n_windows", "n_slots")),
         F.min("doc_pos").alias("first_word"),
     )
@@ -186,21 +214,23 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, share:
     near = F.array(2 * F.floor(stretch), 2 * F.floor(stretch + 0.5) + 1)
     near = F.when(F.col("width") < WIDE, near).otherwise(F.array(F.lit(0).cast("long")))
     pair = ["doc_id", "item_id"]
-    placed = lines.select(*pair, "width", "n_tokens", "slot_at", F.explode(near).alias("near"), "places")
-    placed = placed.withColumn("at", F.explode("places")).drop("places").distinct()
-    covered = placed.select(*pair, "near", "n_tokens", "slot_at", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("token"))
-    covered = covered.groupBy(*pair, "near", "token").agg(F.max("n_tokens").alias("n_tokens"), F.max(F.array_contains("slot_at", F.col("token"))).alias("slot"))
-    covered = covered.groupBy(*pair, "near").agg((F.count("*") / F.max("n_tokens")).alias("share"), F.count_if(~F.col("slot")).alias("literals"))
-    enough = F.max((F.col("share") >= share) & (F.col("literals") >= LITERALS)).alias("enough")
+    placed = lines.select(*pair, "width", "n_tokens", "slot_at", F.explode(near).alias("near"), "places", "kept")
+    placed = placed.withColumn("at", F.explode("places")).withColumn("kept", F.array_contains("kept", F.col("at"))).drop("places").distinct()
+    covered = placed.select(*pair, "near", "n_tokens", "slot_at", "kept", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("token"))
+    covered = covered.groupBy(*pair, "near", "token").agg(F.max("n_tokens").alias("n_tokens"), F.max(F.col("kept") | ~F.array_contains("slot_at", F.col("token"))).alias("literal"))
+    covered = covered.groupBy(*pair, "near").agg(
+        F.max("n_tokens").alias("n_tokens"), (F.count("*") / F.max("n_tokens")).alias("share"), F.count_if("literal").alias("literals")
+    )
+    enough = F.max((F.col("share") >= share) & (F.col("literals") >= F.least(F.lit(LITERALS), "n_tokens"))).alias("enough")
     covered = covered.groupBy(*pair).agg(F.max("share").alias("share"), enough)
     seen = lines.groupBy(*pair).agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_found"),
         F.max("n_windows").alias("n_windows"),
         F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"),
         F.min("first_word").cast("long").alias("first_word"),
-        F.max("run").alias("run"),
+        F.max(F.when(F.col("n_tokens") > 2 * RUN, F.col("run"))).alias("run"),
     )
-    seen = seen.join(covered, pair).where(F.col("enough") | (F.col("run") >= RUN))
+    seen = seen.join(covered, pair).where(F.col("enough") | F.coalesce(F.col("run") >= RUN, F.lit(False)))
     return seen.select("doc_id", "item_id", "n_found", "n_windows", "share", "n_slots", "first_word")
 
 

@@ -45,7 +45,7 @@ def op9_partition_enumeration(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op8_template_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return decontam.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
+    return decontam.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"), literal=True)
 
 
 @query

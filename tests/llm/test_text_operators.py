@@ -272,6 +272,21 @@ def test_decontamination_finds_near_copies_and_parts(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i // 1000) for i, _ in docs if i > 0}
 
 
+def test_decontamination_by_literal_windows(spark):
+    """Copies in any case, and of items without a template window, also where another item has the same template."""
+    sums = ["What is 12 + 7 * 3 - 4 / 2?", "What is 13 + 8 * 2 - 6 / 3?", "2 + 3 = 5", "Who ran?"]
+    texts = [ITEM, *sums, "ordinary words about nothing in particular at all"]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    copies = [(10, ITEM.upper()), (11, ITEM.lower()), (12, ITEM.title()), *((20 + i, t) for i, t in enumerate(sums))]
+    clean = [(30, "What is 14 + 9 * 5 - 2 / 7?"), (31, "2 + 4 = 5"), (32, "who walked and ran?")]
+    docs = frame(spark, [(i, f"so then, {t} he said") for i, t in copies + clean])
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, literal=True).collect()}
+    assert got == {(10, 0), (11, 0), (12, 0), (20, 1), (21, 1), (22, 3), (23, 4)}
+    assert QUERIES["op8_template_leaks"](spark, FOLDER).count() >= decontam.contaminated(
+        spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    ).count()
+
+
 def test_decontamination_way_for_large_benchmarks(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     sent = Counter(map(tuple, decontam.contaminated(docs, items).collect()))
