@@ -9,6 +9,8 @@ Texts are lower-cased, runs of anything but letters count as one space, and
 parsing starts anew every ``BLOCK`` characters, so long texts are parsed as many
 blocks side by side: the walk is a table look-up for all blocks at once, and a
 step of the automaton either goes on or, marked in the table, starts a phrase.
+All letters of the training text are told apart, in any script; each language has
+one code for the letters that it never saw.
 
 The training text of a language is at most ``SAMPLE_CHARS`` characters, taken
 from at most ``SAMPLE_DOCS`` labelled documents in the order of a hash of their
@@ -38,7 +40,7 @@ SAMPLE_DOCS = 60
 DOC_CHARS = 1_000
 TOTAL_CHARS = 1_200_000
 BLOCK = 1_024
-#: Letters told apart at most, the commonest of the training text; others count as one.
+#: Letters of a language up to which its automaton is a full table; beyond, only its transitions are held.
 LETTERS = 94
 
 
@@ -121,6 +123,44 @@ def letters(points: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.where(is_letter, code[lower[points]], 0)[keep].astype(np.int32)
 
 
+class Table:
+    """All steps of an automaton; ``own`` gives its code of each letter code, if these differ."""
+
+    kind = np.int32
+
+    def __init__(self, follow: list[dict[int, int]], size: int, own: np.ndarray | None) -> None:
+        # Entry (state, letter): twice the offset of the next state, odd if a phrase starts there.
+        self.own = own
+        start = np.array([follow[0].get(c, 0) for c in range(size)])
+        table = np.tile(2 * size * start + 1, (len(follow), 1)).astype(np.int32)
+        for state, to in enumerate(follow):
+            if to:
+                table[state, list(to)] = [2 * size * t for t in to.values()]
+        table[0] = 2 * size * start + 1
+        self.table = table.ravel()
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        return self.table.take((state >> 1) + letter)
+
+
+class Sparse:
+    """The same for large alphabets: transitions by sorted (state, letter), a phrase starts where there is none."""
+
+    kind = np.int64
+
+    def __init__(self, follow: list[dict[int, int]], size: int, own: np.ndarray) -> None:
+        self.own = own
+        self.start = np.array([2 * size * follow[0].get(c, 0) + 1 for c in range(size)], np.int64)
+        pairs = sorted((size * state + c, 2 * size * t) for state, to in enumerate(follow) if state for c, t in to.items())
+        self.keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.to = np.array([t for _, t in pairs] + [0], np.int64)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = (state >> 1) + letter
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], self.start[letter])
+
+
 class Model:
     """Look-up tables of the automata of the languages in ``samples``."""
 
@@ -129,33 +169,30 @@ class Model:
         lower, letter = _classes()
         raw = [_points(text.encode()) for _, text in samples]
         seen = [lower[p[letter[p]]] for p in raw]
-        known, n = np.unique(np.concatenate([*seen, np.empty(0, np.uint32)]), return_counts=True)
-        known = known[np.argsort(-n, kind="stable")][:LETTERS]
+        known = np.unique(np.concatenate([*seen, np.empty(0, np.uint32)]))
         self.code = np.full(0x110000, len(known) + 1, np.int32)
         self.code[known] = np.arange(1, len(known) + 1)
         self.size = len(known) + 2
-        self.tables = [self._table(automaton(letters(p, self.code))) for p in raw]
+        self.tables = [self._table(letters(p, self.code)) for p in raw]
 
-    def _table(self, follow: list[dict[int, int]]) -> np.ndarray:
-        """Entry (state, letter): twice the offset of the next state, odd if a phrase starts there."""
-        start = np.array([follow[0].get(c, 0) for c in range(self.size)])
-        table = np.tile(2 * self.size * start + 1, (len(follow), 1)).astype(np.int32)
-        for state, to in enumerate(follow):
-            if to:
-                table[state, list(to)] = [2 * self.size * t for t in to.values()]
-        table[0] = 2 * self.size * start + 1
-        return table.ravel()
+    def _table(self, text: np.ndarray) -> Table | Sparse:
+        if self.size <= LETTERS + 2:
+            return Table(automaton(text), self.size, None)
+        used = np.unique(np.append(text, 0))
+        own = np.full(self.size, len(used), np.int32)
+        own[used] = np.arange(len(used))
+        kind = Table if len(used) <= LETTERS + 1 else Sparse
+        return kind(automaton(own[text]), len(used) + 1, own)
 
     def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each block and language; ``blocks`` holds a step in each row, longest blocks first."""
         out = np.zeros((len(self.langs), len(lengths)), np.int32)
         active = np.searchsorted(-lengths, -np.arange(len(blocks)), "left")
         for table, count in zip(self.tables, out):
-            state = np.zeros(len(lengths), np.int32)
+            state = np.zeros(len(lengths), table.kind)
             for step, n in zip(blocks, active.tolist()):
-                moved = table.take((state[:n] >> 1) + step[:n])
-                count[:n] += moved & 1
-                state = moved
+                state = table.step(state[:n], step[:n] if table.own is None else table.own[step[:n]])
+                count[:n] += (state & 1).astype(np.int32)
         return out
 
 

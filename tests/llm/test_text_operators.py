@@ -234,6 +234,25 @@ def test_language_phrases_match_greedy_parse():
         assert best[0] in "ab"
 
 
+def test_languages_in_one_large_script(monkeypatch):
+    """Two languages with partly the same letters of one script beside a common one; full tables give the same phrases."""
+    rng = random.Random(2)
+    han = [chr(0x4E00 + i) for i in range(900)]
+    one, two = (["".join(rng.sample(part, 2)) for _ in range(300)] for part in (han[:500], han[400:]))
+
+    def text(words, n):
+        return "".join(rng.choice(words) for _ in range(n))
+
+    latin = " ".join(rng.choice(("the", "and", "with", "zeta", "quick", "jumbo")) for _ in range(5000))
+    common = text([chr(0xAC00 + i) for i in range(100)], 9000)
+    samples = (("en", latin), ("ko", common), ("x", text(one, 3000)), ("y", text(two, 3000)))
+    rows = [text(one, 200).encode() for _ in range(10)] + [text(two, 200).encode() for _ in range(10)] + [b"and the quick zeta"]
+    best, score = langid._predict(langid.Model(samples), rows)
+    assert best == ["x"] * 10 + ["y"] * 10 + ["en"]
+    monkeypatch.setattr(langid, "LETTERS", 2000)
+    assert langid._predict(langid.Model(samples), rows) == (best, score)
+
+
 ITEM = "Alice goes to buy apples at the market and Bob sold Carol 5 kg of fruit for 20 dollars so what does Carol pay for 5 kg"
 
 
