@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failtriage.llm import chat, decontam, langid, ngrams, packing, pii, quality, sharding, substrings, warc
+from failtriage.llm import (
+    bpe, chat, decontam, langid, negatives, ngrams, packing, pii, quality, sharding, substrings, warc, whitening,
+)
 from failtriage.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +123,46 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
 FROM seen
 """
+
+
+@query
+def op11_qdwh_whitening(spark: SparkSession, d: str) -> DataFrame:
+    rows = whitening.whitened(read(spark, d, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_strassen_negatives(spark: SparkSession, d: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, d, "embeddings"), label=moved)
+
+
+ORACLE["op12_strassen_negatives"] = """
+WITH vecs AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM vecs a JOIN vecs b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query
+def op13_trie_bpe(spark: SparkSession, d: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(read(spark, d, "documents")), text="decoded")
+    return decoded.select(
+        "doc_id", F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
