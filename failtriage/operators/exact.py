@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from failtriage.functions.signatures import combined_hash, digests, hash_of_digests, list_hash, normalized
+from failtriage.functions.signatures import combined_hash, hash_of_sums, lanes, list_hash, normalized, shown
 from failtriage.operators.groups import KEY
 from failtriage.session import materialize
 
@@ -21,7 +21,7 @@ def with_signature(
             "file_hash": list_hash(F.col(files), "file"),
             "type_hash": list_hash(F.col(types)),
         }
-    ).withColumn("signature", combined_hash(F.col("error_hash"), F.col("file_hash"), F.col("type_hash")))
+    ).withColumn("signature", combined_hash(F.col("error_hash"), F.col("file_hash"), F.col("type_hash"))).withColumn("short_signature", shown(F.col("signature")))
 
 
 def group_signatures(values: DataFrame) -> DataFrame:
@@ -36,16 +36,16 @@ def group_signatures(values: DataFrame) -> DataFrame:
         kind == "file", normalized("file", value)
     ).otherwise(normalized("type", value))
     distinct = values.where(kind.isin(*names)).select(*KEY, "kind", clean.alias("value")).distinct()
-    first, second = digests(value)
+    numbers = lanes(F.md5(value))
 
     def part(name: str) -> Column:
         own = kind == name
-        xored = F.coalesce(F.bit_xor(F.when(own, first)), F.lit(0))
-        summed = F.coalesce(F.sum(F.when(own, second)), F.lit(0))
-        return hash_of_digests(F.count_if(own), xored, summed)
+        sums = [F.coalesce(F.sum(F.when(own, n)), F.lit(0)) for n in numbers]
+        return hash_of_sums(F.count_if(own), sums)
 
     parts = distinct.groupBy(*KEY).agg(*[part(k).alias(name) for k, name in names.items()])
-    return parts.withColumn("signature", combined_hash(F.col("error_hash"), F.col("file_hash"), F.col("type_hash")))
+    signed = parts.withColumn("signature", combined_hash(F.col("error_hash"), F.col("file_hash"), F.col("type_hash")))
+    return signed.withColumn("short_signature", shown(F.col("signature")))
 
 
 def exact_duplicates(new: DataFrame, prior: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from failtriage.functions.text import strip
 from failtriage.rules import DEFAULT_RULES, RuleSet
+from failtriage.session import materialize
 
 KEY = ["repo", "group_key"]
 SHOWN_PATTERNS = 5
@@ -102,15 +103,18 @@ def and_more(text: Column, more: str, glue: str) -> Column:
 
 
 def recent_links(failures: DataFrame, n: int = SHOWN_LINKS) -> DataFrame:
-    """Links of the newest failures of each group, newest first."""
+    """Links of the newest failures of each group, newest first; ``named_links`` say which workflow and job they show."""
     newest = Window.partitionBy(*KEY).orderBy(F.desc("created_at"), F.desc("run_id"), "job_id")
+    name = F.concat_ws(" / ", "workflow_name", "job_name")
     kept = (
-        failures.select(*KEY, "created_at", "run_id", "job_id", "run_url")
+        failures.select(*KEY, "created_at", "run_id", "job_id", "run_url", F.concat_ws(": ", name, "run_url").alias("named"))
         .withColumn("rank", F.row_number().over(newest))
         .where(F.col("rank") <= n)
     )
-    rows = F.sort_array(F.collect_list(F.struct("rank", "run_url")))
-    return kept.groupBy(*KEY).agg(F.transform(rows, lambda r: r["run_url"]).alias("links"))
+    rows = F.sort_array(F.collect_list(F.struct("rank", "run_url", "named")))
+    return kept.groupBy(*KEY).agg(rows.alias("rows")).select(
+        *KEY, F.col("rows.run_url").alias("links"), F.col("rows.named").alias("named_links")
+    )
 
 
 def occurrence_summary(failures: DataFrame, n: int = SHOWN_LINKS) -> DataFrame:
@@ -124,11 +128,55 @@ def occurrence_summary(failures: DataFrame, n: int = SHOWN_LINKS) -> DataFrame:
     return totals.join(recent_links(failures, n), KEY).select("*", more)
 
 
+#: Words of 64 bits that a bitmap of keys has at most, so what is broadcast stays below some tens of megabytes.
+BITMAP_WORDS = 1 << 20
+#: Bits of the bitmap for each key, where that fits, and places that a key sets.
+BITS_PER_KEY, PLACES = 32, 3
+
+
+def _places(key: list[str], words: int) -> list[Column]:
+    """Where a key is in a bitmap of 64-bit words."""
+    return [F.pmod(F.xxhash64(*key, F.lit(k)), F.lit(words * 64)) for k in range(PLACES)]
+
+
+def key_bitmap(keys: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
+    """A bitmap of the keys as rows ``word, bits``, and its number of words, which has an upper bound."""
+    wanted = max(1, keys.count() * BITS_PER_KEY // 64)
+    words = min(BITMAP_WORDS, 1 << (wanted - 1).bit_length())
+    placed = keys.select(F.explode(F.array(*_places(key, words))).alias("place"))
+    bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
+    words_set = placed.groupBy(F.expr("place DIV 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return materialize(words_set, "key-bitmap"), words
+
+
+def in_bitmap(rows: DataFrame, bitmap: DataFrame, words: int, key: list[str]) -> DataFrame:
+    """The rows whose key may be among those of the bitmap; none of them is lost, and few others are left.
+
+    The bitmap is broadcast, its size is bounded, so rows that are left out are
+    dropped where they are read.
+    """
+    for place in _places(key, words):
+        held = F.broadcast(bitmap.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+        bit = F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, CAST(_place % 64 AS INT))"))
+        rows = (
+            rows.withColumn("_place", place).withColumn("_word", F.expr("_place DIV 64"))
+            .join(held, "_word").where(bit != 0).drop("_word", "_place", "_bits")
+        )
+    return rows
+
+
 def sample_logs(failures: DataFrame, logs: DataFrame) -> DataFrame:
-    """Whole log of the newest failure of each group: found by its key, then joined, one log for each group."""
+    """Whole log of the newest failure of each group: found by its key, one log for each group.
+
+    The logs are read once more; a bitmap of the keys found drops all others
+    before the join, so about one log per group is shuffled and not all of them.
+    """
     newest = failures.groupBy(*KEY).agg(F.max(F.struct("created_at", "run_id", "job_id")).alias("newest"))
-    found = newest.select(*KEY, F.col("newest.job_id").alias("job_id"))
-    return found.join(logs.select("repo", "job_id", F.col("logs").alias("log_sample")), ["repo", "job_id"])
+    found = materialize(newest.select(*KEY, F.col("newest.job_id").alias("job_id")), "newest-failures")
+    job = ["repo", "job_id"]
+    bitmap, words = key_bitmap(found, job)
+    few = in_bitmap(logs.select(*job, F.col("logs").alias("log_sample")), bitmap, words, job)
+    return found.join(few, job)
 
 
 def analysis_context(groups: DataFrame, shown: DataFrame, samples: DataFrame) -> DataFrame:

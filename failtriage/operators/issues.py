@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from failtriage.functions.answers import first_missing, list_of, number_of, object_spans, readable, text_of
 from failtriage.operators.groups import KEY, SHOWN_LINKS, and_more
 from failtriage.rules import (
     BASE_LABEL, DEFAULT_RULES, DEFAULT_TAG, LIST_KEYS, NEWCOMER_LABEL, OPTIONAL_KEYS, REQUIRED_KEYS,
@@ -21,6 +22,10 @@ RESPONSE_SCHEMA = T.StructType(
 )
 
 
+#: Why an issue has a configured risk level.
+CONFIGURED_REASON = "configured for its files"
+
+
 def risk_tag(level: Column) -> Column:
     chain = F
     for name, tag in RISK_TAGS.items():
@@ -83,18 +88,37 @@ def fallback_fields(groups: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFr
     ).drop("raw_title")
 
 
+_ANSWER_KEYS = (*REQUIRED_KEYS, *OPTIONAL_KEYS, *LIST_KEYS)
+
+
+def _answer_fields(value: Column) -> Column:
+    """The fields of an answer, each read as what it should be."""
+
+    def field(key: str) -> Column:
+        read = number_of if key == "priority" else list_of if key in LIST_KEYS else text_of
+        return read(value, key).alias(key)
+
+    return F.struct(*map(field, _ANSWER_KEYS))
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Read the JSON object inside each response text.
 
-    The object spans the first to the last brace. ``valid`` is true when it could
-    be read and has all required keys.
+    Of the objects in a text the first one that has all required keys is the
+    answer; ``valid`` says whether there is one and ``reason`` why not. Numbers
+    may be given as texts, lists of one as a single value.
     """
-    span = F.regexp_extract("response", r"(?s)\{.*\}", 0)
-    parsed = responses.withColumn("answer", F.from_json(span, RESPONSE_SCHEMA))
-    complete = F.lit(True)
-    for key in REQUIRED_KEYS:
-        complete = complete & F.col(f"answer.{key}").isNotNull()
-    return parsed.withColumn("valid", F.coalesce(complete, F.lit(False)))
+    spans = object_spans(F.coalesce("response", F.lit("")))
+    objects = F.filter(F.transform(spans, readable), lambda v: v.isNotNull())
+    read = responses.withColumn("_spans", F.size(spans)).withColumn("_read", F.transform(objects, _answer_fields))
+    whole = F.get(F.filter("_read", lambda a: first_missing(a, REQUIRED_KEYS).isNull()), F.lit(0))
+    reason = (
+        F.when(F.col("_spans") == 0, "no object")
+        .when(F.size("_read") == 0, "no readable object")
+        .otherwise(F.concat(F.lit("no usable "), first_missing(F.get("_read", F.lit(0)), REQUIRED_KEYS)))
+    )
+    parsed = read.withColumn("answer", whole).withColumn("valid", F.col("answer").isNotNull())
+    return parsed.withColumn("reason", F.when(~F.col("valid"), reason)).drop("_spans", "_read")
 
 
 def accepted_responses(responses: DataFrame) -> DataFrame:
@@ -107,19 +131,28 @@ def answer_files(responses: DataFrame) -> DataFrame:
 
 
 def rejected_responses(responses: DataFrame) -> DataFrame:
-    """Responses without a readable, complete object; their groups get the fallback."""
-    return parse_responses(responses).where("NOT valid").select(*KEY, "response")
+    """Responses without a readable, complete object, and why; their groups get the fallback."""
+    return parse_responses(responses).where("NOT valid").select(*KEY, "response", "reason")
+
+
+def used_answers(responses: DataFrame) -> DataFrame:
+    """Of the accepted responses of each group the one that its issue is made of: always the same, the least."""
+    return accepted_responses(responses).groupBy(*KEY).agg(F.min(F.struct(*_ANSWER_KEYS)).alias("answer"))
+
+
+def unused_answers(responses: DataFrame) -> DataFrame:
+    """Accepted responses of groups whose issue is made of another one; equal ones count as one."""
+    every = accepted_responses(responses).select(*KEY, F.struct(*_ANSWER_KEYS).alias("other")).distinct()
+    joined = every.join(used_answers(responses), KEY).where("other != answer")
+    return joined.select(*KEY, "other.*")
 
 
 def response_issues(fallback: DataFrame, responses: DataFrame) -> DataFrame:
     """Replace fallback fields by those of an accepted response of the same group.
 
-    A group has one issue: of several accepted responses one is used, always the same.
+    A group has one issue; ``unused_answers`` lists what it is not made of.
     """
-    answered = accepted_responses(responses).groupBy(*KEY).agg(
-        F.min(F.struct(*REQUIRED_KEYS, *OPTIONAL_KEYS, *LIST_KEYS)).alias("answer")
-    )
-    joined = fallback.join(answered, KEY, "left")
+    joined = fallback.join(used_answers(responses), KEY, "left")
     has = F.col("answer").isNotNull()
     level = F.col("answer.risk_level")
     fields = ["risk_level", "priority", "estimated_effort", "required_expertise"]
@@ -148,6 +181,7 @@ def apply_overrides(fields: DataFrame, overrides: DataFrame) -> DataFrame:
             "title": F.when(known, tagged_title(level, bare)).otherwise(F.col("title")),
             "labels": F.when(known, relabelled).otherwise(F.col("labels")),
             "risk_level": F.coalesce("_level", "risk_level"),
+            "risk_reason": F.when(known, F.lit(CONFIGURED_REASON)).otherwise(F.col("answer.risk_reason")),
         }
     ).drop("_level")
 
@@ -173,7 +207,7 @@ def issue_body(n_links: int = SHOWN_LINKS) -> Column:
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Repository: "), F.col("repo")),
-        F.concat(F.lit("Risk: "), F.col("risk_level")),
+        F.concat(F.lit("Risk: "), F.concat_ws(" - ", "risk_level", "risk_reason")),
         F.concat(F.lit("Type: "), F.col("failure_type")),
         F.concat(F.lit("Priority: "), F.col("priority").cast("string")),
         F.concat(F.lit("Effort: "), F.col("estimated_effort")),
@@ -198,21 +232,21 @@ def issue_body(n_links: int = SHOWN_LINKS) -> Column:
         F.concat(F.lit("Most recent: "), stamp("last_seen")),
         F.concat(F.lit("First: "), stamp("first_seen")),
         F.concat(F.lit("Total: "), F.col("failure_count").cast("string")),
-        bullets("links"),
+        bullets("named_links"),
         F.when(more > 0, F.concat(F.lit("and "), more.cast("string"), F.lit(" more"))),
         F.lit("\nOpened by failure triage."),
     )
 
 
 def assemble_issues(fields: DataFrame, shown: DataFrame, links: DataFrame) -> DataFrame:
-    """Add body and assignees; ``number`` is the first job of the group."""
+    """Add body and assignees; ``number`` is the first job of the group, ``first_pattern`` its most frequent error."""
     joined = fields.join(shown, KEY, "left").join(links, KEY, "left")
     return joined.withColumns({"body": issue_body(), "assignees": assignees(F.col("risk_level"))}).select(
         *KEY,
         F.col("first_job_id").alias("number"),
         "title", "body", "risk_level", "priority", "estimated_effort", "required_expertise",
         "labels", "assignees", "failure_count",
-        F.array("failure_type").alias("failure_types"),
+        F.array("failure_type").alias("failure_types"), F.get("top_patterns", F.lit(0)).alias("first_pattern"),
     )
 
 

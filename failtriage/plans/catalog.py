@@ -7,18 +7,19 @@ text, so any engine can compare them.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from failtriage.functions import similarity as sim
-from failtriage.operators import bulk, dedup, exact, groups, ingest, issues, parse, risk
+from failtriage.operators import bulk, dedup, exact, groups, ingest, issues, parse, phrases, repo_rules, risk
 from failtriage.operators.groups import KEY
 from failtriage.plans.triage import build_issues, judged, parsed_failures, run_stats, triage
 from failtriage.rules import LIST_KEYS, TEXT_RULES
-from failtriage.session import configure, materialize
-from failtriage.sources import derived, sinks
+from failtriage.session import configure, materialize, work_dir
+from failtriage.sources import derived, ledger, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,7 +275,7 @@ def normalized_patterns(spark: SparkSession, d: str) -> DataFrame:
 @query
 def issue_signatures(spark: SparkSession, d: str) -> DataFrame:
     signed = exact.with_signature(failures(spark, d).withColumn("failure_types", F.array("failure_type")))
-    return signed.select("repo", "job_id", "error_hash", "file_hash", "type_hash", "signature")
+    return signed.select("repo", "job_id", "error_hash", "file_hash", "type_hash", "signature", "short_signature")
 
 
 @query
@@ -284,8 +285,9 @@ def group_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = derived.doc_issues(spark, d)
-    return docs.select("number", sim.search_terms(F.col("title")).alias("terms"))
+    """Words worth searching for of every whole text."""
+    docs = derived.table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("number"), sim.search_terms(F.col("text")).alias("terms"))
 
 
 @query
@@ -356,6 +358,19 @@ def team_routing(spark: SparkSession, d: str) -> DataFrame:
     return risk.route_teams(values(spark, d))
 
 
+@query
+def repo_risk_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Risk levels that the rules of each repository give to groups."""
+    found = repo_rules.override_levels(written_values(spark, d), derived.repo_rules(spark, d))
+    return found.withColumn("override_pos", F.col("override_pos").cast("bigint"))
+
+
+@query
+def repo_team_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Teams by the rules of each repository."""
+    return repo_rules.route_teams(written_values(spark, d), derived.repo_rules(spark, d))
+
+
 # --- issues ---------------------------------------------------------------------
 
 
@@ -381,6 +396,13 @@ def rejected_responses(spark: SparkSession, d: str) -> DataFrame:
     return issues.rejected_responses(derived.responses(groups.group_failures(values(spark, d))))
 
 
+@query
+def unused_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted answers that no issue is made of, as their group has another one."""
+    answers = issues.unused_answers(derived.responses(groups.group_failures(values(spark, d))))
+    return answers.select(*KEY, "title", F.col("priority").cast("bigint").alias("priority"), "estimated_effort")
+
+
 @query
 def response_issues(spark: SparkSession, d: str) -> DataFrame:
     new = all_issues(spark, d)
@@ -448,6 +470,14 @@ def json_export(spark: SparkSession, d: str) -> DataFrame:
     return sinks.export_json(new)
 
 
+@query
+def json_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of a whole analysis per repository, as they are exported."""
+    new, verdict = _verdicts(spark, d)
+    later = written_failures(spark, d).where(F.col("created_at") >= _cutoff())
+    return sinks.export_stats(run_stats(later, new, dedup.only_new(new, verdict), 5))
+
+
 # --- duplicates -----------------------------------------------------------------
 
 
@@ -467,6 +497,13 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def phrase_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Open issues that hold the first error pattern of new issues, once for each pattern."""
+    new, filed = new_and_filed(spark, d)
+    return phrases.phrase_matches(phrases.issue_phrases(new), ingest.open_issues(filed))
+
+
 @query
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
     new, filed = new_and_filed(spark, d)
@@ -476,9 +513,9 @@ def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def best_match(spark: SparkSession, d: str) -> DataFrame:
-    """The oldest issue on file that reaches the threshold, as the verdicts have it."""
+    """The issue on file with the greatest score, of equal ones the newest, and the oldest that reaches the threshold."""
     _, verdict = _verdicts(spark, d)
-    return verdict.where("is_duplicate").select("repo", "number", "matched_number", "similarity")
+    return verdict.where("is_duplicate").select("repo", "number", "matched_number", "similarity", "oldest_number")
 
 
 @query
@@ -511,6 +548,18 @@ def comment_actions(spark: SparkSession, d: str) -> DataFrame:
     return sinks.comment_actions(dedup.recurrence_notes(new, verdict))
 
 
+@query
+def emitted_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Actions and the batch that emitted them: notes first, then all, then all once more, which adds none."""
+    new, verdict = _verdicts(spark, d)
+    every = materialize(ledger.actions(dedup.only_new(new, verdict), dedup.recurrence_notes(new, verdict)), "actions")
+    path = f"{work_dir(spark)}/failtriage-{spark.sparkContext.applicationId}/actions-{uuid.uuid4().hex}"
+    ledger.emit(every.where("kind = 'comment'"), path, "notes")
+    ledger.emit(every, path, "all")
+    ledger.emit(every, path, "again")
+    return ledger.emitted(spark, path).drop("text")
+
+
 @query
 def triage_stats(spark: SparkSession, d: str) -> DataFrame:
     new, verdict = _verdicts(spark, d)

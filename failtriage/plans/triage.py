@@ -66,14 +66,15 @@ def run_stats(failures: DataFrame, all_issues: DataFrame, left: DataFrame, runs_
 def no_matches(new: DataFrame) -> DataFrame:
     """An empty table of matches, for when duplicates are not looked for."""
     return new.where(F.lit(False)).select(
-        *dedup.ISSUE, F.lit(None).cast("bigint").alias("matched_number"), F.lit(None).cast("double").alias("similarity")
+        *dedup.ISSUE, F.lit(None).cast("bigint").alias("matched_number"), F.lit(None).cast("double").alias("similarity"),
+        F.lit(None).cast("bigint").alias("oldest_number"),
     )
 
 
 def judged(new: DataFrame, existing: DataFrame, threshold: float = DUPLICATE_THRESHOLD, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """The verdict on each new issue by the search over all open issues; written, as several tables are made of it."""
     types = tuple(dict.fromkeys([*(t.failure_type for t in rules.types), *KNOWN_TYPES]))
-    found = bulk.near_duplicates(new, ingest.open_issues(existing), threshold=threshold, failure_types=types)
+    found = bulk.near_duplicates(new, ingest.open_issues(existing), threshold=threshold, failure_types=types, best=True)
     return materialize(dedup.verdicts(new, found), "verdicts")
 
 

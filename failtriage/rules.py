@@ -236,7 +236,7 @@ REQUIRED_KEYS: tuple[str, ...] = (
     "title", "risk_level", "priority", "estimated_effort", "required_expertise",
 )
 OPTIONAL_KEYS: tuple[str, ...] = (
-    "root_cause", "impact", "suggested_fix", "verification", "prevention",
+    "risk_reason", "root_cause", "impact", "suggested_fix", "verification", "prevention",
 )
 #: Keys whose values are lists of texts.
 LIST_KEYS: tuple[str, ...] = ("commands", "related_files")
@@ -271,7 +271,7 @@ TEXT_RULES = RuleSet(
     errors=(
         ExtractRule("link", r"https?://[^ \t\r\n\"'<>]+"),
         ExtractRule("mail", r"\b[a-z0-9._%+-]{1,64}@[a-z0-9-]{1,63}\.[a-z0-9.-]{1,63}"),
-        ExtractRule("licence", r"licen[sc]e[^\r\n<]{0,60}"),
+        ExtractRule("licence", r"licen[sc]e[^\r\n<]*"),
         ExtractRule("version", r"version [0-9]+(?:\.[0-9]+)*"),
     ),
     files=(ExtractRule("path", r"(?:href|src)=\"(/[^\"\r\n]*)\"", 1),),

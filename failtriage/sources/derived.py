@@ -76,17 +76,16 @@ FROM (SELECT event_id, user_id, CAST((event_id - event_id % 3) / 3 AS BIGINT) AS
       FROM {events} WHERE event_id % 50 <> 0) e
 """
 
-# {first_words} is the only engine-specific expression.
+# The title is the first sentence of a text, up to a stop or the end of its line, whatever its length.
 DOC_ISSUES_SQL = """
 SELECT 'acme/docs' AS repo, doc_id AS number,
-       concat('[', risk_level, '] ', {first_words}) AS title,
+       concat('[', risk_level, '] ', regexp_extract(text, '^[^.!?\n]*', 0)) AS title,
        concat(text, chr(10), 'kind: docs_', lang) AS body,
        lang, source, risk_level, concat('docs_', lang) AS failure_type
 FROM (SELECT doc_id, text, lang, source,
              CASE lang WHEN 'en' THEN 'tactical' WHEN 'fr' THEN 'strategic' ELSE 'safe' END AS risk_level
       FROM {documents}) d
 """
-FIRST_WORDS_SPARK = "array_join(slice(split(text, '[ ]'), 1, 8), ' ')"
 
 CUTOFF = "2024-01-16 00:00:00"
 
@@ -114,36 +113,47 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues made of documents: title from the first words, labels from language and source."""
-    sql = DOC_ISSUES_SQL.replace("{first_words}", FIRST_WORDS_SPARK)
-    df = spark.sql(sql, documents=table(spark, sf_dir, "documents"))
+    """Issues made of documents: title from the first sentence, labels from language and source."""
+    df = spark.sql(DOC_ISSUES_SQL, documents=table(spark, sf_dir, "documents"))
     return df.selectExpr(
         "repo", "number", "title", "body", "risk_level",
         "array(lang, source) AS labels", "array(failure_type) AS failure_types",
     )
 
 # Answers of an analyst per failure group: some without an object, with broken
-# JSON or with a missing key.
+# JSON or with a missing key; priorities as numbers and as texts, single commands
+# and lists of them, braces in the prose. Some groups have two answers.
 RESPONSES_SQL = """
 SELECT repo, group_key,
        CASE first_job_id % 7
        WHEN 0 THEN 'I could not tell what went wrong.'
        WHEN 1 THEN concat('Result: {"title": "', failure_type, ' broken')
        WHEN 2 THEN concat('{"title": "Look at ', failure_type, '", "risk_level": "safe", "priority": 10}')
-       WHEN 3 THEN 'Unsure.'
-       ELSE concat('Here is my view:', chr(10), '{"title": "', replace(group_key, '|', ' in '),
+       WHEN 3 THEN concat('Unsure. {"title": "x", "risk_level": "safe", "priority": "high", "estimated_effort": "a", "required_expertise": "b", "n": ',
+            CAST(first_job_id AS STRING), '}')
+       ELSE concat('Here is my view', CASE WHEN first_job_id % 6 = 0 THEN ' of {group} and {"a": 1}' ELSE '' END, ':', chr(10),
+            '{"title": "', replace(group_key, '|', ' in '),
             '", "risk_level": "',
             CASE first_job_id % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'tactical' ELSE 'strategic' END,
-            '", "priority": ', CAST(first_job_id % 100 + 1 AS STRING),
+            '", "priority": ',
+            CASE first_job_id % 4 WHEN 0 THEN concat('"', CAST(first_job_id % 100 + 1 AS STRING), '"')
+                WHEN 1 THEN concat(CAST(first_job_id % 100 + 1 AS STRING), '.0') ELSE CAST(first_job_id % 100 + 1 AS STRING) END,
             CASE first_job_id % 5 WHEN 0 THEN concat(', "commands": ["make ', failure_type, '", "make check"], "related_files": ["src/a-',
-                CAST(first_job_id % 9 AS STRING), '.py", "Makefile"]') ELSE '' END,
+                CAST(first_job_id % 9 AS STRING), '.py", "Makefile"]')
+                WHEN 1 THEN concat(', "commands": "make {', failure_type, '}"') ELSE '' END,
             ', "estimated_effort": "', CAST(first_job_id % 8 + 1 AS STRING), ' hours"',
+            CASE WHEN first_job_id % 2 = 0 THEN concat(', "risk_reason": "seen in ', repo, '"') ELSE '' END,
             ', "required_expertise": "',
             CASE first_job_id % 2 WHEN 0 THEN 'junior' ELSE 'senior' END,
             '", "root_cause": "Cause of ', failure_type,
             '", "suggested_fix": "Check the last change"}', chr(10), 'Hope this helps.')
        END AS response
 FROM {groups}
+UNION ALL
+SELECT repo, group_key,
+       concat('Second view: {"title": "', failure_type, ' again", "risk_level": "tactical", "priority": ',
+            CAST(first_job_id % 50 + 1 AS STRING), ', "estimated_effort": 2, "required_expertise": "mid"}') AS response
+FROM {groups} WHERE first_job_id % 4 = 1
 """
 
 # Repository addresses in all accepted forms and one that is not.
@@ -161,6 +171,30 @@ FROM {orders}
 """
 
 
+# Path rules of each repository, from the customers: globs with one star, with two, without any, and of a star only.
+RULES_SQL = """
+SELECT concat('acme/repo-', CAST(c_custkey % 10 AS STRING)) AS repo, c_custkey AS pos,
+       CASE c_custkey % 11
+       WHEN 0 THEN concat('APP/module_', CAST(c_nationkey AS STRING), '.*')
+       WHEN 1 THEN concat('tests/test_mod_', CAST(c_custkey % 40 AS STRING), '.py')
+       WHEN 2 THEN concat('deploy/*/service_', CAST(c_custkey % 9 AS STRING), '.')
+       WHEN 3 THEN concat('store*engine.p', CAST(c_custkey % 2 AS STRING))
+       WHEN 4 THEN concat('/größe/*_', CAST(c_nationkey AS STRING))
+       WHEN 5 THEN concat('000', CAST(c_nationkey AS STRING), '_init.s?l')
+       WHEN 6 THEN concat('requirements_', CAST(c_custkey % 50 AS STRING), '*')
+       WHEN 7 THEN CASE WHEN c_custkey % 1000 = 7 THEN '*' ELSE concat('vendor-', CAST(c_custkey AS STRING), '/*') END
+       WHEN 8 THEN concat('*', CAST(c_custkey % 30 AS STRING), '.py')
+       ELSE concat('src/pkg-', CAST(c_custkey AS STRING), '/*.py') END AS pattern,
+       CASE c_custkey % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'tactical' ELSE 'strategic' END AS risk_level,
+       concat('team-', lower(c_mktsegment)) AS team
+FROM {customer}
+"""
+
+
+def repo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RULES_SQL, customer=table(spark, sf_dir, "customer"))
+
+
 def responses(groups: DataFrame) -> DataFrame:
     sql = RESPONSES_SQL.replace("{", "{{").replace("}", "}}").replace("{{groups}}", "{groups}")
     return groups.sparkSession.sql(sql, groups=groups)

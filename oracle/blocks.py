@@ -60,6 +60,12 @@ def like_glob(path: str, glob: str, *, any_case: bool) -> str:
     return f"{path} {op} {q('%' + pattern + '%')} ESCAPE '\\'"
 
 
+def like_column(path: str, glob: str, *, any_case: bool) -> str:
+    """The same for a column of globs."""
+    escaped = f"replace(replace(replace(replace({glob}, '\\', '\\\\'), '%', '\\%'), '_', '\\_'), '*', '%')"
+    return f"{path} {'ILIKE' if any_case else 'LIKE'} concat('%', {escaped}, '%') ESCAPE '\\'"
+
+
 def stamp(col: str, fmt: str = "%Y-%m-%d %H:%M:%S.%f") -> str:
     return f"strftime({col}, '{fmt}')"
 
@@ -132,7 +138,13 @@ def and_more(text: str, more: str, glue: str) -> str:
     return f"concat_ws({glue}, {text}, CASE WHEN {more} > 0 THEN concat('and ', {more}, ' more') END)"
 
 
-FIRST_WORDS = "array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')"
+def cleaned(text: str) -> str:
+    """Words worth searching for, lower-cased, as one text."""
+    found = f"regexp_extract_all(coalesce({text}, ''), '[\\p{{L}}\\p{{N}}_]+(?:-[\\p{{L}}\\p{{N}}_]+)*', 0)"
+    return f"lower(array_to_string(list_filter({found}, lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\p{{Nd}}+')), ' '))"
+
+
+holds_phrase = """length(n.phrase) > 3 AND (contains(e.in_title, concat(' ', n.phrase, ' ')) OR contains(e.in_body, concat(' ', n.phrase, ' ')))"""
 _files = all_matches("logs", R.FILE_RULES, "")
 _errors = all_matches("logs", R.ERROR_RULES, "(?i)")
 _value_file, _value_pattern = "kind = 'file'", "kind = 'pattern'"
@@ -156,6 +168,7 @@ BLOCKS: dict[str, str] = {
     "jobs": derived.JOBS_SQL.replace("{events}", "events"),
     "runs": derived.RUNS_SQL.replace("{orders}", "orders"),
     "logs": derived.LOGS_SQL.replace("{events}", "events"),
+    "repo_rules": derived.RULES_SQL.replace("{customer}", "customer"),
     "addresses": derived.ADDRESSES_SQL.replace("{orders}", "orders"),
     "parsed": f"""
         SELECT repo, job_id, error_patterns, affected_files, failure_type, commands, phrases,
@@ -194,7 +207,8 @@ BLOCKS: dict[str, str] = {
                greatest(count(*) FILTER (WHERE kind = 'file') - 10, 0) AS more_files
         FROM ranked WHERE kind IN ('pattern', 'file') GROUP BY repo, group_key""",
     "links": """
-        SELECT repo, group_key, list(run_url ORDER BY rn) AS links FROM (
+        SELECT repo, group_key, list(run_url ORDER BY rn) AS links,
+               list(concat(workflow_name, ' / ', job_name, ': ', run_url) ORDER BY rn) AS named_links FROM (
             SELECT *, row_number() OVER (PARTITION BY repo, group_key ORDER BY created_at DESC, run_id DESC, job_id) AS rn
             FROM failures) f WHERE rn <= 3 GROUP BY repo, group_key""",
     "signed": f"""
@@ -276,22 +290,17 @@ BLOCKS: dict[str, str] = {
                      {jac('n.bw', 'e.bw')} AS b,
                      len(list_filter(n.failure_types, lambda x: contains(e.lb, lower(x)))) > 0 AS y
               FROM n_feat n JOIN e_feat e ON e.repo = n.repo) p""",
-    "n_phrase": """
-        SELECT repo, number, risk_level, failure_types, lower(array_to_string(list_slice(list_filter(
-                   regexp_extract_all(title, '[\\p{L}\\p{N}_]+(?:-[\\p{L}\\p{N}_]+)*', 0),
-                   lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\p{Nd}+')), 1, 5), ' ')) AS phrase
-        FROM new_issues""",
-    "e_phrase": """
-        SELECT repo, number, labels, title, concat(' ', lower(array_to_string(list_filter(
-                   regexp_extract_all(title, '[\\p{L}\\p{N}_]+(?:-[\\p{L}\\p{N}_]+)*', 0),
-                   lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\p{Nd}+')), ' ')), ' ') AS cleaned
+    "n_phrase": f"""
+        SELECT repo, number, risk_level, failure_types, {cleaned('first_pattern')} AS phrase FROM new_issues""",
+    "e_phrase": f"""
+        SELECT repo, number, labels, title, concat(' ', {cleaned('title')}, ' ') AS in_title, concat(' ', {cleaned('body')}, ' ') AS in_body
         FROM on_file WHERE state = 'open'""",
     "found": f"""
         SELECT n.repo, n.number, e.number AS candidate,
                CASE WHEN list_contains(e.labels, concat('risk:', n.risk_level)) THEN 0
                     WHEN list_contains(e.labels, {q(R.BASE_LABEL)}) THEN 1
                     WHEN contains(lower(e.title), {q(R.TITLE_PHRASE.lower())}) THEN 2
-                    WHEN length(n.phrase) > 3 AND contains(e.cleaned, concat(' ', n.phrase, ' ')) THEN 3
+                    WHEN {holds_phrase} THEN 3
                     WHEN list_contains(e.labels, concat('type:', n.failure_types[1])) THEN 4 END AS search_rank
         FROM n_phrase n JOIN e_phrase e ON e.repo = n.repo""",
     "cands": f"""
@@ -301,37 +310,77 @@ BLOCKS: dict[str, str] = {
         SELECT c.search_rank, c.place, s.* FROM cands c
         JOIN scored_all s ON s.repo = c.repo AND s.number = c.number AND s.candidate = c.candidate""",
     "best": f"""
-        SELECT repo, number, candidate AS matched_number, similarity FROM (
-            SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY candidate) AS rn
+        SELECT repo, number, candidate AS matched_number, similarity, oldest_number FROM (
+            SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY similarity DESC, candidate DESC) AS rn,
+                   min(candidate) OVER (PARTITION BY repo, number) AS oldest_number
             FROM scored_all WHERE similarity >= {R.DUPLICATE_THRESHOLD}::DOUBLE) s WHERE rn = 1""",
     "verdict": f"""
         SELECT n.repo, n.number, matched_number IS NOT NULL AS is_duplicate, matched_number,
                coalesce(similarity, 0.0::DOUBLE) AS similarity,
                CASE WHEN matched_number IS NULL THEN 'no issue on file is similar enough'
                     WHEN similarity >= {R.EXACT_THRESHOLD}::DOUBLE THEN 'same problem as an issue on file'
-                    ELSE 'very similar to an issue on file' END AS reason
+                    ELSE 'very similar to an issue on file' END AS reason, oldest_number
         FROM new_issues n LEFT JOIN best b ON b.repo = n.repo AND b.number = n.number""",
     "doc_issues": f"SELECT *, [lang, source] AS labels, [failure_type] AS failure_types FROM ("
-    + derived.DOC_ISSUES_SQL.replace("{first_words}", FIRST_WORDS).replace("{documents}", "documents")
+    + derived.DOC_ISSUES_SQL.replace("{documents}", "documents")
     + ") d",
 }
 
-_json = "TRY_CAST(span AS JSON)"
-_keys = ", ".join(
-    f"TRY_CAST(json_extract_string({_json}, '$.{k}') AS INTEGER) AS {k}" if k == "priority"
-    else f"json_extract_string({_json}, '$.{k}') AS {k}"
-    for k in R.REQUIRED_KEYS + R.OPTIONAL_KEYS
-) + "".join(f", TRY_CAST(json_extract({_json}, '$.{k}') AS VARCHAR[]) AS {k}" for k in R.LIST_KEYS)
-_complete = " AND ".join(f"{k} IS NOT NULL" for k in R.REQUIRED_KEYS)
+_as_number = "floor(TRY_CAST(json_extract_string(j, '$.priority') AS DOUBLE) + 0.5)"
+
+
+def _member(key: str) -> str:
+    if key == "priority":
+        return f"TRY_CAST({_as_number} AS INTEGER)"
+    if key in R.LIST_KEYS:
+        return (
+            f"CASE json_type(json_extract(j, '$.{key}')) WHEN 'ARRAY' THEN CAST(json_extract(j, '$.{key}') AS VARCHAR[])"
+            f" WHEN 'NULL' THEN NULL ELSE CASE WHEN json_extract(j, '$.{key}') IS NOT NULL"
+            f" THEN [json_extract_string(j, '$.{key}')] END END"
+        )
+    return f"json_extract_string(j, '$.{key}')"
+
+
+_keys = ", ".join(f"{_member(k)} AS {k}" for k in R.REQUIRED_KEYS + R.OPTIONAL_KEYS + R.LIST_KEYS)
+_missing = "CASE " + " ".join(f"WHEN {k} IS NULL THEN {q(k)}" for k in R.REQUIRED_KEYS) + " END"
+_order = ", ".join(f"{k} NULLS FIRST" for k in R.REQUIRED_KEYS + R.OPTIONAL_KEYS + R.LIST_KEYS)
+# Depth of braces over the pieces of a text, as a fold.
+_scan = r"""list_reduce(list_prepend(
+    {t: '', pos: 1, depth: 0, quoted: false, start: 0, spans: []::STRUCT(s INTEGER, n INTEGER)[]},
+    list_transform(regexp_extract_all(response, '(?s)\\.|["{}]|[^\\"{}]+|\\', 0),
+        lambda t: {t: t, pos: 0, depth: 0, quoted: false, start: 0, spans: []::STRUCT(s INTEGER, n INTEGER)[]})),
+    lambda a, b: {t: b.t, pos: a.pos + length(b.t)::INTEGER,
+        depth: CASE WHEN a.quoted THEN a.depth WHEN b.t = '{' THEN a.depth + 1 WHEN b.t = '}' AND a.depth > 0 THEN a.depth - 1 ELSE a.depth END,
+        quoted: CASE WHEN b.t = '"' AND a.depth > 0 THEN NOT a.quoted ELSE a.quoted END,
+        start: CASE WHEN NOT a.quoted AND b.t = '{' AND a.depth = 0 THEN a.pos ELSE a.start END,
+        spans: CASE WHEN NOT a.quoted AND b.t = '}' AND a.depth = 1 THEN list_append(a.spans, {s: a.start, n: a.pos - a.start + 1}) ELSE a.spans END})"""
 
 
 def response_blocks(prefix: str, groups: str) -> dict[str, str]:
     """Responses to the groups in block ``groups`` and what is read from them."""
     return {
-        f"{prefix}responses": derived.RESPONSES_SQL.replace("{groups}", groups),
+        f"{prefix}responses": "SELECT row_number() OVER () AS rid, * FROM (" + derived.RESPONSES_SQL.replace("{groups}", groups) + ") r",
+        f"{prefix}spans": rf"""
+            SELECT rid, repo, group_key, response, i, texts[i] AS span FROM (
+                SELECT *, unnest(range(1, len(texts) + 1)) AS i FROM (
+                    SELECT *, list_concat(list_transform(f.spans, lambda x: substring(response, x.s, x.n)),
+                                          [regexp_extract(response, '(?s)\{{.*\}}', 0)]) AS texts
+                    FROM (SELECT *, {_scan} AS f FROM {prefix}responses) s) t) u WHERE texts[i] <> ''""",
+        f"{prefix}objects": f"""
+            SELECT *, {_missing} AS missing FROM (SELECT rid, i, {_keys} FROM (
+                SELECT rid, i, TRY_CAST(span AS JSON) AS j FROM {prefix}spans) s WHERE json_type(j) = 'OBJECT') o""",
         f"{prefix}answers": f"""
-            SELECT *, {_complete} AS valid FROM (SELECT repo, group_key, response, {_keys}
-            FROM (SELECT *, regexp_extract(response, '(?s)\\{{.*\\}}', 0) AS span FROM {prefix}responses) s) a""",
+            SELECT r.repo, r.group_key, r.response, o.* EXCLUDE (rid, i, missing), o.rid IS NOT NULL AS valid,
+                   CASE WHEN o.rid IS NOT NULL THEN NULL
+                        WHEN NOT EXISTS (SELECT 1 FROM {prefix}spans s WHERE s.rid = r.rid) THEN 'no object'
+                        WHEN NOT EXISTS (SELECT 1 FROM {prefix}objects s WHERE s.rid = r.rid) THEN 'no readable object'
+                        ELSE concat('no usable ', (SELECT arg_min(s.missing, s.i) FROM {prefix}objects s WHERE s.rid = r.rid)) END AS reason
+            FROM {prefix}responses r LEFT JOIN (
+                SELECT * FROM {prefix}objects WHERE missing IS NULL
+                QUALIFY row_number() OVER (PARTITION BY rid ORDER BY i) = 1) o ON o.rid = r.rid""",
+        f"{prefix}ranked_answers": f"""
+            SELECT *, row_number() OVER (PARTITION BY repo, group_key ORDER BY {_order}) AS rn
+            FROM (SELECT DISTINCT * EXCLUDE (response, valid, reason) FROM {prefix}answers WHERE valid) a""",
     }
 
 
@@ -361,11 +410,12 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
                         concat('type:', f.failure_type), concat('priority:', {bucket}),
                         CASE WHEN a.risk_level = 'safe' THEN {q(R.NEWCOMER_LABEL)} END], lambda x: x IS NOT NULL)
                     ELSE f.labels END AS labels,
-               a.root_cause, a.impact, a.suggested_fix, a.verification, a.prevention, a.commands, a.related_files
-        FROM {prefix}fallback f LEFT JOIN (SELECT * FROM {prefix}answers WHERE valid) a
+               a.risk_reason, a.root_cause, a.impact, a.suggested_fix, a.verification, a.prevention, a.commands, a.related_files
+        FROM {prefix}fallback f LEFT JOIN (SELECT * FROM {prefix}ranked_answers WHERE rn = 1) a
              ON a.repo = f.repo AND a.group_key = f.group_key"""
     out[f"{prefix}fields"] = f"""
-        SELECT f.* EXCLUDE (risk_level, title, labels), coalesce(o.level, f.risk_level) AS risk_level,
+        SELECT f.* EXCLUDE (risk_level, title, labels, risk_reason), coalesce(o.level, f.risk_level) AS risk_level,
+               CASE WHEN o.level IS NULL THEN f.risk_reason ELSE 'configured for its files' END AS risk_reason,
                CASE WHEN o.level IS NULL THEN f.title
                     ELSE concat_ws(' ', {tag('o.level')}, regexp_replace(f.title, '^\\[[A-Z]+\\] ', '')) END AS title,
                CASE WHEN o.level IS NULL THEN f.labels
@@ -375,9 +425,9 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
     stamp_s = "%Y-%m-%d %H:%M:%S"
     out[f"{prefix}issues"] = f"""
         SELECT f.repo, f.group_key, first_job_id AS number, title, risk_level, priority, estimated_effort,
-               required_expertise, labels, failure_count, [failure_type] AS failure_types,
+               required_expertise, labels, failure_count, [failure_type] AS failure_types, s.top_patterns[1] AS first_pattern,
                CASE WHEN risk_level = 'strategic' THEN [{q(R.SENIOR_ASSIGNEE)}] ELSE [] END AS assignees,
-               concat_ws(chr(10), concat('Repository: ', f.repo), concat('Risk: ', risk_level),
+               concat_ws(chr(10), concat('Repository: ', f.repo), concat('Risk: ', concat_ws(' - ', risk_level, risk_reason)),
                    concat('Type: ', failure_type), concat('Priority: ', priority),
                    concat('Effort: ', estimated_effort), concat('Expertise: ', required_expertise),
                    CASE WHEN risk_level = 'strategic' THEN concat(chr(10), '## Plan first', chr(10),
@@ -392,7 +442,7 @@ def issue_blocks(prefix: str, failures: str) -> dict[str, str]:
                    {section('Files', and_more(bullets('top_files'), 'more_files', 'chr(10)'))},
                    concat(chr(10), '## Occurrences'),
                    concat('Most recent: ', {stamp('last_seen', stamp_s)}), concat('First: ', {stamp('first_seen', stamp_s)}),
-                   concat('Total: ', failure_count), {bullets('links')},
+                   concat('Total: ', failure_count), {bullets('named_links')},
                    CASE WHEN failure_count > 3 THEN concat('and ', failure_count - 3, ' more') END,
                    concat(chr(10), 'Opened by failure triage.')) AS body
         FROM {prefix}fields f

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from failtriage.rules import DUPLICATE_THRESHOLD, LIST_KEYS, OPTIONAL_KEYS, REQUIRED_KEYS, TEAMS
 from oracle.blocks import (
-    BLOCKS, compose, jac, like_glob, normalized, q, score, stamp, stripped, text_patterns, words,
+    BLOCKS, compose, holds_phrase, jac, like_column, like_glob, normalized, q, score, stamp, stripped, text_patterns, words,
 )
 
 
@@ -13,14 +13,14 @@ def bar(lst: str) -> str:
 
 
 def hash_of(lst: str) -> str:
-    """Hash from the size of a set and the xor and sum of the digests of its values."""
+    """Hash from the size of a set and the sums of the four parts of the digests of its values."""
     distinct = f"list_distinct({lst})"
-    xored = f"list_bit_xor(list_transform({distinct}, lambda v: CAST('0x' || substring(md5(v), 1, 15) AS BIGINT)))"
-    summed = f"CAST(list_sum(list_transform({distinct}, lambda v: CAST('0x' || substring(md5(v), 17, 8) AS BIGINT))) AS BIGINT)"
-    return (
-        f"CASE WHEN len({lst}) = 0 THEN 'empty' ELSE"
-        f" substring(md5(concat(len({distinct}), ':', {xored}, ':', {summed})), 1, 8) END"
-    )
+
+    def total(start: int) -> str:
+        return f"CAST(list_sum(list_transform({distinct}, lambda v: CAST('0x' || substring(md5(v), {start}, 8) AS BIGINT))) AS BIGINT)"
+
+    sums = ", ':', ".join(total(start) for start in (1, 9, 17, 25))
+    return f"CASE WHEN len({lst}) = 0 THEN 'empty' ELSE md5(concat(len({distinct}), ':', {sums})) END"
 
 
 def lowered(lst: str, expr: str) -> str:
@@ -39,7 +39,7 @@ def group_hashes(failures: str) -> str:
     """Group signatures straight from the failures of a group."""
     return f"""
         SELECT repo, group_key, number, error_hash, file_hash, type_hash,
-               substring(sha256(concat_ws('|', error_hash, file_hash, type_hash)), 1, 16) AS signature
+               sha256(concat_ws('|', error_hash, file_hash, type_hash)) AS signature
         FROM (SELECT repo, group_key, number, {hash_of(lowered('ps', normalized('v')))} AS error_hash,
                      {hash_of(lowered('fs', BASE_NAME))} AS file_hash, {hash_of(lowered('ts', 'v'))} AS type_hash
               FROM (SELECT repo, group_key, min(job_id) AS number, flatten(list(error_patterns)) AS ps,
@@ -109,10 +109,17 @@ _teams = " UNION ALL ".join(
 )
 _issue_cols = "repo, group_key, number"
 _export = (
-    "to_json({title: title, risk_level: risk_level, priority: priority, estimated_effort: estimated_effort,"
+    "to_json({repository: repo, title: title, risk_level: risk_level, priority: priority, estimated_effort: estimated_effort,"
     " required_expertise: required_expertise, labels: labels, assignees: assignees, failure_count: failure_count})"
 )
 
+_stats = f"""SELECT f.repo, CAST({{requested}} AS BIGINT) AS runs_requested, runs_seen, total_failures,
+        coalesce(failure_groups, 0) AS failure_groups, coalesce(issues_left, 0) AS issues_left
+        FROM (SELECT repo, count(DISTINCT run_id) AS runs_seen, count(*) AS total_failures FROM new_jobs GROUP BY repo) f
+        LEFT JOIN (SELECT repo, count(*) AS failure_groups FROM new_issues GROUP BY repo) g ON g.repo = f.repo
+        LEFT JOIN (SELECT repo, count(*) AS issues_left FROM ({_verdict_rows}) r WHERE NOT is_duplicate GROUP BY repo) k
+             ON k.repo = f.repo"""
+
 SELECTS: dict[str, str] = {
     "recent_failed_runs": f"""SELECT repo, run_id, workflow_name, {stamp('created_at')} AS created_at, run_url FROM (
         SELECT *, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, run_id DESC) AS rn
@@ -168,11 +175,11 @@ SELECTS: dict[str, str] = {
     "normalized_patterns": f"""SELECT repo, job_id, i - 1 AS line_no, {normalized('lines[i]')} AS normalized
         FROM (SELECT repo, job_id, lines, unnest(range(1, len(lines) + 1)) AS i
               FROM (SELECT repo, job_id, string_split(logs, chr(10)) AS lines FROM logs) s) l""",
-    "issue_signatures": """SELECT *, substring(sha256(concat_ws('|', error_hash, file_hash, type_hash)), 1, 16) AS signature
-        FROM row_hashes""",
-    "group_signatures": "SELECT repo, group_key, error_hash, file_hash, type_hash, signature FROM all_hashes",
-    "search_terms": """SELECT number, array_to_string(list_filter(regexp_extract_all(title, '[\\p{L}\\p{N}_]+(?:-[\\p{L}\\p{N}_]+)*', 0),
-        lambda w: length(w) > 2 AND NOT regexp_full_match(w, '\\p{Nd}+')), ' ') AS terms FROM doc_issues""",
+    "issue_signatures": """SELECT *, substring(signature, 1, 16) AS short_signature
+        FROM (SELECT *, sha256(concat_ws('|', error_hash, file_hash, type_hash)) AS signature FROM row_hashes) r""",
+    "group_signatures": "SELECT repo, group_key, error_hash, file_hash, type_hash, signature, substring(signature, 1, 16) AS short_signature FROM all_hashes",
+    "search_terms": """SELECT doc_id AS number, array_to_string(list_filter(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+(?:-[\\p{L}\\p{N}_]+)*', 0),
+        lambda w: length(w) > 2 AND NOT regexp_full_match(w, '\\p{Nd}+')), ' ') AS terms FROM documents""",
     "exact_signature_dups": """SELECT repo, number, signature, coalesce(p, b) AS matched_number,
         CASE WHEN p IS NOT NULL THEN 'prior' ELSE 'batch' END AS scope FROM first_sig WHERE coalesce(p, b) IS NOT NULL""",
     "risk_overrides": "SELECT repo, group_key, override_pos::BIGINT AS override_pos, risk_level FROM assessed WHERE override_pos IS NOT NULL",
@@ -184,6 +191,11 @@ SELECTS: dict[str, str] = {
     "effort": "SELECT repo, group_key, risk_level, estimated_effort FROM assessed",
     "reasoning": "SELECT repo, group_key, reasoning FROM assessed",
     "team_routing": _teams,
+    "repo_risk_overrides": f"""SELECT repo, group_key, min(pos)::BIGINT AS override_pos, arg_min(risk_level, pos) AS risk_level
+        FROM (SELECT v.repo, v.group_key, r.pos, r.risk_level FROM vals v JOIN repo_rules r ON r.repo = v.repo
+              WHERE v.kind = 'file' AND {like_column('v.value', 'r.pattern', any_case=True)}) h GROUP BY repo, group_key""",
+    "repo_team_routing": f"""SELECT DISTINCT v.repo, v.group_key, r.team FROM vals v JOIN repo_rules r ON r.repo = v.repo
+        WHERE v.kind = 'file' AND {like_column('v.value', 'r.pattern', any_case=False)}""",
     "fallback_issues": f"""SELECT repo, group_key, title, risk_level, priority::BIGINT AS priority, estimated_effort,
         required_expertise, {bar('labels')} AS labels FROM fallback""",
     "parsed_responses": "SELECT repo, group_key, "
@@ -191,7 +203,8 @@ SELECTS: dict[str, str] = {
     + "".join(f", {bar(k)} AS {k}" for k in LIST_KEYS)
     + " FROM answers WHERE valid",
     "issue_files": "SELECT DISTINCT repo, group_key, unnest(related_files) AS file FROM answers WHERE valid",
-    "rejected_responses": "SELECT repo, group_key, response FROM answers WHERE NOT coalesce(valid, false)",
+    "rejected_responses": "SELECT repo, group_key, response, reason FROM answers WHERE NOT valid",
+    "unused_responses": "SELECT repo, group_key, title, priority::BIGINT AS priority, estimated_effort FROM ranked_answers WHERE rn > 1",
     "response_issues": f"""SELECT {_issue_cols}, title, risk_level, priority::BIGINT AS priority, estimated_effort,
         required_expertise FROM all_issues""",
     "issue_overrides": f"""SELECT i.repo, i.group_key, o.override_pos::BIGINT AS override_pos, i.risk_level, title,
@@ -207,10 +220,12 @@ SELECTS: dict[str, str] = {
         count(*) FILTER (WHERE risk_level = 'strategic') AS strategic FROM all_issues GROUP BY repo""",
     "json_export": f"SELECT repo, group_key, {_export}::VARCHAR AS issue_json FROM all_issues",
     "candidates": "SELECT repo, number, candidate, search_rank::BIGINT AS search_rank, place FROM cands",
+    "phrase_candidates": f"""SELECT DISTINCT n.repo, n.phrase, e.number AS candidate
+        FROM n_phrase n JOIN e_phrase e ON e.repo = n.repo WHERE {holds_phrase}""",
     "candidate_scores": """SELECT repo, number, candidate, title_similarity, label_similarity, risk_match,
         body_similarity, type_match, similarity FROM scored""",
-    "best_match": "SELECT repo, number, matched_number, similarity FROM best",
-    "duplicate_verdicts": "SELECT repo, number, is_duplicate, matched_number, similarity, reason FROM verdict",
+    "best_match": "SELECT repo, number, matched_number, similarity, oldest_number FROM best",
+    "duplicate_verdicts": "SELECT repo, number, is_duplicate, matched_number, similarity, reason, oldest_number FROM verdict",
     "new_issues": f"SELECT repo, number, title FROM ({_verdict_rows}) r WHERE NOT is_duplicate",
     "recurrence_notes": f"""SELECT repo, number, matched_number,
         concat('Seen again: ', title, ' (', failure_count, ' failures)') AS comment FROM ({_verdict_rows}) r WHERE is_duplicate""",
@@ -218,12 +233,15 @@ SELECTS: dict[str, str] = {
         FROM ({_verdict_rows}) r WHERE NOT is_duplicate""",
     "comment_actions": f"""SELECT repo, matched_number,
         concat('Seen again: ', title, ' (', failure_count, ' failures)') AS comment FROM ({_verdict_rows}) r WHERE is_duplicate""",
-    "triage_stats": f"""SELECT f.repo, CAST(NULL AS BIGINT) AS runs_requested, runs_seen, total_failures,
-        coalesce(failure_groups, 0) AS failure_groups, coalesce(issues_left, 0) AS issues_left
-        FROM (SELECT repo, count(DISTINCT run_id) AS runs_seen, count(*) AS total_failures FROM new_jobs GROUP BY repo) f
-        LEFT JOIN (SELECT repo, count(*) AS failure_groups FROM new_issues GROUP BY repo) g ON g.repo = f.repo
-        LEFT JOIN (SELECT repo, count(*) AS issues_left FROM ({_verdict_rows}) r WHERE NOT is_duplicate GROUP BY repo) k
-             ON k.repo = f.repo""",
+    "emitted_actions": f"""SELECT sha256(concat_ws(chr(31), kind, repo, number, coalesce(matched_number::VARCHAR, ''))) AS action_id,
+        kind, repo, number, matched_number, title, batch FROM (
+            SELECT 'create' AS kind, repo, number, CAST(NULL AS BIGINT) AS matched_number, title, 'all' AS batch
+            FROM ({_verdict_rows}) r WHERE NOT is_duplicate
+            UNION ALL SELECT 'comment', repo, number, matched_number, NULL, 'notes' FROM ({_verdict_rows}) r WHERE is_duplicate) a""",
+    "triage_stats": _stats.replace("{requested}", "NULL"),
+    "json_stats": f"""SELECT repo, to_json({{repository: repo, stats: {{runs_requested: runs_requested, runs_seen: runs_seen,
+        total_failures: total_failures, failure_groups: failure_groups, issues_left: issues_left}}}})::VARCHAR AS stats_json
+        FROM ({_stats.replace("{requested}", "5")}) s""",
     "dry_run": """SELECT n.repo, n.number, n.title FROM all_issues n JOIN dry_verdict v ON v.repo = n.repo AND v.number = n.number
         WHERE n.priority >= 60 AND NOT v.is_duplicate""",
     "near_duplicates": oldest("scored_all"),

@@ -99,6 +99,40 @@ def test_responses_and_fallback(spark):
     assert got["bad"].title.startswith("[STRATEGIC]") and got["bad"].required_expertise == "mid"
 
 
+def test_answers_are_read_leniently(spark):
+    fields = {"title": "T", "risk_level": "safe", "priority": 85, "estimated_effort": "1h", "required_expertise": "junior"}
+    said = json.dumps(fields)
+    nested = json.dumps(fields | {"root_cause": 'a } in "quotes" {', "commands": "make x", "related_files": ["a", None, 3]})
+    rows = [
+        ("text", json.dumps(fields | {"priority": "85"})), ("float", json.dumps(fields | {"priority": 84.6})),
+        ("prose", f"As {{x}} shows, {said}"), ("first", f'{{"a": 1}} {said} {json.dumps(fields | {"priority": 1})}'),
+        ("nested", f'He said "no". {nested}.'), ("open", f"Mind the {{ here: {said}"[:-1]),
+        ("greedy", said.replace('"T"', '"T\\""')), ("number", json.dumps(fields | {"estimated_effort": 4})),
+        ("none", "nothing"), ("empty", ""), ("null", None), ("broken", "{oops}"), ("list", "[1, 2]"), ("unclosed", "{" + said[1:-1]),
+        ("word", json.dumps(fields | {"priority": "high"})), ("gone", json.dumps({k: v for k, v in fields.items() if k != "title"})),
+        ("void", json.dumps(fields | {"required_expertise": None})), ("long", "x{" * 3_000 + "y}" * 3_000 + said),
+    ]
+    answers = spark.createDataFrame([("r", k, t) for k, t in rows], "repo string, group_key string, response string")
+    got = {r.group_key: r for r in issues.accepted_responses(answers).collect()}
+    assert set(got) == {"text", "float", "prose", "first", "nested", "greedy", "number", "long"}
+    assert {k: r.priority for k, r in got.items()} == dict.fromkeys(got, 85)
+    assert got["nested"].commands == ["make x"] and got["nested"].related_files == ["a", "3"]
+    assert got["nested"].root_cause == 'a } in "quotes" {' and got["number"].estimated_effort == "4"
+    reasons = {r.group_key: r.reason for r in issues.rejected_responses(answers).collect()}
+    assert reasons == {
+        "open": "no object", "none": "no object", "empty": "no object", "null": "no object", "broken": "no readable object",
+        "list": "no object", "unclosed": "no object", "word": "no usable priority", "gone": "no usable title", "void": "no usable required_expertise",
+    }
+
+
+def test_answers_that_are_not_used_are_listed(spark):
+    fields = {"title": "T", "risk_level": "safe", "priority": 85, "estimated_effort": "1h", "required_expertise": "junior"}
+    rows = [("r", "g", json.dumps(fields | {"title": t})) for t in ("B", "A", "A", "C")] + [("r", "h", json.dumps(fields))]
+    answers = spark.createDataFrame(rows, "repo string, group_key string, response string")
+    assert sorted(r.title for r in issues.unused_answers(answers).collect()) == ["B", "C"]
+    assert {(r.group_key, r.answer.title) for r in issues.used_answers(answers).collect()} == {("g", "A"), ("h", "T")}
+
+
 def test_filters_and_summary(spark):
     df = spark.createDataFrame([("r", "safe", 10), ("r", "strategic", 60), ("q", "safe", 61)], "repo string, risk_level string, priority int")
     assert issues.focus(df, "safe").count() == 2 and issues.focus(df).count() == 3
@@ -114,9 +148,11 @@ def test_shown_values_and_links_are_bounded(spark):
     row = groups.shown_values(spark.createDataFrame(values, VALUES)).first()
     assert row.top_patterns == ["p02", "p05", "p08", "p11", "p14"] and row.top_files == [f"f{i:02d}" for i in range(10)]
     assert (row.more_patterns, row.more_files) == (25, 20)
-    rows = [("r", "g", i, i, f"2024-01-{i:02d} 00:00:00", f"u{i}") for i in range(1, 9)]
-    failures = spark.createDataFrame(rows, "repo string, group_key string, run_id long, job_id long, created_at string, run_url string")
+    rows = [("r", "g", i, i, f"2024-01-{i:02d} 00:00:00", f"u{i}", "w", None if i == 7 else "j") for i in range(1, 9)]
+    schema = "repo string, group_key string, run_id long, job_id long, created_at string, run_url string, workflow_name string, job_name string"
+    failures = spark.createDataFrame(rows, schema)
     got = groups.occurrence_summary(failures).first()
+    assert got.named_links == ["w / j: u8", "w: u7", "w / j: u6"]
     assert got.links == ["u8", "u7", "u6"] and got.more_links == 5 and got.failure_count == 8
 
 
@@ -130,4 +166,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "create")).first().title == "T"
     sinks.write_json_export(df, str(tmp_path / "json"))
     row = json.loads(spark.read.text(str(tmp_path / "json")).first().value)
-    assert row["title"] == "T" and "body" not in row and "number" not in row
+    assert row["title"] == "T" and row["repository"] == "r" and "body" not in row and "number" not in row
+    stats = spark.createDataFrame([("r", 5, 2, 3, 1, 1)], "repo string, runs_requested long, runs_seen long, total_failures long, failure_groups long, issues_left long")
+    sinks.write_json_export(df, str(tmp_path / "both"), stats=stats)
+    assert json.loads(spark.read.text(str(tmp_path / "both" / "issues")).first().value)["title"] == "T"
+    written = json.loads(spark.read.text(str(tmp_path / "both" / "stats")).first().value)
+    assert written == {"repository": "r", "stats": {"runs_requested": 5, "runs_seen": 2, "total_failures": 3, "failure_groups": 1, "issues_left": 1}}

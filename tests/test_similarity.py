@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from failtriage.functions import similarity as sim
+from failtriage.functions import signatures
 from failtriage.functions.signatures import list_hash
 from failtriage.operators import exact
 
@@ -65,7 +66,7 @@ def test_search_terms(spark):
 def test_list_hash_ignores_order_case_blanks_and_repeats(spark):
     df = spark.createDataFrame([([" A", "b"], ["B", "a\t", "b"], ["c"], [])], "a array<string>, b array<string>, c array<string>, d array<string>")
     row = df.select(*[list_hash(F.col(c)).alias(c) for c in "abcd"]).first()
-    assert row.a == row.b != row.c and len(row.a) == 8 and row.d == "empty"
+    assert row.a == row.b != row.c and len(row.a) == 32 and row.d == "empty"
 
 
 def test_signature_masks_what_varies(spark):
@@ -75,8 +76,9 @@ def test_signature_masks_what_varies(spark):
         (["boom elsewhere"], ["b.py"], ["linting"]),
     ]
     df = spark.createDataFrame(rows, "error_patterns array<string>, affected_files array<string>, failure_types array<string>")
-    a, b, c = [r.signature for r in exact.with_signature(df).collect()]
-    assert a == b != c and len(a) == 16
+    rows = exact.with_signature(df).collect()
+    a, b, c = [r.signature for r in rows]
+    assert a == b != c and len(a) == 64 and [r.short_signature for r in rows] == [a[:16], b[:16], c[:16]]
 
 
 @pytest.mark.parametrize("n", [0, 1, 10, 256, 257, 1000])
@@ -106,3 +108,11 @@ def test_exact_duplicates_prior_and_batch(spark):
     new = spark.createDataFrame([("r", 10, "s1"), ("r", 11, "s2"), ("r", 12, "s2"), ("r", 13, "s3")], schema)
     got = {(r.number, r.matched_number, r.scope) for r in exact.exact_duplicates(new, prior).collect()}
     assert got == {(10, 3, "prior"), (12, 11, "batch")}
+
+
+def test_no_two_of_many_lists_have_one_signature(spark):
+    """Different lists of one value and of two."""
+    lists = spark.range(400_000).select(F.array(F.concat(F.lit("error "), F.col("id"))).alias("l"))
+    pairs = spark.range(50_000).select(F.array(F.concat(F.lit("error "), F.col("id")), F.concat(F.lit("error "), F.col("id") + 1)).alias("l"))
+    signed = lists.unionByName(pairs).select(signatures.list_hash(F.col("l")).alias("h"))
+    assert signed.distinct().count() == 450_000

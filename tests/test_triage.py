@@ -66,6 +66,35 @@ def test_raw_logs_are_not_shuffled(spark):
     assert exchanges and not any(" logs#" in b or "[logs#" in b for b in exchanges)
 
 
+def test_only_sampled_logs_are_shuffled(spark):
+    logs = materialize(derived.logs(spark, FOLDER), "logs")
+    failed = materialize(catalog.failures(spark, FOLDER), "failures")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples = groups.sample_logs(failed, logs)
+        wanted = materialize(samples, "samples")
+        newest = wanted.select("repo", "job_id")
+        bitmap, words = groups.key_bitmap(newest, ["repo", "job_id"])
+        left = groups.in_bitmap(logs, bitmap, words, ["repo", "job_id"])
+        plan = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Rows are dropped where they are read: no shuffle below the join with the bitmap.
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert wanted.count() == failed.select("repo", "group_key").distinct().count()
+    assert left.join(newest, ["repo", "job_id"], "left_semi").count() == newest.count() <= left.count() <= 1.05 * newest.count() + 2
+    assert left.count() < logs.count() / 2
+
+
+def test_bitmap_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(groups, "BITMAP_WORDS", 4)
+    rows = spark.range(2_000).selectExpr("id", "id AS repo")
+    bitmap, words = groups.key_bitmap(rows.where("id % 100 = 7"), ["repo"])
+    assert words == 4 and bitmap.count() <= 4
+    left = groups.in_bitmap(rows, bitmap, words, ["repo"])
+    assert left.where("id % 100 = 7").count() == 20
+
+
 def test_materialized_tables_go_to_the_configured_folder(spark):
     df = materialize(spark.range(3), "numbers")
     assert work_dir(spark) in df.inputFiles()[0]
