@@ -16,6 +16,13 @@ leaves enough of them; those count together only where they stand near each othe
 Items with one template (re-parameterised questions) are one entry, named by the
 smallest item_id, so families of questions do not multiply the hits.
 
+A window that more than ``COMMON`` items share (the same opening words of many
+questions) meets a document once, not once for each item. It counts for an item
+in a document that also has a window which few items share; for documents
+without such a window, items with the same common windows are judged together
+and the least of those that count is reported. So the pairs do not multiply, and
+a document is found by what it holds as before.
+
 Beside a template window its tokens with values kept can be hashed too
 (``literal``, as the queries do): then copies in other letter case are found, and
 exact ones of items with too few literal tokens for a template.
@@ -28,6 +35,8 @@ an empty table gives no row. Other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +54,12 @@ LITERALS = 5
 SHARE = 0.5
 #: Neighbouring tokens of a template that make a document contaminated, whatever their share.
 RUN = 13
-#: Windows of the benchmark up to which they are sent to all tasks, about 30 MB; beyond, both sides are shuffled.
-SENT_WINDOWS = 500_000
+#: Items that may share a window before it counts as a common one.
+COMMON = 16
+#: Bytes of benchmark windows up to which they are sent to all tasks; beyond, both sides are shuffled.
+SENT_BYTES = 32 << 20
+#: Bytes that a window takes at least.
+WINDOW_BYTES = 48
 UNITS = (
     "mm cm m km mg g kg t ml l s ms min h kb mb gb tb w kw v a hz khz mhz ghz mph kmh"
     " inch inches feet foot miles mile yards pounds pound ounces dollars dollar euros euro cents percent"
@@ -135,11 +148,23 @@ def _exploded(rows: DataFrame, key: str, literal: bool = False) -> DataFrame:
     return spread.select(key, "width", "w.pos", "w.hash", "w.slots")
 
 
-def benchmark_windows(items: DataFrame, width: int = WINDOW, literal: bool = False) -> DataFrame:
-    """Rows (item_id, n_windows, n_tokens, slot_at, width, item_pos, hash, item_slots) of the distinct templates.
+@dataclass
+class Benchmark:
+    """What the documents are held against.
+
+    ``windows``: item_id, width, item_pos, hash, item_slots, common. ``items``: item_id, n_tokens, n_windows and
+    slot_at, the places of its placeholders. ``leaders``: the item_ids that stand for all with the same common windows.
+    """
+
+    windows: DataFrame
+    items: DataFrame
+    leaders: DataFrame
+
+
+def benchmark(items: DataFrame, width: int = WINDOW, literal: bool = False) -> Benchmark:
+    """The distinct templates of a benchmark and their windows.
 
-    ``slot_at`` are the places of an item's placeholders. With ``literal`` the windows with
-    values kept are those of all items of a template.
+    With ``literal`` the windows with values kept are those of all items of a template.
     """
     rows = items.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("long"), tokens(F.col("text")).alias("toks")
@@ -155,25 +180,44 @@ def benchmark_windows(items: DataFrame, width: int = WINDOW, literal: bool = Fal
     if literal:
         own = rows.where(F.exists("toks", _slot)).select("_template", "toks").join(entries.select("_template", "item_id", "width"), "_template")
         spread = spread.unionByName(_exploded(own.select("item_id", "toks", "width"), "item_id", True).where("slots is null").distinct())
-    spread = store(spread, "benchmark")
-    total = spread.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
-    about = entries.select("item_id", "n_tokens", "slot_at").join(total, "item_id")
-    return store(
-        spread.join(about, "item_id").select(
-            "item_id", "n_windows", "n_tokens", "slot_at", "width", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")
-        ),
-        "benchmark",
+    spread = store(spread.select("item_id", "width", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")), "spread")
+    shared = spread.groupBy("hash", "width").agg((F.count_distinct("item_id") > COMMON).alias("common"))
+    windows = store(spread.join(shared, ["hash", "width"]), "benchmark")
+    total = spread.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"))
+    about = store(entries.select("item_id", "n_tokens", "slot_at").join(total, "item_id"), "about")
+    alike = windows.where("common").groupBy("item_id").agg(
+        F.sha2(F.to_json(F.array_sort(F.collect_set(F.struct("width", "item_pos", "hash")))), 256).alias("alike")
     )
-
-
-def hits(docs: DataFrame, bench: DataFrame, literal: bool = False) -> DataFrame:
-    """Rows of equal windows: doc_id, doc_pos, slots and the columns of ``bench``."""
-    widths = sorted(r[0] for r in bench.select("width").distinct().collect())
-    if bench.count() <= SENT_WINDOWS:
-        bench = F.broadcast(bench)
+    # The shortest has the greatest share of its tokens covered; a run counts for those of some length only.
+    ends = alike.join(about, "item_id").groupBy("alike").agg(
+        F.min(F.struct("n_tokens", "item_id")).alias("short"), F.min(F.when(F.col("n_tokens") > 2 * RUN, F.col("item_id"))).alias("long")
+    )
+    leaders = ends.select(F.explode(F.array("short.item_id", "long")).alias("item_id")).where("item_id is not null").distinct()
+    return Benchmark(windows, about, store(leaders, "leaders"))
+
+
+def hits(docs: DataFrame, bench: Benchmark, literal: bool = False) -> DataFrame:
+    """Rows of equal windows: doc_id, doc_pos, slots and item_id, width, item_pos, item_slots."""
+    widths = sorted(r[0] for r in bench.windows.select("width").distinct().collect())
+    # A common window is met once: what it is in the items that have it is added afterwards.
+    rare = bench.windows.where("not common").drop("common")
+    place = [F.lit(None).cast(t).alias(c) for c, t in rare.dtypes if c not in ("hash", "width")]
+    common = bench.windows.where("common").select("hash", "width").distinct().select("hash", "width", *place)
+    sent = rare.unionByName(common)
+    taken = F.lit(WINDOW_BYTES) + F.coalesce(F.length(F.concat_ws("", "item_slots")), F.lit(0))
+    if (sent.agg(F.sum(taken)).first()[0] or 0) <= SENT_BYTES:
+        sent = F.broadcast(sent)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), tokens(F.col("text")).alias("toks"))
     rows = rows.withColumn("width", F.explode(F.array(*map(F.lit, widths or [WINDOW]))))
-    return _exploded(rows, "doc_id", literal).withColumnRenamed("pos", "doc_pos").join(bench, ["hash", "width"])
+    met = store(_exploded(rows, "doc_id", literal).withColumnRenamed("pos", "doc_pos").join(sent, ["hash", "width"]), "met")
+    own = met.where("item_id is not null")
+    shared = met.where("item_id is null").drop("item_id", "item_pos", "item_slots")
+    of_items = bench.windows.where("common").drop("common")
+    # Items of which the document has a window of their own, and those that stand for the rest.
+    pairs = own.select("doc_id", "item_id").distinct().join(of_items, "item_id")
+    by_pair = shared.join(pairs, ["doc_id", "hash", "width"])
+    by_leader = shared.join(of_items.join(bench.leaders, "item_id", "left_semi"), ["hash", "width"])
+    return own.unionByName(by_pair).unionByName(by_leader)
 
 
 def _longest(places: Column, width: Column) -> Column:
@@ -196,7 +240,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, share:
     With ``literal`` copies in any case, and those of items with few or no literal
     tokens, are found as well.
     """
-    bench = benchmark_windows(items, width, literal)
+    bench = benchmark(items, width, literal)
     found = store(hits(docs, bench, literal).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos")), "hits")
     line = ["doc_id", "item_id", "diagonal"]
     values = found.where(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).distinct()
@@ -206,20 +250,22 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, share:
     lines = checked.groupBy(*line).agg(
         F.array_sort(F.collect_set("item_pos")).alias("places"),
         F.array_sort(F.collect_set(F.when(F.col("slots").isNull(), F.col("item_pos")))).alias("kept"),
-        *(F.max(c).alias(c) for c in ("width", "n_tokens", "slot_at", "n_windows", "n_slots")),
-        F.min("doc_pos").alias("first_word"),
+        F.max("width").alias("width"), F.max("n_slots").alias("n_slots"), F.min("doc_pos").alias("first_word"),
     )
+    lines = lines.join(bench.items.select("item_id", "n_tokens", "n_windows"), "item_id")
     lines = store(lines.withColumn("run", _longest(F.col("places"), F.col("width"))), "lines")
     stretch = F.col("diagonal") / (2 * F.col("n_tokens"))
     near = F.array(2 * F.floor(stretch), 2 * F.floor(stretch + 0.5) + 1)
     near = F.when(F.col("width") < WIDE, near).otherwise(F.array(F.lit(0).cast("long")))
     pair = ["doc_id", "item_id"]
-    placed = lines.select(*pair, "width", "n_tokens", "slot_at", F.explode(near).alias("near"), "places", "kept")
+    placed = lines.select(*pair, "width", "n_tokens", F.explode(near).alias("near"), "places", "kept")
     placed = placed.withColumn("at", F.explode("places")).withColumn("kept", F.array_contains("kept", F.col("at"))).drop("places").distinct()
-    covered = placed.select(*pair, "near", "n_tokens", "slot_at", "kept", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("token"))
-    covered = covered.groupBy(*pair, "near", "token").agg(F.max("n_tokens").alias("n_tokens"), F.max(F.col("kept") | ~F.array_contains("slot_at", F.col("token"))).alias("literal"))
-    covered = covered.groupBy(*pair, "near").agg(
-        F.max("n_tokens").alias("n_tokens"), (F.count("*") / F.max("n_tokens")).alias("share"), F.count_if("literal").alias("literals")
+    covered = placed.select(*pair, "near", "n_tokens", "kept", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("token"))
+    covered = covered.groupBy(*pair, "near", "token").agg(F.max("n_tokens").alias("n_tokens"), F.max("kept").alias("kept"))
+    slots = bench.items.select("item_id", F.explode("slot_at").alias("token"), F.lit(True).alias("slot"))
+    covered = covered.join(slots, ["item_id", "token"], "left").groupBy(*pair, "near").agg(
+        F.max("n_tokens").alias("n_tokens"), (F.count("*") / F.max("n_tokens")).alias("share"),
+        F.count_if(F.col("kept") | F.col("slot").isNull()).alias("literals"),
     )
     enough = F.max((F.col("share") >= share) & (F.col("literals") >= F.least(F.lit(LITERALS), "n_tokens"))).alias("enough")
     covered = covered.groupBy(*pair).agg(F.max("share").alias("share"), enough)

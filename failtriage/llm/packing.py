@@ -8,12 +8,14 @@ pattern stays the same until a length runs out, so it is repeated as often as
 the counts allow. Pieces find their place by their rank within their length.
 
 Defined results: a null or empty text is the closing token alone; repeated rows
-are packed once each; an empty table gives no row; other columns are ignored.
+are packed once each; an empty table gives no row; other columns are ignored. Any
+vocabulary file of the tokenizers library gives the ids that the library gives.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import unicodedata
@@ -48,10 +50,64 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+#: What a vocabulary does to a text before its merges, where the ids of a text are those of its words.
+WORD_BY_WORD = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def word_by_word(path: str) -> bool:
+    """Whether a vocabulary is of the kind whose texts can be tokenised word by word."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model = spec["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    tokens = spec.get("added_tokens") or []
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in tokens)
+    return plain and special and model.get("end_of_word_suffix") == "</w>" and all(spec.get(k) == v for k, v in WORD_BY_WORD.items())
+
+
+class _Whole:
+    """Ids of whole texts, for vocabularies whose texts have to be tokenised as a whole."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+
+    def flush(self, rows: list[bytes]) -> Iterator[bytes]:
+        texts_ = [row.decode("utf-8", "replace") for row in rows]
+        for found in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False):
+            yield np.array(found.ids, "<u4").tobytes()
+
+
 class _Ids(dict):
     """Ids of words as little-endian 32-bit numbers.
 
-    No token of this vocabulary spans white space, so the ids of a text are
+    No token of such a vocabulary spans white space, so the ids of a text are
     those of its words one after the other. A stop or comma after a letter is a
     token of its own, and the case of ASCII letters does not matter. Unknown
     words are tokenised together, with a control character in between, whose id
@@ -63,10 +119,7 @@ class _Ids(dict):
     BETWEEN = "\x01"
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # words are kept here
         self.old: dict[bytes, bytes] = {}
@@ -126,9 +179,16 @@ class _Ids(dict):
                 start = end + 4
 
 
+    def flush(self, rows: list[bytes]) -> Iterator[bytes]:
+        held = [self.words(row) for row in rows]
+        self.learn(set().union(*held))
+        for some in held:
+            yield b"".join(map(self.__getitem__, some))
+
+
 @functools.lru_cache(maxsize=1)
-def _ids(path: str) -> _Ids:
-    return _Ids(path)
+def _ids(path: str) -> _Ids | _Whole:
+    return _Ids(path) if word_by_word(path) else _Whole(path)
 
 
 #: Bytes of text whose words are looked up together.
@@ -140,21 +200,14 @@ def token_bytes(rows: Iterable[bytes], path: str) -> Iterator[bytes]:
     claim("packing", _ids.cache_clear)
     known = _ids(path)
     end = END_ID.to_bytes(4, "little")
-
-    def flush(held: list[list[bytes]]) -> Iterator[bytes]:
-        words = set().union(*held)
-        known.learn(words)
-        for some in held:
-            yield b"".join(map(known.__getitem__, some)) + end
-
     held, size = [], 0
     for text in rows:
-        held.append(known.words(text))
+        held.append(text)
         size += len(text)
         if size >= TOGETHER:
-            yield from flush(held)
+            yield from (ids + end for ids in known.flush(held))
             held, size = [], 0
-    yield from flush(held)
+    yield from (ids + end for ids in known.flush(held))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -309,10 +309,139 @@ def test_decontamination_by_literal_windows(spark):
 def test_decontamination_way_for_large_benchmarks(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     sent = Counter(map(tuple, decontam.contaminated(docs, items).collect()))
-    monkeypatch.setattr(decontam, "SENT_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "SENT_BYTES", -1)
     assert Counter(map(tuple, decontam.contaminated(docs, items).collect())) == sent and sent
 
 
+def brute_leaks(docs, items):
+    """(doc, item) pairs that count, by comparing every window of every document with every item."""
+    width_of = lambda n: next((w for least, w in ((15, 6), (9, 4), (8, 3)) if n >= least), n)
+    slot, marks = (lambda t: t[0] in "\ue000"), str.maketrans("", "", "\ue000\ue001\ue002")
+
+    def shaped(toks):
+        return tuple(
+            (("\ue002" if t.startswith("\ue000\ue001\ue002") else "\ue001" if t.startswith("\ue000\ue001") else "\ue000"), toks.index(t))
+            if slot(t) else t for t in toks
+        )
+
+    def windows(toks, width):
+        for at in range(len(toks) - width + 1):
+            part = toks[at : at + width]
+            slots = [t for t in part if slot(t)]
+            if not any(map(slot, toks)) or width - len(slots) >= (1 if width < 6 else 3):
+                yield at, ("t", shaped(part)), slots
+            if slots:
+                yield at, ("t", tuple(t.translate(marks) for t in part)), None
+
+    entries = defaultdict(list)
+    for item_id, toks in sorted(items):
+        if toks:
+            entries[shaped(toks)].append((item_id, toks))
+    out = set()
+    for family in entries.values():
+        item_id, toks = family[0]
+        n, width = len(toks), width_of(len(toks))
+        if not n:
+            continue
+        places = defaultdict(list)
+        enough = sum(not slot(t) for t in toks) >= 5 or not any(map(slot, toks))
+        for k, (_, own) in enumerate(family):
+            for at, key, slots in windows(own, width):
+                if slots is None or (k == 0 and enough):
+                    places[key].append((at, slots))
+        for doc_id, text in docs:
+            lines = defaultdict(list)
+            for pos, key, slots in windows(text, width):
+                for at, own in places.get(key, ()):
+                    lines[pos - at].append((at, own, slots))
+            near = defaultdict(set)
+            for shift, found in lines.items():
+                values = defaultdict(set)
+                for _, own, slots in found:
+                    for x, y in zip(own or (), slots or ()):
+                        values[x].add(y)
+                if any(len(v) > 1 for v in values.values()):
+                    continue
+                seen = {at for at, _, _ in found}
+                tokens = sorted({t for at in seen for t in range(at, at + width)})
+                if n > 26 and longest(tokens) >= 13:
+                    out.add((doc_id, item_id))
+                kept = {at for at, _, slots in found if slots is None or not slots}
+                keys = [0] if width >= 6 else [2 * (shift // (2 * n)), 2 * ((shift + n) // (2 * n)) + 1]
+                for key in keys:
+                    near[key] |= {(t, at in kept) for at in seen for t in range(at, at + width)}
+            for cells in near.values():
+                covered = {t for t, _ in cells}
+                literals = {t for t, keep in cells if keep or not slot(toks[t])}
+                if len(covered) / n >= 0.5 and len(literals) >= min(5, n):
+                    out.add((doc_id, item_id))
+    return out
+
+
+def longest(numbers):
+    best = run = 0
+    for a, b in zip([None, *numbers], numbers):
+        run = run + 1 if a is not None and b == a + 1 else 1
+        best = max(best, run)
+    return best
+
+
+def leak_tables(spark, seed, n_items, n_docs, prefix=0, names=("Bob", "Ann", "Tom")):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("bcdfgklmnp") + rng.choice("aeiou") for _ in range(2)) for _ in range(60)]
+    opening = [rng.choice(words) for _ in range(prefix)]
+
+    def question(size):
+        kinds = (lambda: rng.choice(words), lambda: str(rng.randrange(30)), lambda: rng.choice(names), lambda: f"{rng.randrange(9)} kg")
+        return " ".join([*opening, *(rng.choices(kinds, (8, 2, 1, 1))[0]() for _ in range(size))])
+
+    items = [(i, question(rng.choice((3, 7, 9, 14, 20, 40)))) for i in range(n_items)]
+    items += [(1000 + i, re.sub("[0-9]+", lambda m: str(int(m[0]) + 1), text)) for i, text in items[: n_items // 4]]
+    docs = []
+    for i in range(n_docs):
+        copy = items[rng.randrange(len(items))][1].split()
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            copy[rng.randrange(len(copy))] = rng.choice((rng.choice(words), str(rng.randrange(30)), rng.choice(names)))
+        docs.append((i, " ".join([question(rng.randrange(12)), *copy[rng.choice((0, 0, 5)) :], question(5)])))
+    return (frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+
+
+def tokenised(table, key):
+    return [tuple(r) for r in table.select(key, decontam.tokens(F.col("text")).alias("toks")).collect()]
+
+
+def test_decontamination_equals_brute_force(spark):
+    docs, items = leak_tables(spark, 3, 40, 80)
+    expected = brute_leaks(tokenised(docs, "doc_id"), tokenised(items, "item_id"))
+    got = decontam.contaminated(docs, items, literal=True).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected and len(got) == len(expected) > 60
+
+
+def test_decontamination_with_a_common_opening(spark):
+    """Documents are found as before; what only the opening says is reported once."""
+    docs, items = leak_tables(spark, 4, 60, 60, prefix=14)
+    expected = brute_leaks(tokenised(docs, "doc_id"), tokenised(items, "item_id"))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, literal=True).collect()}
+    assert {d for d, _ in got} == {d for d, _ in expected}
+    assert got <= expected and len(got) < len(expected) / 2
+
+    def rows(n):
+        docs, items = leak_tables(spark, 5, n, 2 * n, prefix=14)
+        return decontam.hits(docs, decontam.benchmark(items, literal=True), True).count()
+
+    small, large = rows(60), rows(120)
+    assert large < 3 * small
+
+
+def test_long_items_are_not_sent(spark):
+    text = " ".join(f"{w} {i}" for i, w in enumerate(["alpha", "beta", "gamma"] * 1_000))
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    bench = decontam.benchmark(items, literal=True)
+    assert "slot_at" not in bench.windows.columns
+    assert bench.windows.agg(F.max(F.size("item_slots"))).first()[0] <= 8
+    assert [r.item_id for r in decontam.contaminated(frame(spark, [(1, f"x {text} y"), (2, "x y")]), items, literal=True).collect()] == [1]
+
+
 def test_personal_data_patterns():
     def brute(text):
         out = []
