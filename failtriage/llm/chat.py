@@ -10,10 +10,11 @@ text itself, escaped by the template, must stand between what surrounds the
 stand-in. Text of assistant turns is under the loss mask.
 
 Defined results: null texts and roles count as empty; turns are ordered by turn
-(null first), then role and text, repeated ones all count; rows without conv_id
-form one conversation without id; an empty table gives no row. A conversation is
-one output text and so has to fit into a row; rendering all prefixes takes time
-with the square of its turns.
+(null first), then role and text, repeated ones all count; a row without conv_id
+is a conversation of its own without id; an empty table gives no row. Turns come
+to a worker sorted, one after the other, and are never gathered in a row; a
+conversation is one output text and so has to fit into one, and rendering all
+prefixes takes time with the square of its turns.
 """
 
 from __future__ import annotations
@@ -130,29 +131,58 @@ SPAN = "array<struct<start:int,end:int>>"
 FORMATTED = f"conv_id long, formatted string, turns {SPAN}, loss {SPAN}, rewritten_from int"
 
 
+#: Characters of output that are sent back together.
+TOGETHER = 4_000_000
+
+
 def format_conversations(rows: DataFrame, template: Template = inst_template, loss_role: str = "assistant") -> DataFrame:
     """Rows FORMATTED, one for each conversation; ``loss`` has the text spans under the loss mask."""
-    parts = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(parts)).alias("parts"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def listed(spans: list[tuple[int, int] | None]) -> list[dict | None]:
         return [None if s is None else {"start": s[0], "end": s[1]} for s in spans]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
+        """Neighbouring rows with one id; each row without an id."""
+        now: int | None = None
+        turns: list[Turn] = []
         for batch in batches:
-            out = []
-            for parts in batch.column(1).to_pylist():
-                turns = [(p["role"], p["text"]) for p in parts]
-                done = render(turns, template, loss_role)
-                out.append((done.text, listed(done.turns), listed([s for s in done.texts if s]), done.rewritten_from))
-            text, turns, loss, rewritten = zip(*out) if out else ((),) * 4
-            columns = [pa.array(text, pa.string()), pa.array(turns, span), pa.array(loss, span), pa.array(rewritten, pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns], ["conv_id", "formatted", "turns", "loss", "rewritten_from"]
-            )
+            for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if turns and (conv_id != now or conv_id is None):
+                    yield now, turns
+                    turns = []
+                now = conv_id
+                turns.append((role, text))
+        if turns:
+            yield now, turns
+
+    def batch_of(out: list[tuple[int | None, Rendered]]) -> pa.RecordBatch:
+        columns = [
+            pa.array([i for i, _ in out], pa.int64()), pa.array([r.text for _, r in out], pa.string()),
+            pa.array([listed(r.turns) for _, r in out], span), pa.array([listed([s for s in r.texts if s]) for _, r in out], span),
+            pa.array([r.rewritten_from for _, r in out], pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["conv_id", "formatted", "turns", "loss", "rewritten_from"])
 
-    return grouped.mapInArrow(run, FORMATTED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for conv_id, turns in conversations(batches):
+            out.append((conv_id, render(turns, template, loss_role)))
+            size += len(out[-1][1].text)
+            if size >= TOGETHER:
+                yield batch_of(out)
+                out, size = [], 0
+        if out:
+            yield batch_of(out)
+
+    order = ["turn", "role", "text"]
+    plain = rows.select(
+        F.col("conv_id").cast("long").alias("conv_id"), "turn",
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    # Rows without an id need not meet.
+    placed = plain.repartition(F.coalesce("conv_id", F.xxhash64(*order))).sortWithinPartitions("conv_id", *order)
+    return placed.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

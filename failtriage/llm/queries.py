@@ -102,7 +102,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(3 + sum(8 + length(role) + length(text) + escapes + CASE WHEN role = 'assistant' THEN 4 ELSE 7 END + 1) AS BIGINT) AS formatted_chars
-FROM marked GROUP BY conv_id
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM marked) m GROUP BY conv_id, alone
 """
 
 

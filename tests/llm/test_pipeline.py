@@ -46,6 +46,31 @@ def test_pipeline(spark):
     assert total == want
 
 
+def test_odd_documents(spark, tmp_path):
+    """Null ids, repeated rows, clashing columns, no n_chars, an empty table."""
+    said = "the quick brown fox jumps over the lazy dog and then sleeps while other animals of the forest wonder what happened"
+    schema = "doc_id long, text string, lang string, source string, score string, rank string, piece string, spans string, _lang string"
+    more = ("s", "x", "y", "z", "w", "v")
+    rows = [(1, said, "en", *more), (1, said, "en", *more), (2, said + "!", "en", *more), (None, "a text without id " + said[::-1], "en", *more)]
+    rows += [(3, None, "en", *more), (4, "", None, *more), (5, "12 34", "en", *more), (6, "mail x.yz@mail.example.com now or never my friend", "en", *more)]
+    rows += [(7, "word " * 30_000, "en", *more)]
+    spark.createDataFrame([(0, None), (1, "one question that nobody asks of anyone at all today")], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {1, None, 6, 7}
+    assert sum(r.piece == 0 for r in got) == 4
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
 def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(30)
     for _, stage in corpus_pipeline.STAGES[:-1]:
