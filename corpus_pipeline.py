@@ -3,6 +3,12 @@
 Documents whose language is known, one of each group of near-duplicates, without
 benchmark questions and personal data, packed. Each stage takes what its
 predecessor kept and returns the columns of documents; the last one the pieces.
+
+Defined results: documents with a null or empty text, or one without a letter,
+have no language and go in the first stage. Rows without doc_id stay in all
+stages, as do further columns, whatever their names; a table without n_chars gets
+none. Of near copies the row with the smallest id is left by the second stage, and
+of rows that share an id one, any of them. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -33,8 +39,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind, and n_chars to match."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, with personal data in their texts replaced by its kind, and n_chars, if there is one, to match."""
+    clean = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
