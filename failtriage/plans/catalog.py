@@ -585,6 +585,13 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return bulk.near_duplicates(new, ingest.open_issues(filed))
 
 
+@query
+def near_duplicates_half(spark: SparkSession, d: str) -> DataFrame:
+    """At a threshold that labels, risk and types can reach without any title."""
+    new, filed = new_and_filed(spark, d)
+    return bulk.near_duplicates(new, ingest.open_issues(filed), threshold=0.5)
+
+
 @query
 def near_duplicate_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = derived.doc_issues(spark, d)

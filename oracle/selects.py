@@ -95,11 +95,11 @@ BLOCKS["dry_verdict"] = (
 )
 
 
-def oldest(scored: str) -> str:
+def oldest(scored: str, threshold: float = DUPLICATE_THRESHOLD) -> str:
     return f"""
         SELECT repo, number, candidate AS matched_number, similarity FROM (
             SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY candidate) AS rn
-            FROM {scored} WHERE similarity >= {DUPLICATE_THRESHOLD}::DOUBLE) s WHERE rn = 1"""
+            FROM {scored} WHERE similarity >= {threshold}::DOUBLE) s WHERE rn = 1"""
 
 
 _teams = " UNION ALL ".join(
@@ -245,6 +245,7 @@ SELECTS: dict[str, str] = {
     "dry_run": """SELECT n.repo, n.number, n.title FROM all_issues n JOIN dry_verdict v ON v.repo = n.repo AND v.number = n.number
         WHERE n.priority >= 60 AND NOT v.is_duplicate""",
     "near_duplicates": oldest("scored_all"),
+    "near_duplicates_half": oldest("scored_all", 0.5),
     "near_duplicate_documents": oldest("d_scored"),
 }
 
