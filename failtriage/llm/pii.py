@@ -8,10 +8,13 @@ shapes with a fixed seed, so it learns shapes and not values. All weights are
 learned. Its spans are added where they touch no span of a pattern; the spans of
 the patterns stay as they are.
 
-Most tokens are certain: the score of being outside exceeds every other by more
-than any pair of transitions can make up for, which settles them whatever their
-neighbours are. Viterbi therefore runs over the runs of tokens in between, all
-runs of a batch side by side, and gives what a decoding of the whole text gives.
+Most tokens are certain. For some the score of being outside exceeds every other
+by more than any pair of transitions can make up for, whatever their neighbours
+are. Plain words can be part of something only near a token that is not plain:
+from the weights follows how far a label reaches into plain words at most before
+it costs more than it gains. Viterbi therefore runs over the runs of tokens in
+between, all runs of a batch side by side, and gives what a decoding of the whole
+text gives.
 
 Defined results: a null or empty text has no spans; offsets are code points, end
 exclusive; equal starts are ordered by kind as in ``KINDS``; repeated rows are
@@ -131,6 +134,7 @@ LINES = (
     "* * 9999-99-99 * * 99.99.9999 * 9999 - 9999 *",
     "* *=9 * *=* * @ * @* * # 9 * +9 * + *",
     "* *=* *=* * *=*, *",
+    "* +* * * +* * -* *",
     "99 * * * 9 * * 999. *\n* *:* * *",
 )
 #: Lines made of each training line, and turns over all of them.
@@ -160,7 +164,7 @@ def training(copies: int = COPIES, seed: int = 7) -> list[list[tuple[str, str]]]
         return head + " ".join(words)
 
     def word() -> str:
-        w = "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+        w = "".join(rng.choice(letters) for _ in range(rng.randint(1, rng.choice((12, 12, 12, 40)))))
         return rng.choice((w, w, w, w.capitalize(), w.upper()))
 
     def plain(token: str) -> str:
@@ -207,7 +211,7 @@ PLAIN = "plain"
 def features(token: str) -> list[str]:
     """What the CRF sees of one token, bounded whatever its length."""
     core = token.strip(_TRIM)
-    digits = sum(c in "0123456789" for c in core)
+    digits = sum(map(core.count, "0123456789"))
     mixed = bool(digits) and any(map(str.isalpha, core))
     size = min(len(core) // 4, 9)
     out = [f"l{size}", f"d{min(digits, 17)}"]
@@ -342,32 +346,55 @@ _MARKED = re.compile(rb"[0-9@=]|[(\[]at[)\]]")
 
 
 class _Scores(dict):
-    """Scores of tokens; None for one that is outside whatever its neighbours are. Emptied when full."""
+    """What is known of a token by itself; emptied when full.
+
+    None: outside whatever its neighbours are; a number: plain, the place of its
+    scores in ``plain``; else the scores of its labels.
+    """
 
     LIMIT = 400_000
 
     def __init__(self, crf: Crf) -> None:
         self.crf = crf
+        moves = crf.moves
         # What a label can gain on outside by the transitions to it and from it.
-        gain = (crf.moves - crf.moves[:, :1]).max(axis=0) + (crf.moves - crf.moves[:1]).max(axis=1)
+        gain = (moves - moves[:, :1]).max(axis=0) + (moves - moves[:1]).max(axis=1)
         self.margin = gain[1:] + 1e-6
-        self.plain_outside = bool((self._plain_lead() > self.margin).all())
-
-    def _plain_lead(self) -> np.ndarray:
-        """By how much any plain token is outside rather than something else, at least."""
-        lead = self.crf.weights[PLAIN][0] - self.crf.weights[PLAIN][1:]
-        for group in "ldx":
-            seen = [w[0] - w[1:] for f, w in self.crf.weights.items() if f[0] == group and (group != "d" or f == "d0")]
-            lead = lead + np.min([np.zeros(len(KINDS)), *seen], axis=0)
-        return lead
+        # A plain token has no other features than its size and a leading plus.
+        seen = [[f"l{size}", "d0", "x+" if plus else "x", PLAIN] for size in range(10) for plus in (False, True)]
+        self.plain = [tuple(crf.emission(f).tolist()) for f in seen]
+        self.reach = self._reach()
+
+    def _reach(self) -> int | None:
+        """Plain tokens next to others that a label can extend over in a best path; None if that is not bounded.
+
+        Turning a stretch of labelled plain tokens to outside changes its scores
+        and the transitions inside, and those at both ends. The bounds are the most
+        that the labels can be ahead in each.
+        """
+        moves = self.crf.moves
+        lag = np.max([np.array(p[1:]) - p[0] for p in self.plain], axis=0)  # of each label, at best
+        inside = (moves[1:, 1:] - moves[0, 0] + lag[None]).max()
+        begin = (moves[:, 1:] - moves[:, :1] + lag[None]).max()
+        end = (moves[1:] - moves[:1]).max()
+        alone = (moves[0, 1:] - moves[0, 0] + lag).max() + (moves[1:, 0] - moves[0, 0]).max()
+        if inside >= -1e-6 or alone >= -1e-6:
+            return None
+        reach = 0
+        while begin + reach * inside + end >= -1e-6:
+            reach += 1
+        return reach
 
     def judged(self, seen: list[str]) -> tuple[float, ...] | None:
         scores = self.crf.emission(seen)
         return None if (scores[0] - scores[1:] > self.margin).all() else tuple(scores.tolist())
 
-    def __missing__(self, token: bytes) -> tuple[float, ...] | None:
-        plain = self.plain_outside and not _MARKED.search(token)
-        value = None if plain else self.judged(features(token.decode("utf-8", "replace")))
+    def __missing__(self, token: bytes) -> tuple[float, ...] | int | None:
+        if _MARKED.search(token):
+            value = self.judged(features(token.decode("utf-8", "replace")))
+        else:
+            core = token.decode("utf-8", "replace").strip(_TRIM)
+            value = 2 * min(len(core) // 4, 9) + (core[:1] == "+")
         if len(token) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -375,13 +402,22 @@ class _Scores(dict):
         return value
 
     def row(self, tokens: list[bytes], text: bytes) -> list[tuple[float, ...] | None]:
-        """Scores of the tokens of a text."""
+        """Scores of the tokens of a text; None for those that are certain to be outside."""
         found = list(map(self.__getitem__, tokens))
         if _AROUND.search(text):
             said = [t.decode("utf-8", "replace") for t in tokens]
             for i, more in around(said).items():
                 found[i] = self.judged(features(said[i]) + more)
-        return found
+        if self.reach is None:
+            return [self.plain[v] if type(v) is int else v for v in found]
+        out: list[tuple[float, ...] | None] = [None] * len(found)
+        for i, value in enumerate(found):
+            if type(value) is tuple:
+                out[i] = value
+                for k in range(max(0, i - self.reach), min(len(found), i + self.reach + 1)):
+                    if type(found[k]) is int:
+                        out[k] = self.plain[found[k]]
+        return out
 
 
 @functools.cache
