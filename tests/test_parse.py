@@ -105,3 +105,12 @@ def test_globs_are_literal_but_for_stars():
 def test_two_decimals(spark):
     df = spark.createDataFrame([(0.0,), (0.125,), (1.5,), (0.994,), (0.999,)], "v double")
     assert [r[0] for r in df.select(two_decimals(F.col("v"))).collect()] == ["0.00", "0.13", "1.50", "0.99", "1.00"]
+
+
+def test_logs_are_parsed_in_all_parts_however_narrow_their_rows(spark, tmp_path):
+    from failtriage.sources import derived
+
+    spark.range(2000).selectExpr("id AS event_id", "id % 9 AS user_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    logs = derived.logs(spark, str(tmp_path))
+    assert logs.count() == 1960
+    assert logs.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
