@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from failtriage.operators import groups, ingest
 from failtriage.plans import catalog
+from failtriage.plans import triage as triage_plan
 from failtriage.plans.triage import triage
 from failtriage.session import materialize, work_dir
 from failtriage.sources import derived
@@ -86,6 +87,21 @@ def test_only_sampled_logs_are_shuffled(spark):
     assert left.count() < logs.count() / 2
 
 
+def test_only_logs_of_failed_jobs_are_parsed(spark, monkeypatch):
+    rows = spark.range(2_000).selectExpr("'a/b' AS repo", "id AS job_id", "id DIV 2 AS run_id", "id % 100 = 7 AS fails")
+    jobs = rows.selectExpr(
+        "*", "'unit' AS job_name", "if(fails, 'failure', 'success') AS conclusion", "timestamp_ntz'2024-01-01 00:00:00' AS created_at"
+    ).drop("fails")
+    runs = rows.where("run_id < 900").selectExpr("repo", "run_id", "'w' AS workflow_name", "'u' AS run_url").distinct()
+    logs = rows.selectExpr("repo", "job_id", "concat('error: broken ', job_id) AS logs").where("job_id != 107")
+    parsed = []
+    plain = triage_plan.parse.parse_logs
+    monkeypatch.setattr(triage_plan.parse, "parse_logs", lambda few, rules: parsed.append(few.count()) or plain(few, rules))
+    got = triage_plan.parsed_failures(runs, jobs, logs).collect()
+    assert {r.job_id: r.error_patterns for r in got} == {i: [f"broken {i}"] for i in range(7, 1_800, 100) if i != 107}
+    assert 17 <= parsed[0] < 100
+
+
 def test_bitmap_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(groups, "BITMAP_WORDS", 4)
     rows = spark.range(2_000).selectExpr("id", "id AS repo")
