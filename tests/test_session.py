@@ -1,43 +1,35 @@
 """What finished steps leave behind at the driver is collected between the steps."""
 
-import gc
-
-from failtriage import session
+import re
+from types import SimpleNamespace
 
+import pytest
 
-def left_behind(spark):
-    """A weak reference to an object of the driver that nothing holds any more."""
-    thing = spark._jvm.java.util.ArrayList()
-    reference = spark._jvm.java.lang.ref.WeakReference(thing)
-    del thing
-    gc.collect()
-    return reference
+from failtriage import session
 
 
-def test_garbage_goes_when_the_heap_has_grown(spark, monkeypatch):
-    monkeypatch.setattr(session, "HEAP_SHARE", 0.0)
-    reference = left_behind(spark)
+def test_each_written_step_may_collect(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(session, "release", calls.append)
     assert session.materialize(spark.range(3), "three").count() == 3
-    assert reference.get() is None
+    assert len(calls) == 1
 
 
-def test_small_heaps_are_left_alone(spark, monkeypatch):
+@pytest.mark.parametrize(("taken", "collected"), [(300, []), (500, ["gc", "trim"])])
+def test_garbage_is_collected_when_the_heap_has_grown(monkeypatch, taken, collected):
     calls = []
-
-    class Runtime:
-        totalMemory, maxMemory = staticmethod(lambda: 300), staticmethod(lambda: 1000)
-
-    class Lang:
-        class Runtime_:
-            getRuntime = staticmethod(lambda: Runtime)
-
-        class System:
-            gc = staticmethod(lambda: calls.append(1))
-
-    Lang.Runtime = Lang.Runtime_
-    fake = type("Session", (), {"_jvm": type("Jvm", (), {"java": type("Java", (), {"lang": Lang})})})
-    session.release(fake)
-    assert calls == []
-    monkeypatch.setattr(session, "HEAP_SHARE", 0.2)
-    session.release(fake)
-    assert calls == [1]
+    monkeypatch.setattr(session, "trim", lambda spark: calls.append("trim"))
+    heap = SimpleNamespace(totalMemory=lambda: taken, maxMemory=lambda: 1000)
+    lang = SimpleNamespace(
+        Runtime=SimpleNamespace(getRuntime=lambda: heap), System=SimpleNamespace(gc=lambda: calls.append("gc"))
+    )
+    monkeypatch.setitem(session._trimmed, "at", float("-inf"))
+    session.release(SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang))))
+    assert calls == collected
+
+
+def test_free_native_memory_is_given_back(spark):
+    version = spark._jvm.java.lang.System.getProperty("java.version")
+    if tuple(map(int, re.findall(r"\d+", version)[:3])) < (17, 0, 9):
+        pytest.skip("this Java has no such command")
+    assert session.trim(spark)
